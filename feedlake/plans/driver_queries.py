@@ -266,17 +266,17 @@ def _stored(spark, store):
 STORED_SQL = f"""
     WITH reg AS (SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source),
     items AS (
-      SELECT 2 AS fetch, d.*, r.source_ord FROM documents d JOIN reg r USING (source)
+      SELECT 2 AS landed, d.*, r.source_ord FROM documents d JOIN reg r USING (source)
       UNION ALL
-      SELECT 1 AS fetch, d.*, r.source_ord FROM documents d JOIN reg r USING (source)
+      SELECT 1 AS landed, d.*, r.source_ord FROM documents d JOIN reg r USING (source)
       WHERE doc_id IN (SELECT doc_id FROM labels)
     ),
     firsts AS (
-      SELECT * FROM items WHERE fetch >= FIRST_FETCH
+      SELECT * FROM items WHERE landed >= FIRST_FETCH
       QUALIFY row_number() OVER (
-        PARTITION BY sha256(text) ORDER BY fetch, source_ord, doc_id) = 1
+        PARTITION BY sha256(text) ORDER BY landed, source_ord, doc_id) = 1
     )
-    SELECT row_number() OVER (ORDER BY fetch, source_ord, doc_id) AS id,
+    SELECT row_number() OVER (ORDER BY landed, source_ord, doc_id) AS id,
            'Document ' || doc_id AS title, 'https://example.com/' || doc_id AS url,
            sha256(text) AS "contentHash", source, {strip_sql('text')} AS description
     FROM firsts

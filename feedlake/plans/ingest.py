@@ -124,16 +124,14 @@ def ingest_items(
         "items",
     )
     keys = new_keys(staged, store.articles(spark)).select("source", *feeds.POSITION)
-    # Written, so that neither the join nor the report sees the append below.
-    numbered = stage(
-        positions.assign_ids(keys, *feeds.POSITION, last_id=store.max_id(spark)), "new-ids"
-    )
+    # Ids rest on written tables, so neither the join nor the report sees the append.
+    numbered = positions.assign_ids(keys, *feeds.POSITION, last_id=store.max_id(spark))
     ids = broadcast_if_small(numbered.select("item_ord", "id"), dedup.BROADCAST_ROWS)
     articles = item_ops.article_projection(staged.join(ids, "item_ord"), "id").withColumn(
         "createdAt", dates.time_literal(started)
     )
     store.append_articles(articles)
-    report = stage(_run_rows(source_report(staged, numbered, registry), started), "report")
+    report = _run_rows(source_report(staged, numbered, registry), started)
     store.append_runs(report)
     return report
 

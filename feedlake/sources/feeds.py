@@ -38,7 +38,9 @@ def _items(files: DataFrame) -> DataFrame:
         F.col("feed").alias("source"),
         default_if_empty(F.col("fetch"), "").alias("fetch"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.col(CORRUPT).isNotNull().alias("malformed"),
+        # A part that cannot be parsed has no fields; naming one here lets the flag
+        # be queried alone, which Spark refuses for the corrupt column.
+        (F.col(CORRUPT).isNotNull() & F.col("title").isNull()).alias("malformed"),
     )
 
 
