@@ -3,21 +3,20 @@
 import datetime as dt
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedlake.functions.text import field, null_if_empty, trim_white_space
 
-# The forms a feed date may take once the weekday is removed,
-# the text form of timestamps and the prefix of run ids.
+# The weekday before a feed date, the offset after it, and the forms
+# in between; then the text form of timestamps and the prefix of run ids.
 WEEKDAY_PATTERN = "^[A-Za-z]+, *"
-FEED_DATE_FORMATS = [
-    "d MMM yyyy HH:mm[:ss] Z",
-    "d MMM yyyy HH:mm[:ss] z",
-    "d MMM yyyy HH:mm[:ss]",
-    "d MMM yyyy",
-]
+OFFSET_PATTERN = "(?:GMT|UTC)?([+-][0-9]{2}):?([0-9]{2})$"
+OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss] Z"
+ZONE_FORMAT = "d MMM yyyy HH:mm[:ss] z"
+LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss]"
+DATE_FORMAT = "d MMM yyyy"
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 DAY_FORMAT = "yyyy-MM-dd"
 RUN_ID_PREFIX = "scrape_"
@@ -28,25 +27,35 @@ def published_text() -> Column:
     return null_if_empty(F.coalesce(F.col("pubDate"), F.col("published"), field("dc:date")))
 
 
-def parse_feed_date(text: Column) -> Column:
-    """Timestamp of an ISO-8601 or RFC-822 date, NULL when it is neither."""
-    text = trim_white_space(text)
-    # A plain cast would read "12:30" as today, so ISO needs its year in front.
-    starts_with_year = text.rlike("^[0-9]{4}")
-    dated = F.regexp_replace(
-        F.regexp_replace(text, WEEKDAY_PATTERN, ""), "([+-][0-9]{2}):([0-9]{2})$", "$1$2"
-    )
-    rfc = F.coalesce(*[F.try_to_timestamp(dated, F.lit(f)) for f in FEED_DATE_FORMATS])
-    return F.when(starts_with_year, F.try_to_timestamp(text)).otherwise(rfc)
-
-
-def published_at() -> Column:
-    return parse_feed_date(published_text())
-
+def with_published(items: DataFrame) -> DataFrame:
+    """Adds publishedAt, the item's date, and dateError, true when a given date is none.
 
-def published_parse_error() -> Column:
-    """True when a date was given but is none."""
-    return published_text().isNotNull() & published_at().isNull()
+    Dates may be ISO-8601 or RFC-822. The cleaned text is a column of its own, as it
+    is used several times and would otherwise be cleaned each time.
+    """
+    text = F.col("_date_text")
+    dated = F.col("_dated")
+
+    def as_format(form: str) -> Column:
+        return F.try_to_timestamp(dated, F.lit(form))
+
+    # A plain cast would read "12:30" as today, so ISO needs its year in front. For
+    # the rest the shape picks the one form to try, because a failed parse is dear.
+    published = (
+        F.when(text.rlike("^[0-9]{4}"), F.try_to_timestamp(text))
+        .when(dated.rlike("[+-][0-9]{4}$"), as_format(OFFSET_FORMAT))
+        .when(dated.rlike("[A-Za-z]$"), as_format(ZONE_FORMAT))
+        .when(F.contains(dated, F.lit(":")), as_format(LOCAL_FORMAT))
+        .otherwise(as_format(DATE_FORMAT))
+    )
+    without_weekday = F.regexp_replace(text, WEEKDAY_PATTERN, "")
+    return (
+        items.withColumn("_date_text", trim_white_space(published_text()))
+        .withColumn("_dated", F.regexp_replace(without_weekday, OFFSET_PATTERN, "$1$2"))
+        .withColumn("publishedAt", published)
+        .withColumn("dateError", text.isNotNull() & F.col("publishedAt").isNull())
+        .drop("_date_text", "_dated")
+    )
 
 
 def start_of_day(moment: Column) -> Column:

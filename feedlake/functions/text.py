@@ -13,9 +13,6 @@ WHITE_SPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
-
 EMPTY_CONTENT_MODES = ("collapse", "key_by_url")
 
 
@@ -85,15 +82,27 @@ def image_url() -> Column:
     )
 
 
-def fold_ascii_case(value: Column) -> Column:
-    """Lower-case A-Z only, leaving accented letters alone."""
-    return F.translate(value, UPPER, LOWER)
+def _search_piece(piece: str) -> str:
+    """A piece without % as a regular expression; _ is any one character."""
+
+    def token(c: str) -> str:
+        if c == "_":
+            return "."
+        return c if c.isalnum() or not c.isascii() else "\\" + c
+
+    return "".join(token(c) for c in piece)
 
 
 def contains_pattern(value: Column, search: str) -> Column:
-    """Substring match ignoring ASCII case; % and _ in search stay wildcards."""
-    folded = "".join(LOWER[UPPER.index(c)] if c in UPPER else c for c in search)
-    return fold_ascii_case(value).like("%" + folded.replace("\\", "\\\\") + "%")
+    """Substring match ignoring ASCII case; % and _ in search stay wildcards.
+
+    The i flag folds A-Z only, so accented letters must match as they are. Pieces
+    between % are each taken at their first place, without backtracking.
+    """
+    pieces = [_search_piece(p) for p in search.split("%") if p]
+    if len(pieces) > 1:
+        pieces = [r"\A", *[f"(?>.*?{p})" for p in pieces]]
+    return value.rlike("(?is)" + "".join(pieces))
 
 
 def default_if_empty(value: Column, default: str) -> Column:

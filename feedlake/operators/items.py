@@ -21,7 +21,8 @@ def with_content_hash(items: DataFrame, empty_content: str = "collapse") -> Data
 
 def article_projection(items: DataFrame, *keep: str) -> DataFrame:
     """Article columns of hashed items, plus the columns named in keep."""
-    return items.select(
+    dated = items if "publishedAt" in items.columns else dates.with_published(items)
+    return dated.select(
         *keep,
         "title",
         F.col("link").alias("url"),
@@ -29,6 +30,6 @@ def article_projection(items: DataFrame, *keep: str) -> DataFrame:
         "source",
         text.description().alias("description"),
         text.author().alias("author"),
-        dates.published_at().alias("publishedAt"),
+        "publishedAt",
         text.image_url().alias("imageUrl"),
     )

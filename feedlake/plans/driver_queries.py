@@ -131,10 +131,10 @@ def parse_pubdate(spark, sf_dir):
     items = given.table(spark, sf_dir, "events").select(
         "event_id", written.alias("pubDate"), none.alias("published"), none.alias("dc:date")
     )
-    return items.select(
+    return dates.with_published(items).select(
         "event_id",
-        dates.published_at().cast("timestamp_ntz").alias("published_at"),
-        dates.published_parse_error().alias("parse_error"),
+        F.col("publishedAt").cast("timestamp_ntz").alias("published_at"),
+        F.col("dateError").alias("parse_error"),
     )
 
 

@@ -70,7 +70,7 @@ def source_report(items: DataFrame, new: DataFrame, registry: DataFrame) -> Data
     read = items.groupBy("source").agg(
         F.count_if(~F.col("malformed")).alias("items"),
         F.count_if("malformed").alias("malformed"),
-        F.count_if("date_error").alias("unparsed_dates"),
+        F.count_if(F.col("valid") & F.col("dateError")).alias("unparsed_dates"),
     )
     added = items_per_source(new, registry).withColumnRenamed("items", "new_articles")
     zero = F.lit(0).cast("long")
@@ -117,20 +117,23 @@ def ingest_items(
     """
     spark = items.sparkSession
     started = dates.session_time(spark, started_at)
+    hashed = item_ops.with_content_hash(with_registry(items, registry), empty_content)
     staged = stage(
-        item_ops.with_content_hash(with_registry(items, registry), empty_content)
-        .withColumn("valid", item_ops.is_valid_item() & ~F.col("malformed"))
-        .withColumn("date_error", F.col("valid") & dates.published_parse_error()),
+        dates.with_published(hashed).withColumn(
+            "valid", item_ops.is_valid_item() & ~F.col("malformed")
+        ),
         "items",
     )
     keys = new_keys(staged, store.articles(spark)).select("source", *feeds.POSITION)
     # Ids rest on written tables, so neither the join nor the report sees the append.
-    numbered = positions.assign_ids(keys, *feeds.POSITION, last_id=store.max_id(spark))
-    ids = broadcast_if_small(numbered.select("item_ord", "id"), dedup.BROADCAST_ROWS)
+    last_id = store.max_id(spark)
+    numbered = positions.assign_ids(keys, *feeds.POSITION, last_id=last_id)
+    count = numbered.count()
+    ids = broadcast_if_small(numbered.select("item_ord", "id"), dedup.BROADCAST_ROWS, count)
     articles = item_ops.article_projection(staged.join(ids, "item_ord"), "id").withColumn(
         "createdAt", dates.time_literal(started)
     )
-    store.append_articles(articles)
+    store.append_articles(articles, last_id, count)
     report = _run_rows(source_report(staged, numbered, registry), started)
     store.append_runs(report)
     return report
@@ -150,10 +153,11 @@ def save_articles(
     dated = stage(rows.withColumn("createdAt", F.coalesce(given, now)), "rows")
     firsts = stage(dedup.first_wins(dated.select(dedup.HASH, *order), list(order)), "first-keys")
     keys = dedup.new_against(firsts, store.articles(spark), batch_rows=firsts.count())
-    numbered = positions.assign_ids(keys, *order, last_id=store.max_id(spark))
+    last_id = store.max_id(spark)
+    numbered = positions.assign_ids(keys, *order, last_id=last_id)
     wanted = dated.join(numbered.select(*order, "id"), list(order))
     columns = [c for c in store.articles(spark).columns if c in wanted.columns]
-    store.append_articles(wanted.select(*columns))
+    store.append_articles(wanted.select(*columns), last_id, numbered.count())
 
 
 def run_ingest(

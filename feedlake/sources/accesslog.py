@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.functions.text import null_if_empty
 from feedlake.schema import ACCESS_LOG_LINE
 
 # The message forms and the status of a failure without one.
@@ -12,7 +11,8 @@ from feedlake.schema import ACCESS_LOG_LINE
 #   Failed <method> <url> - <status> - <n>ms - <error>
 INCOMING, COMPLETED, FAILED = "Incoming", "Completed", "Failed"
 SEPARATOR = " - "
-DURATION_PATTERN = "^([0-9]+)ms"
+DURATION_UNIT = "ms"
+BEFORE_ERROR = "^[0-9]+ms( - )?"
 DEFAULT_STATUS = 500
 ERROR_LEVEL = "error"
 
@@ -27,36 +27,32 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     Lines of other kinds are dropped. Fields a line does not have are NULL, but the
     agent of a request is '' and the status of a failure is 500 when missing.
     """
-    parts = F.split("message", SEPARATOR, 3)
     kept = [c for c in lines.columns if c != "message"]
-    words = lines.select(*kept, parts.alias("_parts")).withColumn(
-        "_head", F.split(F.get("_parts", F.lit(0)), " ", 3)
+    message = F.col("message")
+    kinds = [F.startswith(message, F.lit(f"{k} ")) for k in (INCOMING, COMPLETED, FAILED)]
+    words = (
+        lines.filter(kinds[0] | kinds[1] | kinds[2])
+        .select(*kept, F.split(message, SEPARATOR, 3).alias("_parts"))
+        .withColumn("_head", F.split(F.get("_parts", F.lit(0)), " ", 3))
     )
     outcome = F.get("_head", F.lit(0))
+    incoming, failed = outcome == INCOMING, outcome == FAILED
     second = F.get("_parts", F.lit(1))
     rest = F.coalesce(F.get("_parts", F.lit(2)), F.lit(""))
-    incoming, failed = F.col("outcome") == INCOMING, F.col("outcome") == FAILED
-    status = F.try_to_number(second, F.lit("999")).cast("int")
-    return (
-        words.withColumn("outcome", outcome)
-        .filter(F.col("outcome").isin(INCOMING, COMPLETED, FAILED))
-        .select(
-            *kept,
-            "outcome",
-            F.get("_head", F.lit(1)).alias("method"),
-            F.get("_head", F.lit(2)).alias("url"),
-            F.when(incoming, second).alias("ip"),
-            F.when(incoming, rest).alias("user_agent"),
-            F.when(failed, F.coalesce(status, F.lit(DEFAULT_STATUS)))
-            .when(~incoming, status)
-            .alias("status"),
-            F.when(~incoming, null_if_empty(F.regexp_extract(rest, DURATION_PATTERN, 1)))
-            .cast("long")
-            .alias("duration_ms"),
-            F.when(failed, F.regexp_replace(rest, DURATION_PATTERN + f"({SEPARATOR})?", "")).alias(
-                "error"
-            ),
-        )
+    status = second.try_cast("int")
+    duration = F.substring_index(rest, DURATION_UNIT, 1).try_cast("long")
+    return words.select(
+        *kept,
+        outcome.alias("outcome"),
+        F.get("_head", F.lit(1)).alias("method"),
+        F.get("_head", F.lit(2)).alias("url"),
+        F.when(incoming, second).alias("ip"),
+        F.when(incoming, rest).alias("user_agent"),
+        F.when(failed, F.coalesce(status, F.lit(DEFAULT_STATUS)))
+        .when(~incoming, status)
+        .alias("status"),
+        F.when(~incoming, duration).alias("duration_ms"),
+        F.when(failed, F.regexp_replace(rest, BEFORE_ERROR, "")).alias("error"),
     )
 
 

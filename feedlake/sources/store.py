@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 from feedlake.schema import ARTICLE, CREATED_DATE, RUN
 
+# Some 250 MB of article text.
+ROWS_PER_FILE = 100_000
+
 STORED_ARTICLE = T.StructType(
     list(ARTICLE.fields) + [T.StructField(CREATED_DATE, T.DateType())]
 )
@@ -46,15 +49,20 @@ class Store:
     def max_id(self, spark: SparkSession) -> int:
         return self.articles(spark).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
-    def append_articles(self, articles: DataFrame) -> None:
-        """Append rows that already carry ids.
+    def append_articles(self, articles: DataFrame, last_id: int, count: int) -> None:
+        """Append count rows whose ids run on from last_id.
 
-        Ranging by id keeps each file to a narrow id span, which is what lets
-        look-ups and pages by id skip the other files.
+        Each file takes its own span of ids, which is what lets look-ups and pages by
+        id skip the other files. The span follows from the id, so no sampling pass
+        runs the projection a second time, as ranging by id would.
         """
+        if count == 0:
+            return
+        files = -(-count // ROWS_PER_FILE)
+        span = F.floor((F.col("id") - F.lit(last_id + 1)) / F.lit(ROWS_PER_FILE)).cast("int")
         (
             articles.withColumn(CREATED_DATE, F.to_date("createdAt"))
-            .repartitionByRange("id")
+            .repartitionById(files, span)
             .sortWithinPartitions(CREATED_DATE, "id")
             .write.mode("append")
             .partitionBy(CREATED_DATE)

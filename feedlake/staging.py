@@ -40,10 +40,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast df when a look at its rows proves it small, else leave the plan open.
+def broadcast_if_small(df: DataFrame, max_rows: int, rows: int | None = None) -> DataFrame:
+    """Broadcast df when its row count proves it small, else leave the plan open.
 
-    df should be a written or fixed table, as it is read twice.
+    Without a known count df is counted, which is cheap for written or fixed tables.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    if rows is None:
+        rows = df.count()
+    return F.broadcast(df) if rows <= max_rows else df

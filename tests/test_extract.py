@@ -72,6 +72,10 @@ def test_author(spark, item, expected):
         ({"pubDate": "Mon, 01 Jan 2024 12:00 EST"}, "2024-01-01 17:00:00"),
         ({"pubDate": "Sat, 01 Jun 2024 12:00:00 UT"}, "2024-06-01 12:00:00"),
         ({"pubDate": " 01 JAN 2024 "}, "2024-01-01 00:00:00"),
+        ({"pubDate": "1 Jan 2024 12:30:00 GMT+0100"}, "2024-01-01 11:30:00"),
+        ({"pubDate": "1 Jan 2024 12:30"}, "2024-01-01 12:30:00"),
+        ({"pubDate": "31 Feb 2024 12:30"}, None),
+        ({"pubDate": "12:30 CET"}, None),
         ({"pubDate": "2024-01-01"}, "2024-01-01 00:00:00"),
         ({"pubDate": "invalid-date"}, None),
         ({"pubDate": "12:30"}, None),
@@ -80,12 +84,13 @@ def test_author(spark, item, expected):
     ],
 )
 def test_published(spark, item, expected):
-    assert value(spark, item, plain_time(dates.published_at())) == expected
+    dated = dates.with_published(items_frame(spark, [item]))
+    assert dated.select(plain_time("publishedAt")).first()[0] == expected
 
 
 def test_parse_error_only_for_given_dates(spark):
     items = [{"pubDate": "invalid-date"}, {"pubDate": "2024-01-01"}, {"pubDate": ""}, {}]
-    flags = items_frame(spark, items).select(dates.published_parse_error()).collect()
+    flags = dates.with_published(items_frame(spark, items)).select("dateError").collect()
     assert [f[0] for f in flags] == [True, False, False, False]
 
 
