@@ -67,15 +67,23 @@ def timed(spark, sf_dir, name) -> float:
     return time.perf_counter() - start
 
 
+def shuffled_bytes(spark) -> int:
+    """Shuffle bytes written so far, as the status page counts them."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = session(cpus)
-    seconds = {}
+    seconds, shuffled = {}, {}
     for name in names:
+        before = shuffled_bytes(spark)
         timed(spark, sf_dir, name)
+        shuffled[name] = shuffled_bytes(spark) - before
         times = [timed(spark, sf_dir, name) for _ in range(1 if name in ONCE else runs)]
         seconds[name] = round(statistics.median(times), 3)
     spark.stop()
@@ -86,6 +94,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "shuffle_write_bytes": shuffled,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "cpus": int(cpus),
             }

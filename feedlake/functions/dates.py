@@ -10,14 +10,13 @@ from pyspark.sql import types as T
 from feedlake.functions.text import field, null_if_empty, trim_white_space
 
 # The weekday before a feed date, the offset after it, and the forms
-# in between; then the text form of timestamps and the prefix of run ids.
+# in between; then the day format of arguments and the prefix of run ids.
 WEEKDAY_PATTERN = "^[A-Za-z]+, *"
 OFFSET_PATTERN = "(?:GMT|UTC)?([+-][0-9]{2}):?([0-9]{2})$"
 OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss] Z"
 ZONE_FORMAT = "d MMM yyyy HH:mm[:ss] z"
 LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss]"
 DATE_FORMAT = "d MMM yyyy"
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 DAY_FORMAT = "yyyy-MM-dd"
 RUN_ID_PREFIX = "scrape_"
 
@@ -70,10 +69,36 @@ def next_hour(moment: Column) -> Column:
     return F.date_trunc("hour", moment) + F.expr("INTERVAL '1' HOUR")
 
 
+def utc_date(moment: Column) -> Column:
+    """Calendar day in UTC, whatever the session time zone is."""
+    days = F.floor(F.unix_seconds(moment.cast("timestamp")) / F.lit(86_400))
+    return F.date_from_unix_date(days.cast("int"))
+
+
 def iso_text(moment: Column) -> Column:
-    """UTC text form with milliseconds, whatever the session time zone is."""
-    in_utc = F.to_utc_timestamp(moment, F.current_timezone())
-    return F.date_format(in_utc, ISO_FORMAT)
+    """UTC text form with milliseconds, whatever the session time zone is.
+
+    Built from the count of milliseconds, because a detour over local time would be
+    ambiguous where clocks change.
+    """
+    millis = F.unix_millis(moment.cast("timestamp"))
+    of_day = F.pmod(millis, F.lit(86_400_000))
+
+    def part(unit: int, modulus: int, width: int) -> Column:
+        return F.lpad((F.floor(of_day / unit) % modulus).cast("string"), width, "0")
+
+    return F.concat(
+        utc_date(moment).cast("string"),
+        F.lit("T"),
+        part(3_600_000, 24, 2),
+        F.lit(":"),
+        part(60_000, 60, 2),
+        F.lit(":"),
+        part(1_000, 60, 2),
+        F.lit("."),
+        part(1, 1_000, 3),
+        F.lit("Z"),
+    )
 
 
 def run_id(moment: Column) -> Column:
@@ -95,8 +120,13 @@ def parse_day(text: str) -> dt.date:
         raise ValueError(message) from None
 
 
-def session_zone(spark: SparkSession) -> ZoneInfo:
-    return ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+def session_zone(spark: SparkSession) -> dt.tzinfo:
+    name = spark.conf.get("spark.sql.session.timeZone")
+    if name in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return dt.timezone.utc
+    if name[0] in "+-":
+        return dt.datetime.strptime(name, "%z").tzinfo
+    return ZoneInfo(name)
 
 
 def session_time(spark: SparkSession, moment: dt.datetime | None = None) -> dt.datetime:
@@ -108,10 +138,15 @@ def session_time(spark: SparkSession, moment: dt.datetime | None = None) -> dt.d
     return moment.astimezone(session_zone(spark)).replace(tzinfo=None)
 
 
+def in_utc(spark: SparkSession, moment: dt.datetime) -> dt.datetime:
+    """A wall-clock time of the session time zone as one of UTC."""
+    zoned = moment.replace(tzinfo=session_zone(spark))
+    return zoned.astimezone(dt.timezone.utc).replace(tzinfo=None)
+
+
 def utc_text(spark: SparkSession, moment: dt.datetime) -> str:
     """UTC text form of a wall-clock time of the session time zone."""
-    in_utc = moment.replace(tzinfo=session_zone(spark)).astimezone(dt.timezone.utc)
-    return f"{in_utc:%Y-%m-%dT%H:%M:%S}.{in_utc.microsecond // 1000:03d}Z"
+    return in_utc(spark, moment).isoformat(timespec="milliseconds") + "Z"
 
 
 def time_literal(moment: dt.datetime) -> Column:

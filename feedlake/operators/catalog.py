@@ -3,7 +3,7 @@
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, text
@@ -53,19 +53,22 @@ def search_title(articles: DataFrame, search: str | None) -> DataFrame:
 
 
 def _created(articles: DataFrame, start: dt.date, end: dt.date | None = None) -> DataFrame:
-    """Articles created from start on, before end.
+    """Articles created from start on, before end, in the session time zone.
 
     A stored table is also cut by its day partitions, which Spark does not derive
-    from the time range by itself.
+    from the time range by itself. Those are UTC days.
     """
     created = articles.schema["createdAt"].dataType
+    spark = articles.sparkSession
     kept = articles.filter(F.col("createdAt") >= dates.day_start(start, created))
     if end is not None:
         kept = kept.filter(F.col("createdAt") < dates.day_start(end, created))
     if CREATED_DATE in articles.columns:
-        kept = kept.filter(F.col(CREATED_DATE) >= F.lit(start))
+        midnight = dt.datetime.combine(start, dt.time())
+        kept = kept.filter(F.col(CREATED_DATE) >= F.lit(dates.in_utc(spark, midnight).date()))
         if end is not None:
-            kept = kept.filter(F.col(CREATED_DATE) < F.lit(end))
+            last = dt.datetime.combine(end, dt.time()) - dt.timedelta(microseconds=1)
+            kept = kept.filter(F.col(CREATED_DATE) <= F.lit(dates.in_utc(spark, last).date()))
     return kept
 
 
@@ -107,10 +110,6 @@ def pagination(articles: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAU
     )
 
 
-def _id_between(low: Column, high: Column) -> Column:
-    return (F.col("id") >= low) & (F.col("id") <= high)
-
-
 def page_rows(
     articles: DataFrame,
     page: int = DEFAULT_PAGE,
@@ -122,7 +121,8 @@ def page_rows(
     The page is first found on the id column alone. Its two outer ids then bound the
     scan of the full rows, so only row groups that hold the page are read. They are
     written as two different subqueries because two aggregates over the same ids
-    would be merged into one struct, which the scan cannot use as a bound. A page
+    would be merged into one struct, which the scan cannot use as a bound; the first
+    page needs no upper one. A page
     beyond top_k_rows is found by position instead of in a heap.
     """
     _check_paging(page, limit)
@@ -135,12 +135,13 @@ def page_rows(
             (F.col("position") >= offset) & (F.col("position") < offset + limit)
         )
         bounds = span.agg(F.min("id"), F.max("id")).first()
-        low, high = F.lit(bounds[0]).cast("long"), F.lit(bounds[1]).cast("long")
-        return articles.filter(_id_between(low, high)).orderBy(F.desc("id"))
+        low, high = (F.lit(b).cast("long") for b in bounds)
+        return articles.filter(F.col("id").between(low, high)).orderBy(F.desc("id"))
     newest = ids.orderBy(F.desc("id")).offset(offset)
-    high = newest.limit(1).scalar()
-    low = newest.limit(limit).orderBy("id").limit(1).scalar()
-    return articles.filter(_id_between(low, high)).orderBy(F.desc("id")).limit(limit)
+    kept = articles.filter(F.col("id") >= newest.limit(limit).orderBy("id").limit(1).scalar())
+    if offset:
+        kept = kept.filter(F.col("id") <= newest.limit(1).scalar())
+    return kept.orderBy(F.desc("id")).limit(limit)
 
 
 def keyset_page(articles: DataFrame, last_id: int | None, limit: int = DEFAULT_LIMIT) -> DataFrame:

@@ -329,12 +329,12 @@ def articles_page(spark, sf_dir):
 @query(
     """
     SELECT event_id AS id, event_type AS source, ts AS "createdAt" FROM events
-    ORDER BY event_id DESC LIMIT 20 OFFSET 8000
+    ORDER BY event_id DESC LIMIT 20 OFFSET 580
     """
 )
 def articles_page_deep(spark, sf_dir):
     """A deep page found by position, the way pages beyond the top-k bound are."""
-    return catalog.page_rows(given.event_articles(spark, sf_dir), page=401, top_k_rows=0)
+    return catalog.page_rows(given.event_articles(spark, sf_dir), page=30, top_k_rows=0)
 
 
 @query("SELECT doc_id AS id, text AS title, source FROM documents WHERE source = 'src3'")
@@ -342,10 +342,10 @@ def articles_by_source(spark, sf_dir):
     return catalog.by_source(given.document_articles(spark, sf_dir), "src3")
 
 
-@query(PAGE_SQL.format(where="source = 'src3'", limit=10, offset=10))
+@query(PAGE_SQL.format(where="source = 'src3'", limit=4, offset=4))
 def articles_by_source_page(spark, sf_dir):
     articles = given.document_articles(spark, sf_dir)
-    return catalog.articles_by_source(articles, "src3", page=2, limit=10).rows
+    return catalog.articles_by_source(articles, "src3", page=2, limit=4).rows
 
 
 @query(
@@ -575,8 +575,8 @@ def registry_violations(spark, sf_dir):
 
 
 LABEL_REGISTRY_SQL = """
-    SELECT DISTINCT source FROM documents
-    WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    SELECT source FROM documents GROUP BY source
+    HAVING min(doc_id) IN (SELECT doc_id FROM labels)
 """
 
 
@@ -594,10 +594,8 @@ def unknown_sources(spark, sf_dir):
 
 @query(
     f"""
-    SELECT doc_id, d.source, '' AS feed_url,
-           (SELECT min(doc_id) FROM documents x WHERE x.source = d.source
-              AND x.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS source_ord
-    FROM documents d WHERE d.source IN ({LABEL_REGISTRY_SQL})
+    SELECT doc_id, source, '' AS feed_url, min(doc_id) OVER (PARTITION BY source) AS source_ord
+    FROM documents WHERE source IN ({LABEL_REGISTRY_SQL})
     """
 )
 def items_with_registry(spark, sf_dir):
@@ -607,15 +605,12 @@ def items_with_registry(spark, sf_dir):
 
 
 @query(
-    """
-    SELECT DISTINCT source FROM documents WHERE source NOT IN (
-      SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))
-    """
+    f"SELECT DISTINCT source FROM documents WHERE source NOT IN ({LABEL_REGISTRY_SQL})"
 )
 def sources_without_items(spark, sf_dir):
-    toxic = given.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    items = given.document_items(spark, sf_dir).join(toxic, "doc_id", "left_semi")
-    return registry.sources_without_items(items, given.document_registry(spark, sf_dir))
+    items = given.document_items(spark, sf_dir).select("doc_id", "source")
+    known = registry.with_registry(items, given.label_registry(spark, sf_dir))
+    return registry.sources_without_items(known, given.document_registry(spark, sf_dir))
 
 
 # --- dates and run ids ------------------------------------------------------

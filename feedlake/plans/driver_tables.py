@@ -131,13 +131,13 @@ def document_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of documents labelled toxic, as a registry that lacks the others."""
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
+    """The sources whose first document has a label, as a registry that lacks the others."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("source_ord"))
     sources = (
         table(spark, sf_dir, "documents")
-        .join(toxic, "doc_id", "left_semi")
         .groupBy("source")
         .agg(F.min("doc_id").alias("source_ord"))
+        .join(labels, "source_ord", "left_semi")
     )
     return stage(sources.select("source_ord", "source", F.lit("").alias("url")), "registry")
 

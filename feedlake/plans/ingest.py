@@ -65,8 +65,13 @@ def new_keys(items: DataFrame, articles: DataFrame) -> DataFrame:
     return dedup.new_against(firsts, articles, batch_rows=firsts.count())
 
 
-def source_report(items: DataFrame, new: DataFrame, registry: DataFrame) -> DataFrame:
-    """Per registered source: items read, malformed parts, bad dates, new articles."""
+def source_report(
+    items: DataFrame, new: DataFrame, registry: DataFrame, with_empty: bool = True
+) -> DataFrame:
+    """Per registered source: items read, malformed parts, bad dates, new articles.
+
+    Sources without any item appear only with_empty.
+    """
     read = items.groupBy("source").agg(
         F.count_if(~F.col("malformed")).alias("items"),
         F.count_if("malformed").alias("malformed"),
@@ -74,7 +79,7 @@ def source_report(items: DataFrame, new: DataFrame, registry: DataFrame) -> Data
     )
     added = items_per_source(new, registry).withColumnRenamed("items", "new_articles")
     zero = F.lit(0).cast("long")
-    return added.join(read, "source", "left").select(
+    return added.join(read, "source", "left" if with_empty else "inner").select(
         "source",
         *[F.coalesce(c, zero).alias(c) for c in ("items", "malformed", "unparsed_dates")],
         "new_articles",
@@ -109,6 +114,7 @@ def ingest_items(
     registry: DataFrame,
     started_at: dt.datetime | None = None,
     empty_content: str = "collapse",
+    report_empty: bool = True,
 ) -> DataFrame:
     """Append the new articles among items and return the run rows per source.
 
@@ -134,7 +140,7 @@ def ingest_items(
         "createdAt", dates.time_literal(started)
     )
     store.append_articles(articles, last_id, count)
-    report = _run_rows(source_report(staged, numbered, registry), started)
+    report = _run_rows(source_report(staged, numbered, registry, report_empty), started)
     store.append_runs(report)
     return report
 

@@ -1,4 +1,4 @@
-"""The stored tables: articles, partitioned by day of ingest, and ingest runs."""
+"""The stored tables: articles, partitioned by UTC day of ingest, and ingest runs."""
 
 from dataclasses import dataclass
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlake.functions.dates import utc_date
 from feedlake.schema import ARTICLE, CREATED_DATE, RUN
 
 # Some 250 MB of article text.
@@ -61,7 +62,7 @@ class Store:
         files = -(-count // ROWS_PER_FILE)
         span = F.floor((F.col("id") - F.lit(last_id + 1)) / F.lit(ROWS_PER_FILE)).cast("int")
         (
-            articles.withColumn(CREATED_DATE, F.to_date("createdAt"))
+            articles.withColumn(CREATED_DATE, utc_date(F.col("createdAt")))
             .repartitionById(files, span)
             .sortWithinPartitions(CREATED_DATE, "id")
             .write.mode("append")

@@ -29,7 +29,14 @@ def stream_ingest(
     items = stream_feeds(spark, landing, row_tag, charset, max_files_per_batch)
 
     def ingest_batch(batch: DataFrame, _: int) -> None:
-        ingest_items(with_item_order(batch), store, registry, empty_content=empty_content)
+        ingest_items(
+            with_item_order(batch),
+            store,
+            registry,
+            empty_content=empty_content,
+            # A batch of some files says nothing about the other sources.
+            report_empty=max_files_per_batch is None,
+        )
 
     return (
         items.writeStream.foreachBatch(ingest_batch)

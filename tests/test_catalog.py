@@ -3,7 +3,12 @@ import datetime as dt
 import pytest
 from feedfiles import article, utc
 
+from pyspark.sql import functions as F
+
+from feedlake.functions import dates
 from feedlake.operators import catalog, stats
+from feedlake.plans import ingest
+from feedlake.sources.store import Store
 
 THREE = [
     (1, "Test Article 1", "idnes.cz"),
@@ -178,3 +183,42 @@ def test_stats(spark):
     assert long == {None: (4, 2), "idnes.cz": (2, 2), "hn.cz": (1, 0), "aktualne.cz": (1, 0)}
     empty = stats.article_stats_record(rows.limit(0), as_of).first()
     assert (empty["total"], empty["today"], empty["bySource"]) == (0, 0, {})
+
+
+@pytest.fixture
+def prague(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Prague")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_days_follow_the_session_zone_of_a_stored_table(prague, tmp_path):
+    spark = prague
+    rows = spark.sql(
+        """
+        SELECT ord, 't' AS title, 'u' AS url, concat('h', ord) AS contentHash, 's' AS source,
+               cast(t AS timestamp) AS createdAt
+        FROM VALUES (1, '2024-01-14 22:59:59Z'), (2, '2024-01-14 23:00:00Z'),
+          (3, '2024-01-15 22:59:59Z'), (4, '2024-01-15 23:00:00Z') AS v(ord, t)
+        """
+    )
+    store = Store(str(tmp_path / "store"))
+    ingest.save_articles(rows, store, "ord")
+    articles = store.articles(spark)
+    assert ids(catalog.articles_by_date(articles, "2024-01-15").rows) == [3, 2]
+    page = catalog.recent_articles(articles, 1, utc("2024-01-16T00:30:00"))
+    assert ids(page.rows) == [4, 3, 2]
+    assert page.info["fromDate"] == "2024-01-14T23:00:00.000Z"
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert ids(catalog.articles_by_date(articles, "2024-01-15").rows) == [4, 3]
+    spark.conf.set("spark.sql.session.timeZone", "+01:00")
+    assert ids(catalog.articles_by_date(articles, "2024-01-15").rows) == [3, 2]
+
+
+def test_iso_text_is_utc_in_any_zone(prague):
+    # Local clocks change in both hours: one is repeated, the other skipped.
+    texts = ["2024-10-27T00:30:00.001Z", "2024-10-27T01:30:00.999Z", "2024-03-31T02:30:00.000Z",
+             "1969-12-31T23:59:59.500Z"]
+    frame = prague.createDataFrame([(t,) for t in texts], "t string")
+    got = frame.select(dates.iso_text(F.col("t").cast("timestamp"))).collect()
+    assert [r[0] for r in got] == texts
