@@ -11,9 +11,9 @@ from feedlake.plans import ingest
 from feedlake.sources.store import Store
 
 THREE = [
-    (1, "Test Article 1", "idnes.cz"),
-    (2, "Test Article 2", "hn.cz"),
-    (3, "Search Result Article", "idnes.cz"),
+    (1, "Test one", "idnes.cz"),
+    (2, "Test two", "hn.cz"),
+    (3, "Search Result here", "idnes.cz"),
 ]
 DATED = "id long, title string, source string, createdAt timestamp"
 

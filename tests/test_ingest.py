@@ -11,43 +11,45 @@ from feedlake.sources.registry import feed_registry
 from feedlake.sources.store import Store
 from feedlake.streaming.ingest import stream_ingest
 
+# One item with a media image, one with an image enclosure.
 TWO_FULL = [
     {
-        "title": "Test Article 1",
-        "link": "https://example.com/article1",
-        "content": "<p>This is test content for article 1</p>",
-        "creator": "Test Author 1",
+        "title": "Vlak stojí",
+        "link": "https://news.example/train",
+        "content": "<p>Na trati <b>spadl</b> strom.</p>",
+        "creator": "Eva Malá",
         "pubDate": "2024-01-01T12:00:00Z",
-        "media:content": {"url": "https://example.com/image1.jpg"},
+        "media:content": {"url": "https://news.example/train.jpg"},
     },
     {
-        "title": "Test Article 2",
-        "link": "https://example.com/article2",
-        "content": "<p>This is test content for article 2</p>",
-        "creator": "Test Author 2",
+        "title": "Sníh v horách",
+        "link": "https://news.example/snow",
+        "content": "<p>Napadlo půl metru.</p>",
+        "creator": "Petr Velký",
         "pubDate": "2024-01-01T13:00:00Z",
-        "enclosure": {"url": "https://example.com/image2.png", "type": "image/png"},
+        "enclosure": {"url": "https://news.example/snow.png", "type": "image/png"},
     },
 ]
+# All fields at once, content only, no content, and neither title nor link.
 COMPLEX = [
     {
-        "title": "Article with all fields",
-        "link": "https://example.com/full-article",
-        "content": "<p>Full content</p>",
-        "summary": "<p>Summary content</p>",
-        "description": "<p>Description content</p>",
-        "creator": "Creator Author",
-        "author": "Author Name",
-        "dc:creator": "DC Creator",
-        "pubDate": "2024-01-01T12:00:00Z",
-        "published": "2024-01-01T11:00:00Z",
-        "dc:date": "2024-01-01T10:00:00Z",
-        "media:content": {"url": "https://example.com/media.jpg"},
-        "enclosure": {"url": "https://example.com/enclosure.png", "type": "image/png"},
+        "title": "Everything",
+        "link": "https://news.example/all",
+        "content": "<p>from content</p>",
+        "summary": "<p>from summary</p>",
+        "description": "<p>from description</p>",
+        "creator": "from creator",
+        "author": "from author",
+        "dc:creator": "from dc:creator",
+        "pubDate": "2024-01-03T00:00:00Z",
+        "published": "2024-01-02T00:00:00Z",
+        "dc:date": "2024-01-01T00:00:00Z",
+        "media:content": {"url": "https://news.example/media.jpg"},
+        "enclosure": {"url": "https://news.example/enclosure.png", "type": "image/png"},
     },
-    {"title": "Minimal", "link": "https://example.com/minimal", "content": "<p>Minimal content</p>"},
-    {"title": "Article with no content", "link": "https://example.com/no-content"},
-    {"content": "<p>No title or link</p>"},
+    {"title": "Content only", "link": "https://news.example/content", "content": "<p>c</p>"},
+    {"title": "No content", "link": "https://news.example/none"},
+    {"content": "<p>neither title nor link</p>"},
 ]
 
 
@@ -75,10 +77,10 @@ def test_two_full_items(spark, place):
     land(place[0], "idnes.cz", TWO_FULL)
     rows = run(spark, place, started_at=utc("2024-02-03T04:05:06"))
     assert [(r["id"], r["title"], r["author"], r["imageUrl"]) for r in rows] == [
-        (1, "Test Article 1", "Test Author 1", "https://example.com/image1.jpg"),
-        (2, "Test Article 2", "Test Author 2", "https://example.com/image2.png"),
+        (1, "Vlak stojí", "Eva Malá", "https://news.example/train.jpg"),
+        (2, "Sníh v horách", "Petr Velký", "https://news.example/snow.png"),
     ]
-    assert rows[0]["description"] == "This is test content for article 1"
+    assert rows[0]["description"] == "Na trati spadl strom."
     assert rows[0]["created_date"] == dt.date(2024, 2, 3)
     times = place[1].articles(spark).select(plain_time("publishedAt"), plain_time("createdAt"))
     assert tuple(times.orderBy(F.col("id")).first()) == ("2024-01-01 12:00:00", "2024-02-03 04:05:06")
@@ -93,10 +95,11 @@ def test_same_feed_twice(spark, place):
 def test_complex_feed(spark, place):
     land(place[0], "idnes.cz", COMPLEX)
     rows = run(spark, place)
-    assert titles(rows) == ["Article with all fields", "Minimal", "Article with no content"]
-    assert rows[0]["author"] == "Creator Author"
-    assert rows[0]["imageUrl"] == "https://example.com/media.jpg"
-    assert rows[0]["publishedAt"] is not None
+    assert titles(rows) == ["Everything", "Content only", "No content"]
+    assert (rows[0]["author"], rows[0]["description"]) == ("from creator", "from content")
+    assert rows[0]["imageUrl"] == "https://news.example/media.jpg"
+    first = place[1].articles(spark).filter("id = 1").select(plain_time("publishedAt")).first()
+    assert first[0] == "2024-01-03 00:00:00"
     assert rows[2]["description"] is None
 
 
