@@ -118,7 +118,8 @@ def ingest_items(
 ) -> DataFrame:
     """Append the new articles among items and return the run rows per source.
 
-    The parsed items are written once, with their hash, because deduplication, the
+    Items carry source, fetch, file_name, malformed and an item_ord that is unique in
+    the batch. They are written once, with their hash, because deduplication, the
     report and the projection all read them. Replaying the same items adds nothing.
     """
     spark = items.sparkSession
@@ -176,10 +177,12 @@ def run_ingest(
     empty_content: str = "collapse",
     row_tag: str = "item",
     charset: str = "UTF-8",
+    fetch: str | None = None,
 ) -> DataFrame:
     """Ingest the landed files of one source, or of all, and return the run record.
 
-    The run is on record before it starts and after it ends; a failure is recorded
+    Without a fetch every landed file is read again; name one to read its files only,
+    or let stream_ingest remember what it has read. The run is on record before it starts and after it ends; a failure is recorded
     and raised.
     """
     registry = feed_registry(spark) if registry is None else registry
@@ -187,7 +190,7 @@ def run_ingest(
     store.append_runs(run_record(spark, source, started, registry))
     asked = registry.filter(F.col("source") == source) if source else registry
     try:
-        items = feeds.read_feeds(spark, landing, source, row_tag, charset)
+        items = feeds.read_feeds(spark, landing, source, row_tag, charset, fetch)
         ingest_items(items, store, asked, started, empty_content)
     except Exception as e:
         store.append_runs(

@@ -59,11 +59,14 @@ def read_feeds(
     source: str | None = None,
     row_tag: str = "item",
     charset: str = "UTF-8",
+    fetch: str | None = None,
 ) -> DataFrame:
-    """Items of all landed files, or of one source."""
+    """Items of all landed files, or of one source or one fetch."""
     files = _options(spark.read, row_tag, charset).load(landing)
     if source:
         files = files.filter(F.col("feed") == source)
+    if fetch:
+        files = files.filter(F.col("fetch") == fetch)
     return with_item_order(_items(files))
 
 

@@ -198,6 +198,27 @@ def test_one_source(spark, place):
         run(spark, place, "invalid-source")
 
 
+def test_one_fetch(spark, place):
+    land(place[0], "idnes.cz", [item(1)], fetch="2024-01-01T00")
+    land(place[0], "idnes.cz", [item(2)], fetch="2024-01-01T01")
+    assert titles(run(spark, place, fetch="2024-01-01T01")) == ["T2"]
+    assert titles(run(spark, place)) == ["T2", "T1"]
+
+
+def test_stream_in_small_batches(spark, place, tmp_path):
+    landing, store = place
+    for n, source in enumerate(["idnes.cz", "novinky.cz", "blesk.cz"]):
+        land(landing, source, [item(n), item(9)])
+    query = stream_ingest(spark, landing, store, str(tmp_path / "cp"), max_files_per_batch=2)
+    query.awaitTermination()
+    rows = store.articles(spark).orderBy("id").collect()
+    assert [r["id"] for r in rows] == [1, 2, 3, 4]
+    assert {r["title"] for r in rows} == {"T0", "T1", "T2", "T9"}
+    runs = store.runs(spark).collect()
+    assert len({r["run_id"] for r in runs}) == 2
+    assert {r["status"] for r in runs} == {"completed"} and len(runs) == 3
+
+
 def test_one_source_opens_its_files_only(spark, place):
     land(place[0], "idnes.cz", [item(1)])
     land(place[0], "novinky.cz", [item(2)])

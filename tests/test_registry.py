@@ -7,12 +7,7 @@ from feedlake.sources import registry
 
 
 def reg(spark, *rows):
-    return spark.createDataFrame(list(enumerate_rows(rows)), registry.REGISTRY_SCHEMA)
-
-
-def enumerate_rows(rows):
-    for i, (name, url) in enumerate(rows):
-        yield i, name, url
+    return registry.feed_registry(spark, rows)
 
 
 def test_built_in_registry_is_sound(spark):
