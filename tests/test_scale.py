@@ -85,8 +85,10 @@ def _sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_ingest_runs_against_a_plain_loop(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [dedup.BROADCAST_ROWS, 10])
+def test_ingest_runs_against_a_plain_loop(spark, tmp_path, monkeypatch, broadcast_rows):
     """Two batches where one text and one source hold a third of all items each."""
+    monkeypatch.setattr(dedup, "BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(store_module, "ROWS_PER_FILE", 100)
     registry = feed_registry(spark, [(f"s{i}", f"http://s{i}") for i in range(6)])
     store = Store(str(tmp_path / "store"))
