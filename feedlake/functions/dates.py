@@ -154,6 +154,11 @@ def time_literal(moment: dt.datetime) -> Column:
     return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
 
 
+def created_or(created: Column, now: dt.datetime) -> Column:
+    """A given creation time, or the time of the run."""
+    return F.coalesce(created.cast("timestamp"), time_literal(now))
+
+
 def day_start(day: dt.date, like: T.DataType) -> Column:
     """Midnight of a day as a constant of the compared column's own type.
 

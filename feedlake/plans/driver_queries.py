@@ -174,6 +174,30 @@ def null_if_empty(spark, sf_dir):
     return items.select("doc_id", text.null_if_empty(F.col("title")).alias("title"))
 
 
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN source ELSE 'all' END AS source FROM documents")
+def default_for_missing(spark, sf_dir):
+    items = given.field_items(spark, sf_dir)
+    return items.select("doc_id", text.default_if_empty(F.col("creator"), "all").alias("source"))
+
+
+@query(
+    """
+    SELECT page_id,
+           CASE WHEN url LIKE '%.example.com%' AND url LIKE 'https:%'
+                THEN 'https://img.example.com/' || page_id END AS media_url,
+           CASE WHEN url LIKE '%.example.net%' THEN
+             CASE WHEN url LIKE 'https:%' THEN 'image/png' ELSE 'audio/mpeg' END END AS enclosure_type
+    FROM pages
+    """
+)
+def optional_nested_fields(spark, sf_dir):
+    return given.page_items(spark, sf_dir).select(
+        "page_id",
+        text.field("media:content")["_url"].alias("media_url"),
+        F.col("enclosure")["_type"].alias("enclosure_type"),
+    )
+
+
 # --- deduplication ----------------------------------------------------------
 
 FIRSTS_SQL = """
@@ -307,6 +331,36 @@ def feed_stream_ingest(spark, sf_dir):
     return _stored(spark, store)
 
 
+@query(
+    """
+    WITH reg AS (SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source),
+    items AS (
+      SELECT d.*, r.source_ord FROM documents d JOIN reg r USING (source)
+      WHERE doc_id IN (SELECT doc_id FROM labels)),
+    firsts AS (
+      SELECT source, count(*) AS n FROM (
+        SELECT source FROM items
+        QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY source_ord, doc_id) = 1)
+      GROUP BY source)
+    SELECT r.source, CASE WHEN count(i.doc_id) = 0 THEN 'empty' ELSE 'completed' END AS status,
+           count(i.doc_id) AS items, CAST(0 AS BIGINT) AS malformed,
+           CAST(0 AS BIGINT) AS unparsed_dates, coalesce(any_value(f.n), 0) AS new_articles
+    FROM reg r LEFT JOIN items i USING (source) LEFT JOIN firsts f USING (source)
+    GROUP BY r.source
+    """
+)
+def ingest_run_report(spark, sf_dir):
+    """Run rows per source after the labelled documents landed and were ingested."""
+    landing, store = given.new_landing(spark), Store(new_path(spark, "store"))
+    given.land_items(given.labelled_documents(spark, sf_dir), landing, "1")
+    reg = given.document_registry(spark, sf_dir)
+    ingest.run_ingest(spark, landing, store, registry=reg, started_at=given.AS_OF)
+    per_source = store.runs(spark).filter(F.col("source") != ingest.ALL_SOURCES)
+    return per_source.select(
+        "source", "status", "items", "malformed", "unparsed_dates", "new_articles"
+    )
+
+
 # --- catalog ----------------------------------------------------------------
 
 
@@ -536,6 +590,14 @@ def status_by_source(spark, sf_dir):
     )
 
 
+@query('SELECT event_type AS source, count(*) AS "count" FROM events GROUP BY event_type')
+def source_counts_map(spark, sf_dir):
+    """Counts folded into one map and read back from it."""
+    counts = stats.count_by_source(given.event_articles(spark, sf_dir))
+    folded = counts.agg(stats.as_map().alias("bySource"))
+    return folded.select(F.explode("bySource").alias("source", "count"))
+
+
 # --- registry ---------------------------------------------------------------
 
 
@@ -636,6 +698,20 @@ def run_id(spark, sf_dir):
     return events.select("event_id", dates.run_id(F.col("ts").cast("timestamp")).alias("run_id"))
 
 
+@query(
+    """
+    SELECT event_id, CASE WHEN event_type = 'click' THEN ts
+                          ELSE TIMESTAMP '2024-01-20 12:30:00' END AS "createdAt"
+    FROM events
+    """
+)
+def created_at_default(spark, sf_dir):
+    clicked = F.when(F.col("event_type") == "click", F.col("ts"))
+    created = dates.created_or(clicked, given.AS_OF).cast("timestamp_ntz")
+    events = given.table(spark, sf_dir, "events")
+    return events.select("event_id", created.alias("createdAt"))
+
+
 # --- request log ------------------------------------------------------------
 
 

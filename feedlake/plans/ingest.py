@@ -155,9 +155,9 @@ def save_articles(
     hash is stored already.
     """
     spark = rows.sparkSession
-    now = dates.time_literal(dates.session_time(spark, as_of))
-    given = F.col("createdAt") if "createdAt" in rows.columns else F.lit(None).cast("timestamp")
-    dated = stage(rows.withColumn("createdAt", F.coalesce(given, now)), "rows")
+    given = F.col("createdAt") if "createdAt" in rows.columns else F.lit(None)
+    created = dates.created_or(given, dates.session_time(spark, as_of))
+    dated = stage(rows.withColumn("createdAt", created), "rows")
     firsts = stage(dedup.first_wins(dated.select(dedup.HASH, *order), list(order)), "first-keys")
     keys = dedup.new_against(firsts, store.articles(spark), batch_rows=firsts.count())
     last_id = store.max_id(spark)

@@ -57,9 +57,11 @@ def feed_registry(spark: SparkSession, feeds=None) -> DataFrame:
 
     Made from an Arrow table, so that Spark knows how small it is when it plans joins.
     """
-    names, urls = zip(*(FEEDS if feeds is None else feeds))
-    columns = {"source_ord": range(len(names)), "source": names, "url": urls}
-    return spark.createDataFrame(pa.table(columns, schema=REGISTRY_SCHEMA))
+    feeds = FEEDS if feeds is None else feeds
+    rows = [
+        {"source_ord": i, "source": name, "url": url} for i, (name, url) in enumerate(feeds)
+    ]
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema=REGISTRY_SCHEMA))
 
 
 def registry_map(registry: DataFrame) -> DataFrame:
@@ -77,8 +79,9 @@ def check_source(source: str | None, registry: DataFrame) -> None:
         return
     if registry.filter(F.col("source") == source).isEmpty():
         # Names are read only to word the error; a registry is a short feed list.
-        names = [r["source"] for r in registry.orderBy("source_ord").select("source").toLocalIterator()]
-        raise ValueError(f"Invalid source: {source}. Valid sources are: {', '.join(names)}")
+        ordered = registry.orderBy("source_ord").select("source")
+        names = ", ".join(r["source"] for r in ordered.toLocalIterator())
+        raise ValueError(f"Invalid source: {source}. Valid sources are: {names}")
 
 
 def registry_violations(registry: DataFrame) -> DataFrame:
