@@ -182,8 +182,8 @@ def run_ingest(
     """Ingest the landed files of one source, or of all, and return the run record.
 
     Without a fetch every landed file is read again; name one to read its files only,
-    or let stream_ingest remember what it has read. The run is on record before it starts and after it ends; a failure is recorded
-    and raised.
+    or let stream_ingest remember what it has read. The run is on record before it
+    starts and after it ends; a failure is recorded and raised.
     """
     registry = feed_registry(spark) if registry is None else registry
     started = dates.session_time(spark, started_at)

@@ -106,8 +106,11 @@ def registry_violations(registry: DataFrame) -> DataFrame:
 
 def with_registry(items: DataFrame, registry: DataFrame) -> DataFrame:
     """Items of registered sources, with the feed url and reading order."""
+    rows, names = registry.agg(F.count("*"), F.count_distinct("source")).first()
+    if rows != names:
+        raise ValueError("Registry names must be set and unique")
     feeds = registry.select("source", F.col("url").alias("feed_url"), "source_ord")
-    return items.join(broadcast_if_small(feeds, BROADCAST_SOURCES), "source")
+    return items.join(broadcast_if_small(feeds, BROADCAST_SOURCES, rows), "source")
 
 
 def unknown_sources(items: DataFrame, registry: DataFrame) -> DataFrame:

@@ -50,3 +50,10 @@ def test_registry_beyond_the_broadcast_bound_joins_the_same(spark, monkeypatch):
     monkeypatch.setattr(registry, "BROADCAST_SOURCES", 1)
     joined = registry.with_registry(items, rows)
     assert {r["id"] for r in joined.collect()} == {1, 2}
+
+
+def test_double_names_are_refused_where_they_would_double_items(spark):
+    rows = reg(spark, ("a", "http://a"), ("a", "http://b"))
+    with pytest.raises(ValueError, match="unique"):
+        registry.with_registry(article(spark, [(1, "t", "a")]), rows)
+    assert registry.feed_registry(spark, []).count() == 0
