@@ -209,6 +209,5 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(line(F.concat(F.lit("Completed GET"), request), F.lit("200"), took))
     )
-    return events.select(
-        "event_id", F.when(kind == "error", "error").otherwise("info").alias("level"), message.alias("message")
-    )
+    level = F.when(kind == "error", "error").otherwise("info")
+    return events.select("event_id", level.alias("level"), message.alias("message"))
