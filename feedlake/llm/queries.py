@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import simhash
+from feedlake.llm import langid, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -20,3 +20,13 @@ def query(sql: str | None = None):
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_langid(spark, sf_dir):
+    return langid.predictions(table(spark, sf_dir, "documents"))
