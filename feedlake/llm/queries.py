@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import langid, secrets, simhash
+from feedlake.llm import langid, mixing, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,12 @@ def query(sql: str | None = None):
     return register
 
 
+@query(mixing.ORACLE_SQL)
+def op1_mixing(spark, sf_dir):
+    weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), weights)
+
+
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
