@@ -9,17 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import simhash
+from feedlake.llm import langid, mixing, packing, secrets, simhash
+from feedlake.llm.common import table
 from feedlake.staging import stage
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return langid.keep_identified(docs)
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     return simhash.keep_first(docs)
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the text and n_chars follows; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it, by source targets and quality labels."""
+    return mixing.mixed(docs, mixing.quality_weights(table(spark, sf_dir, "labels")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
 STAGES = [
-    ("simhash near-dedup", simhash_dedup),
+    ("language ID", identify_language),
+    ("SimHash near-dedup", simhash_dedup),
+    ("secret scan", mask_secrets),
+    ("source mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
 ]
 
 # Stages that SQL cannot express; tests hold run() against a brute-force version.
