@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import langid, mixing, packing, secrets, simhash
+from feedlake.llm import chat, langid, mixing, packing, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -41,3 +41,9 @@ def op8_secrets(spark, sf_dir):
 @query()
 def op9_langid(spark, sf_dir):
     return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+@query(chat.ORACLE_SQL)
+def op10_chat(spark, sf_dir):
+    turns = chat.with_test_conversation(spark, table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.examples(turns))
