@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import bitsliced, chat, langid, mixing, packing, secrets, simhash
+from feedlake.llm import bitsliced, chat, crosspolytope, langid, mixing, packing, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op4_bitsliced(spark, sf_dir):
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op6_crosspolytope(spark, sf_dir):
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
