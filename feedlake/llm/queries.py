@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import bitsliced, chat, crosspolytope, langid, mixing, packing, secrets, simhash
+from feedlake.llm import bitsliced, chat, crosspolytope, disclosure, langid, mixing, packing, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -23,6 +23,11 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), weights)
 
 
+@query()
+def op2_pii(spark, sf_dir):
+    return disclosure.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
