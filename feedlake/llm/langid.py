@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import column, fresh
@@ -24,7 +23,7 @@ from feedlake.llm.common import column, fresh
 UNKNOWN = "und"
 BUCKET_BITS = 14
 DIMENSIONS = 16
-# Labelled rows in the sample that the driver trains on, over all languages.
+# Labelled rows in the sample that the driver trains on, over all languages together.
 SAMPLE_ROWS = 3000
 CALIBRATION_SHARE = 0.2
 STRETCH_WORDS = 12
@@ -107,19 +106,21 @@ def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
 def sample_rows(
     docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """At most rows labelled rows (id, text, lang), the same number of each language where there are enough.
+    """About rows labelled rows (id, text, lang), the same number of each language where there are enough.
 
-    They are those with the smallest hash of their id, so reruns agree; repeated ids count once.
+    They are those whose id's hash falls below a mark that the language's count sets, so
+    reruns agree and no task gathers a language; repeated ids count once.
     """
     known = _learnable(docs, id_col, text_col, lang_col)
-    ids = known.select("lang", F.xxhash64("id", F.lit(SEED)).alias("h")).distinct()
-    languages = known.agg(F.count_distinct("lang")).first()[0]
-    quota = max(1, rows // max(1, languages))
-    ranked = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-    cuts = ranked.where(F.col("n") <= quota).groupBy("lang").agg(F.max("h").alias("cut"))
-    # One row per language and rows of them at most.
-    cuts = F.broadcast(cuts.orderBy("lang").limit(rows))
-    picked = known.join(cuts, "lang").where(F.xxhash64("id", F.lit(SEED)) <= F.col("cut"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # One row per language, rows of them at most: the most frequent ones.
+    counts = counts.orderBy(F.desc("n"), "lang").limit(rows).collect()
+    quota = rows / max(1, len(counts))
+    cut = {r["lang"]: int((min(1.0, quota / r["n"]) - 0.5) * (2**64 - 2**12)) for r in counts}
+    if not cut:
+        return known.limit(0)
+    marks = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+    picked = known.where(F.xxhash64("id", F.lit(SEED)) <= F.element_at(marks, F.col("lang")))
     return picked.groupBy("lang", "id").agg(F.min("text").alias("text"))
 
 

@@ -1,6 +1,6 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import bitsliced, chat, crosspolytope, disclosure, langid, mixing, packing, secrets, simhash
+from feedlake.llm import bitsliced, chat, crosspolytope, disclosure, langid, licences, mixing, packing, secrets, simhash
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -38,6 +38,11 @@ def op4_bitsliced(spark, sf_dir):
     return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query(licences.ORACLE_SQL)
+def op5_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_crosspolytope(spark, sf_dir):
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
