@@ -30,6 +30,17 @@ def column(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def map_rows(df: DataFrame, run, *added: tuple[str, str]) -> DataFrame:
+    """df.mapInArrow(run) for any column names; run appends columns of the given (name, type).
+
+    mapInArrow looks columns up by name and trips over dots, so names are plain meanwhile.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    new = [F.lit(None).cast(kind).alias(f"n{i}") for i, (_, kind) in enumerate(added)]
+    schema = plain.select("*", *new).schema
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *[name for name, _ in added])
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and links left[i]-right[i]: each node's smallest reachable node."""
     root = np.arange(n)

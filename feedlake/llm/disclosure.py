@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import column, fresh
+from feedlake.llm.common import column, fresh, map_rows
 from feedlake.staging import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -304,5 +304,5 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns[at[0]] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    done = joined.mapInArrow(run, joined.schema)
+    done = map_rows(joined, run)
     return done.select(*[column(done, c) for c in docs.columns])

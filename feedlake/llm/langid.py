@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import column, fresh
+from feedlake.llm.common import column, fresh, map_rows
 
 UNKNOWN = "und"
 BUCKET_BITS = 14
@@ -244,12 +244,6 @@ def identify(
     get the same answer; whole texts are read, however long; other columns pass through.
     """
     at = docs.columns.index(text_col)
-    schema = docs.select(
-        "*",
-        F.lit("").alias(lang),
-        F.lit(0.0).alias(score),
-        F.lit(True).alias(rejected),
-    ).schema
 
     def run(batches):
         for batch in batches:
@@ -266,10 +260,10 @@ def identify(
                     pa.array([s for _, s in named], pa.float64()),
                     pa.array(low, pa.bool_()),
                 ],
-                names=[*batch.schema.names, lang, score, rejected],
+                names=[*batch.schema.names, "n0", "n1", "n2"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, (lang, "string"), (score, "double"), (rejected, "boolean"))
 
 
 def predictions(

@@ -5,7 +5,7 @@ encoding is inferred from its characters, and three tests ask whether it could b
 in that encoding: chi-squared for a uniform alphabet, runs about the alphabet's middle,
 serial correlation of neighbours. A token that none of them rejects still has to be
 unlikely as ordinary text: its evidence is the likelihood ratio of the random encoding
-against the corpus's own mix of letters, cases, digits and signs, which grows with the
+against the corpus's own mix of letters, cases and digits, which grows with the
 token's length. False discoveries are held to FALSE_DISCOVERIES over all candidates of the
 corpus by the rule for such ratios (the k best are taken while the k-th is at least
 candidates / (k * FALSE_DISCOVERIES)), which needs no independence.
@@ -142,16 +142,18 @@ def _count(token: Column, chars: str) -> Column:
 
 
 def _evidence(token: Column, mix: dict[str, float]) -> Column:
-    """Log likelihood ratio of the token's random encoding against the corpus's mix."""
+    """Log likelihood ratio of the token's random encoding against the corpus's mix.
+
+    Signs say nothing either way: paths and dashed words have them as well.
+    """
     digits, upper, lower = (_count(token, c) for c in (DIGITS, UPPER, LOWER))
-    signs = F.length(token) - digits - upper - lower
     one_case = (upper == 0) | (lower == 0)
     letters = F.when(one_case, (upper + lower) * math.log(mix["letter"] / 26)).otherwise(
         upper * math.log(mix["upper"] / 26) + lower * math.log(mix["lower"] / 26)
     )
-    text = digits * math.log(mix["digit"] / 10) + signs * math.log(mix["sign"] / 4) + letters
+    text = digits * math.log(mix["digit"] / 10) + letters
     size = F.coalesce(*[F.when(F.rlike(token, F.lit(p)), len(a)) for _, p, a in ENCODINGS])
-    return -F.length(token) * F.log(size.cast("double")) - text
+    return -(digits + upper + lower) * F.log(size.cast("double")) - text
 
 
 def _random(token: Column) -> Column:
@@ -182,17 +184,15 @@ def _candidates(text: Column) -> Column:
 
 
 def character_mix(docs: DataFrame, text_col: str) -> dict[str, float]:
-    """Shares of digits, cases and signs among them in all texts, one added to each count."""
+    """Shares of digits and cases among them in all texts, one added to each count."""
     text = column(docs, text_col)
     counts = docs.agg(
         *[
             F.coalesce(F.sum(_count(text, chars).cast("long")), F.lit(0)).alias(name)
-            for name, chars in (
-                ("digit", DIGITS), ("upper", UPPER), ("lower", LOWER), ("sign", SIGNS)
-            )
+            for name, chars in (("digit", DIGITS), ("upper", UPPER), ("lower", LOWER))
         ]
     ).first().asDict()
-    total = sum(counts.values()) + 4
+    total = sum(counts.values()) + len(counts)
     mix = {name: (n + 1) / total for name, n in counts.items()}
     return mix | {"letter": mix["upper"] + mix["lower"]}
 

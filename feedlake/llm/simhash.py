@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import column, components, fresh, local_roots
+from feedlake.llm.common import column, components, fresh, local_roots, map_rows
 from feedlake.staging import stage
 
 SHINGLE_WORDS = 4
@@ -53,15 +53,14 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def with_fingerprint(docs: DataFrame, text: str, name: str) -> DataFrame:
     """docs with the fingerprint of its text column as a long column called name."""
     at = docs.columns.index(text)
-    schema = docs.withColumn(name, F.lit(0).cast("long")).schema
 
     def run(batches):
         for batch in batches:
             prints = pa.array([fingerprint(t.as_py()) for t in batch.column(at)], pa.int64())
-            names = [*batch.schema.names, name]
+            names = [*batch.schema.names, "n0"]
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, (name, "long"))
 
 
 def quarter_counts(prints: np.ndarray) -> np.ndarray:

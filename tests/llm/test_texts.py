@@ -1,0 +1,402 @@
+"""Operations on documents, against brute force and on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from llm import helpers
+
+from feedlake.llm import disclosure, langid, licences, mixing, packing, secrets, simhash
+from feedlake.llm.common import components, local_roots
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return helpers.documents(spark).cache()
+
+
+# --- components ---------------------------------------------------------------
+
+
+def test_components_of_chains_stars_and_copies(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(50)] + [(1000 + i, 999) for i in range(40)] + [(5, 5)]
+    links += [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(150)]
+    got = dict(map(tuple, components(spark.createDataFrame(links * 2, "a long, b long"), "a", "b").collect()))
+    left, right = (np.array(x) for x in zip(*links))
+    root = local_roots(2300, left, right)
+    assert all(got.get(n, n) == root[n] for n in range(2300) if n in got or root[n] != n)
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+# --- SimHash ------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = 4
+    parts = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(rows):
+    prints = np.array([plain_fingerprint(t) for _, t in rows], np.uint64)
+    near = np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+    root = local_roots(len(rows), *near)
+    low = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None:
+            low[r] = min(i, low.get(r, i))
+    return sorted(((i, f"{int(p):016x}", low.get(r)) for (i, _), p, r in zip(rows, prints, root)), key=repr)
+
+
+@pytest.mark.parametrize("tile_rows", [simhash.TILE_ROWS, 7])
+def test_simhash_finds_every_pair(docs, tile_rows):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = simhash.near_duplicates(docs, tile_rows=tile_rows)
+    assert helpers.rows(got, "doc_id", "fingerprint", "component_id") == plain_groups(rows)
+
+
+def test_simhash_on_odd_rows(odd):
+    rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    got = simhash.near_duplicates(odd)
+    assert helpers.rows(got, "doc_id", "fingerprint", "component_id") == plain_groups(rows)
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    assert kept.count() == len({c for _, _, c in plain_groups(rows)})
+    assert simhash.near_duplicates(helpers.empty(odd)).count() == 0
+    assert simhash.keep_first(helpers.empty(odd)).count() == 0
+
+
+def test_boxes_hold_close_prints_in_near_tiles(spark):
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    values = np.unique(np.concatenate([base, near]))
+    frame = spark.createDataFrame([(int(v.astype(np.int64)),) for v in values], "fp long")
+    links = simhash.near_links(frame, tile_rows=16).collect()
+    index = {int(v.astype(np.int64)): i for i, v in enumerate(values)}
+    got = local_roots(len(values), *(np.array([index[r[k]] for r in links]) for k in (0, 1)))
+    want = local_roots(len(values), *np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 4))
+    assert (got == want).all()
+
+
+# --- language -----------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predictions(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = got[got.held_out]
+    assert len(got) == docs.count() and len(held) > 100
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out))
+    assert (held.lang == held.lang_pred).mean() > 0.99
+    assert got.score.between(0, 1).all() and got.rejected.mean() < 0.01
+
+
+def test_language_on_odd_rows(odd):
+    got = {r["doc_id"]: r for r in langid.predictions(odd).collect()}
+    assert len(langid.predictions(odd).collect()) == odd.count()
+    for i in (40, 41, 47):
+        assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+    assert got[None]["held_out"] is False and got[3]["lang_pred"] == "en" and got[23]["lang_pred"] == "fr"
+    kept = langid.keep_identified(odd)
+    assert kept.columns == odd.columns and {r[0] for r in kept.select("doc_id").collect()} >= set(range(40))
+    assert langid.predictions(helpers.empty(odd)).count() == 0
+
+
+def test_language_without_labels_rejects_only_texts_without_letters(odd):
+    blank = odd.withColumn("lang", odd["lang"].substr(1, 0)).where("lang = 'none'").unionByName(
+        odd.selectExpr(*[f"`{c}`" if c != "lang" else "CAST(NULL AS STRING) AS lang" for c in odd.columns])
+    )
+    got = {r["doc_id"]: r for r in langid.predictions(blank).collect()}
+    assert got[3]["lang_pred"] == "und" and not got[3]["rejected"] and got[47]["rejected"]
+
+
+def test_pieces_do_not_depend_on_chunks(monkeypatch):
+    text = "Grüße an alle, the end. " * 40
+    whole = np.bincount(langid.pieces(text), minlength=1)
+    monkeypatch.setattr(langid, "CHUNK", len(text) // 2 * 2)
+    assert (np.bincount(langid.pieces(text), minlength=1) == whole).all()
+
+
+# --- personal data ------------------------------------------------------------
+
+
+def plain_personal(t):
+    s = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            s.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = [int(c) for c in re.sub("[^0-9]", "", m[0])][::-1]
+        luhn = sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+        if 14 <= len(digits) <= 19 and luhn % 10 == 0:
+            s.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            s.append((m.start(), 3, m.end()))
+    return sorted(s)
+
+
+def digest(spans, kinds):
+    return hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text("0123456789@.+- ()ab%_é", max_size=60))
+def test_personal_data_as_plain_patterns(text):
+    assert disclosure.base_spans(text) == plain_personal(text)
+
+
+def test_long_runs_stay_linear():
+    for text in ("9" * 300_000, "a" * 300_000 + "@", "+" * 300_000, "1." * 150_000, "a@" * 100_000):
+        disclosure.base_spans(text)
+
+
+def test_personal_data_of_documents(docs, odd):
+    for frame in (docs, odd):
+        texts = helpers.rows(frame, "doc_id", "text")
+        got = helpers.rows(disclosure.scan(frame), "doc_id", "base_sha256")
+        assert got == sorted(((i, digest(plain_personal(t or ""), disclosure.KINDS)) for i, t in texts), key=repr)
+    assert disclosure.scan(helpers.empty(odd)).count() == 0
+
+
+def test_terms_that_reveal_are_found_and_clean_documents_left_alone(spark):
+    common = "we met the other day and talked about many things"
+    rows = [(i, f"{common} number {'abcdefghij'[i % 10]}") for i in range(200)]
+    rows += [(900, f"{common} with Zebulon mail zeb@mail.example.com today"), (901, f"{common} with Zebulon")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in disclosure.scan(frame).collect()}
+    assert not any(spans[i] for i in [*range(200), 901])
+    text = dict(rows)[900]
+    kinds = {text[int(a) : int(b)]: k for k, a, b in (s.split(":") for s in spans[900].split(","))}
+    assert kinds["zeb@mail.example.com"] == "email" and kinds["Zebulon"] in disclosure.SPAN_KINDS[4:]
+    assert "talked" not in kinds and "the" not in kinds
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame).collect()}
+    assert clean[901] == dict(rows)[901] and "Zebulon" not in clean[900] and "[EMAIL]" in clean[900]
+
+
+def test_terms_counts_cover_all_documents(docs):
+    found = disclosure.scanned(docs, "doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counted = {}
+    for t in texts.values():
+        for term in {x.lower() for x in disclosure.TERM.findall(t)}:
+            counted[disclosure._hash(term)] = counted.get(disclosure._hash(term), 0) + 1
+    rows = [(r["row"], {(p["entity"], p["term"]) for p in r["pairs"]}) for r in found.collect()]
+    n_e, n_et = {}, {}
+    for _, pairs in rows:
+        for e in {e for e, _ in pairs}:
+            n_e[e] = n_e.get(e, 0) + 1
+        for p in pairs:
+            n_et[p] = n_et.get(p, 0) + 1
+    want = {}
+    for row, pairs in rows:
+        for e, t in pairs:
+            share = np.log(len(rows) * n_et[e, t] / (n_e[e] * counted[t])) / np.log(len(rows) / n_e[e])
+            if share >= disclosure.GENERALISE_FROM:
+                want[row, t] = max(share, want.get((row, t), share))
+    got = {(r["row"], r["term"]): r["share"] for r in disclosure.disclosing(docs, "text", found).collect()}
+    assert got.keys() == want.keys() and want
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+# --- secrets ------------------------------------------------------------------
+
+
+def plain_secrets(t):
+    assign = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    s = [(m.start(), 0, m.end()) for m in re.finditer(assign, t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(s)
+
+
+def test_secrets_as_plain_patterns(spark, docs, odd):
+    rng = random.Random(4)
+    parts = ["token", "SECRET", "api_key", "apikey", "=", ":", " ", '"', "AKIA", "ABCDEFGH12345678", "abc", "0f" * 13, "é😀", "\n", "x=y"]
+    mixed = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(800)]
+    fuzz = spark.createDataFrame([*mixed, (-1, None), (-2, "")], "doc_id long, text string")
+    for frame in (fuzz, docs, odd):
+        texts = helpers.rows(frame, "doc_id", "text")
+        got = helpers.rows(secrets.scan(frame), "doc_id", "base_sha256", "n_assign", "n_access", "n_hex")
+        want = []
+        for i, t in texts:
+            spans = plain_secrets(t or "")
+            counts = tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+            want.append((i, digest(spans, secrets.KINDS), *counts))
+        assert got == sorted(want, key=repr)
+    assert secrets.scan(helpers.empty(odd)).count() == 0
+
+
+def test_random_tokens_are_secrets_and_words_are_not(spark):
+    words = ["internationalizationofthings", "THERHAOUOUSHEDANDENANOUHASHWH", "aaaaaaaaaaaaaaaaaaaaaaaa1",
+             "12345678901234567890123456789012", "usr/local/share/python/site-packages", "innerHTMLParserFactoryBeanName"]
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzK3q9L2w"
+    prose = "and so it goes on with many more words of the same kind " * 20
+    frame = spark.createDataFrame(
+        [(i, f"{prose} {w} end") for i, w in enumerate(words)] + [(99, f"é {key}== end. {prose}")],
+        "doc_id long, text string",
+    )
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(frame).collect()}
+    assert spans[99] == f"random:2:{len(key) + 4}" and not any(spans[i] for i in range(len(words)))
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert masked[99].startswith("é [SECRET] end.") and masked[0] == f"{prose} {words[0]} end"
+
+
+def test_redaction_keeps_rows_and_columns(odd):
+    done = secrets.redact(odd)
+    assert done.columns == odd.columns and done.dtypes == odd.dtypes and done.count() == odd.count()
+    changed = odd.where("doc_id = 3").selectExpr("doc_id", "concat(text, ' token=abcdefgh.') AS text", "n_chars")
+    row = secrets.redact(changed).first()
+    assert row["text"].endswith(" [SECRET]") and row["n_chars"] == len(row["text"])
+
+
+# --- mixing -------------------------------------------------------------------
+
+
+def test_mix_meets_targets_and_reruns_agree(spark, docs):
+    weights = mixing.quality_weights(spark.read.parquet(f"{SF}/labels.parquet"))
+    got = mixing.mix(docs, weights).join(docs.select("doc_id", "source"), "doc_id").toPandas()
+    again = mixing.mix(docs.repartition(5), weights).toPandas()
+    assert got.set_index("doc_id").taken.to_dict() == again.set_index("doc_id").taken.to_dict()
+    assert (got.taken <= 3 * got["size"]).all() and len(got) == docs.count()
+    by = got.groupby("source").agg(t=("target", "first"), k=("taken", "sum"), n=("source_size", "first"), m=("size", "max"))
+    assert abs(by.t.sum() - got["size"].sum()) < 1e-6 and (by.t <= 3 * by.n + 1e-9).all()
+    assert ((by.k - by.t).abs() <= by.m / 2 + 1).all()
+
+
+def test_mix_shares_out_what_is_over_the_limit(spark):
+    rows = [(i, "w " * 100, "big") for i in range(100)] + [(200, "w " * 10, "a"), (201, "w " * 10, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["source_size"]: r["target"] for r in mixing.mix(frame.where("source = 'a' OR source = 'big'")).collect()}
+    assert got == {10: 30.0, 10000: 10010.0 - 30}
+    targets = mixing.mix(frame).join(frame.select("doc_id", "source"), "doc_id").collect()
+    assert {r["source"]: r["target"] for r in targets} == {"a": 30.0, "big": 9960.0, None: 30.0}
+
+
+def test_mix_on_odd_rows(odd):
+    got = mixing.mix(odd)
+    sizes = helpers.rows(got, "doc_id", "size")
+    plain = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in odd.collect()]
+    assert sizes == sorted(plain, key=repr)
+    out = mixing.mixed(odd)
+    assert out.columns == odd.columns and out.count() == got.agg({"copies": "sum"}).first()[0]
+    assert mixing.mix(helpers.empty(odd)).count() == 0 and mixing.mixed(helpers.empty(odd)).count() == 0
+
+
+# --- packing ------------------------------------------------------------------
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40)), st.sampled_from([64, 64, 100]))
+def test_plan_places_every_piece_once(counts, capacity):
+    used, content = dict.fromkeys(counts, 0), {}
+    for length, first, n, sequence, offset in packing.plan(counts, capacity):
+        assert first == used[length]
+        used[length] += n
+        for k in range(n):
+            content.setdefault(sequence + k, []).append((offset, length))
+    assert used == counts
+    for parts in content.values():
+        parts.sort()
+        ends = [o + n for o, n in parts]
+        assert [o for o, _ in parts] == [0, *ends[:-1]] and ends[-1] <= capacity
+        assert sum(3 * n > capacity for _, n in parts) <= 2
+    total = sum(x * n for x, n in counts.items())
+    assert len(content) <= max(1, 2 * total / capacity + 1)
+    assert sorted(content) == list(range(len(content)))
+
+
+def test_plan_matches_large_pieces_first():
+    places = packing.plan({60: 2, 40: 2, 30: 1, 10: 1}, 100)
+    assert len({s + k for _, _, n, s, _ in places for k in range(n)}) == 3
+
+
+def plain_pieces(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.vocabulary_path())
+    out = []
+    for i, text in texts:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = np.array(ids[at : at + 2048], "<u4")
+            out.append((i, k, at, len(part), zlib.crc32(part.tobytes())))
+    return sorted(out, key=repr)
+
+
+def test_packing_of_documents(docs, odd):
+    for frame in (docs, odd):
+        got = packing.pack(frame).toPandas()
+        own = [(None if i != i else int(i), *map(int, r)) for i, *r in got[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist()]
+        assert sorted(own, key=repr) == plain_pieces(helpers.rows(frame, "doc_id", "text"))
+        ordered = got.sort_values(["sequence_id", "offset"])
+        groups = ordered.groupby("sequence_id").length
+        assert (groups.cumsum() - ordered.length == ordered.offset).all() and groups.sum().max() <= 2048
+        assert groups.ngroups <= 1.02 * got.length.sum() / 2048 + 1
+    assert packing.pack(helpers.empty(odd)).count() == 0
+
+
+def test_packed_sequences_hold_the_ids(docs):
+    made = packing.sequences(docs).collect()
+    own = []
+    for r in made:
+        ids = np.frombuffer(r["ids"], "<u4")
+        own += [(p["doc_id"], p["length"], zlib.crc32(ids[p["offset"] : p["offset"] + p["length"]].tobytes())) for p in r["pieces"]]
+        assert sum(p["length"] for p in r["pieces"]) == len(ids)
+    assert sorted(own) == sorted((i, n, c) for i, _, _, n, c in plain_pieces(helpers.rows(docs, "doc_id", "text")))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab É.'s\x01\x1c <|endoftx>ǅİΣ1 \n", max_size=30), max_size=4))
+def test_word_by_word_ids_are_the_tokenizers(texts):
+    own = packing._encoder(packing.vocabulary_path())
+    plain = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == plain
+
+
+# --- licences -----------------------------------------------------------------
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+
+
+def test_licence_rules(spark, odd):
+    cases = {
+        1: (MIT, "MIT text", ""),
+        2: ("Some prose. Licensed under the Apache License, Version 2.0.", "Apache-2.0", ""),
+        3: ("Licensed under CC BY-NC-SA 4.0.\nReleased under the MIT License. Released under the MIT License.", "CC BY-NC-SA 4.0;MIT", ""),
+        4: ("The software is provided as is, without warranty of any kind.", "", "mit-warranty"),
+        5: (None, "", ""),
+        6: ("We drove with a license to the sea.", "", ""),
+        7: ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", ""),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licences.scan(frame).collect()}
+    assert got == {i: (a, b) for i, (_, a, b) in cases.items()}
+    assert licences.scan(odd).count() == odd.count() and licences.scan(helpers.empty(odd)).count() == 0
