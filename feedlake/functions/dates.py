@@ -11,13 +11,29 @@ from feedlake.functions.text import field, null_if_empty, trim_white_space
 
 # The weekday before a feed date, the offset after it, and the forms
 # in between; then the day format of arguments and the prefix of run ids.
-WEEKDAY_PATTERN = "^[A-Za-z]+, *"
+WEEKDAY_PATTERN = "^(?i:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*),? +"
 OFFSET_PATTERN = "(?:GMT|UTC)?([+-][0-9]{2}):?([0-9]{2})$"
 OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss] Z"
 ZONE_FORMAT = "d MMM yyyy HH:mm[:ss] z"
 LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss]"
 DATE_FORMAT = "d MMM yyyy"
 DAY_FORMAT = "yyyy-MM-dd"
+
+# Other spellings of feed dates, each brought to one of the forms above: what stands there,
+# and what it becomes. The year of two digits turns at 50.
+ISO_SPELLINGS = (
+    ("^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
+    ("^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00"),
+)
+DATED_SPELLINGS = (
+    (r"\s*\([^)]*\)$", ""),
+    (WEEKDAY_PATTERN, ""),
+    ("^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})", "$2 $1 $3"),
+    ("^([0-9]{1,2} [A-Za-z]{3})[a-z]*[.]?(?= )", "$1"),
+    ("^([0-9]{1,2} [A-Za-z]{3}) ([0-4][0-9])(?= |$)", "$1 20$2"),
+    ("^([0-9]{1,2} [A-Za-z]{3}) ([5-9][0-9])(?= |$)", "$1 19$2"),
+    (OFFSET_PATTERN, "$1$2"),
+)
 RUN_ID_PREFIX = "scrape_"
 
 
@@ -29,8 +45,10 @@ def published_text() -> Column:
 def with_published(items: DataFrame) -> DataFrame:
     """Adds publishedAt, the item's date, and dateError, true when a given date is none.
 
-    Dates may be ISO-8601 or RFC-822. The cleaned text is a column of its own, as it
-    is used several times and would otherwise be cleaned each time.
+    Dates may be ISO-8601 or RFC-822, with the usual variations: minutes without seconds,
+    slashes, full or shortened month names, years of two digits, the month in front, a
+    zone's name in brackets. The cleaned texts are columns of their own, as they are used
+    several times and would otherwise be cleaned each time.
     """
     text = F.col("_date_text")
     dated = F.col("_dated")
@@ -41,19 +59,26 @@ def with_published(items: DataFrame) -> DataFrame:
     # A plain cast would read "12:30" as today, so ISO needs its year in front. For
     # the rest the shape picks the one form to try, because a failed parse is dear.
     published = (
-        F.when(text.rlike("^[0-9]{4}"), F.try_to_timestamp(text))
+        F.when(text.rlike("^[0-9]{4}"), F.try_to_timestamp(F.col("_iso")))
         .when(dated.rlike("[+-][0-9]{4}$"), as_format(OFFSET_FORMAT))
         .when(dated.rlike("[A-Za-z]$"), as_format(ZONE_FORMAT))
         .when(F.contains(dated, F.lit(":")), as_format(LOCAL_FORMAT))
         .otherwise(as_format(DATE_FORMAT))
     )
-    without_weekday = F.regexp_replace(text, WEEKDAY_PATTERN, "")
+
+    def respelled(spellings) -> Column:
+        spelled = text
+        for pattern, by in spellings:
+            spelled = F.regexp_replace(spelled, pattern, by)
+        return spelled
+
     return (
         items.withColumn("_date_text", trim_white_space(published_text()))
-        .withColumn("_dated", F.regexp_replace(without_weekday, OFFSET_PATTERN, "$1$2"))
+        .withColumn("_iso", respelled(ISO_SPELLINGS))
+        .withColumn("_dated", respelled(DATED_SPELLINGS))
         .withColumn("publishedAt", published)
         .withColumn("dateError", text.isNotNull() & F.col("publishedAt").isNull())
-        .drop("_date_text", "_dated")
+        .drop("_date_text", "_iso", "_dated")
     )
 
 

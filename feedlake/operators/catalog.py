@@ -4,10 +4,10 @@ import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, text
-from feedlake.operators.positions import with_positions
 from feedlake.schema import CREATED_DATE
 
 # Paging defaults, the span of recent days and the messages.
@@ -17,8 +17,8 @@ MAX_DAYS = 365
 NOT_FOUND = "Article not found"
 BAD_DAYS = "Days must be between 1 and 365"
 
-# Above this many leading ids a page is found by position, not by a top-k heap.
-TOP_K_ROWS = 100_000
+# Ids per span that is counted to find a page: one row per span passes through one task.
+SPAN_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -86,10 +86,12 @@ def first_recent_day(days: int, as_of: dt.datetime) -> dt.date:
 
 def created_recently(articles: DataFrame, days: int, as_of: dt.datetime) -> DataFrame:
     """Articles of the last full days and of the day of as_of so far, no upper bound."""
+    as_of = dates.session_time(articles.sparkSession, as_of)
     return _created(articles, first_recent_day(days, as_of))
 
 
 def created_today(articles: DataFrame, as_of: dt.datetime) -> DataFrame:
+    as_of = dates.session_time(articles.sparkSession, as_of)
     return _created(articles, as_of.date(), as_of.date() + dt.timedelta(days=1))
 
 
@@ -110,49 +112,71 @@ def pagination(articles: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAU
     )
 
 
-def page_rows(
-    articles: DataFrame,
-    page: int = DEFAULT_PAGE,
-    limit: int = DEFAULT_LIMIT,
-    top_k_rows: int = TOP_K_ROWS,
-) -> DataFrame:
+@dataclass(frozen=True)
+class _Span:
+    """Ids that hold a page, how many rows above them to skip, and the number of all rows."""
+
+    low: int | None
+    high: int | None
+    skip: int
+    total: int
+
+
+def _find_page(articles: DataFrame, offset: int, limit: int) -> _Span:
+    """Where a page lies, from one pass that counts the rows of each span of ids."""
+    span = F.shiftright("id", SPAN_BITS).alias("span")
+    counts = articles.groupBy(span).agg(F.count("*").alias("n"))
+    newer = W.orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    holds = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+    low, high, before, total = placed.agg(
+        F.min(F.when(holds, F.col("span"))),
+        F.max(F.when(holds, F.col("span"))),
+        F.min(F.when(holds, F.col("before"))),
+        F.coalesce(F.sum("n"), F.lit(0)),
+    ).first()
+    if low is None:
+        return _Span(None, None, 0, total)
+    return _Span(low << SPAN_BITS, (high + 1 << SPAN_BITS) - 1, offset - before, total)
+
+
+def _rows_at(articles: DataFrame, at: _Span, limit: int) -> DataFrame:
+    if at.low is None:
+        return articles.limit(0)
+    held = articles.filter(F.col("id").between(at.low, at.high))
+    return held.orderBy(F.desc("id")).offset(at.skip).limit(limit)
+
+
+def page_rows(articles: DataFrame, page: int = DEFAULT_PAGE, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """One page by descending id; ids must be unique.
 
-    The page is first found on the id column alone. Its two outer ids then bound the
-    scan of the full rows, so only row groups that hold the page are read. They are
-    written as two different subqueries because two aggregates over the same ids
-    would be merged into one struct, which the scan cannot use as a bound; the first
-    page needs no upper one. A page
-    beyond top_k_rows is found by position instead of in a heap.
+    Shallow or deep, a page is found by counting: one pass over the rows the filters
+    leave counts them per span of 65,536 ids, the running sum names the spans that hold
+    the page, and only those are read again, through bounds that reach the scan. The
+    count runs when the page is asked for, so later appends do not move the page.
     """
     _check_paging(page, limit)
-    offset = (page - 1) * limit
-    ids = articles.select("id")
-    if offset + limit > top_k_rows:
-        # Positions go by the ids themselves, so no task holds offset + limit rows.
-        placed = with_positions(ids, F.desc("id"))
-        span = placed.filter(
-            (F.col("position") >= offset) & (F.col("position") < offset + limit)
-        )
-        bounds = span.agg(F.min("id"), F.max("id")).first()
-        low, high = (F.lit(b).cast("long") for b in bounds)
-        return articles.filter(F.col("id").between(low, high)).orderBy(F.desc("id"))
-    newest = ids.orderBy(F.desc("id")).offset(offset)
-    kept = articles.filter(F.col("id") >= newest.limit(limit).orderBy("id").limit(1).scalar())
-    if offset:
-        kept = kept.filter(F.col("id") <= newest.limit(1).scalar())
-    return kept.orderBy(F.desc("id")).limit(limit)
+    return _rows_at(articles, _find_page(articles, (page - 1) * limit, limit), limit)
 
 
 def keyset_page(articles: DataFrame, last_id: int | None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The page after last_id in descending order; no offset to skip over."""
+    """The page after last_id in descending order; no offset to skip over, nothing to count."""
     _check_paging(1, limit)
     older = articles if last_id is None else articles.filter(F.col("id") < last_id)
-    return page_rows(older, 1, limit)
+    return older.orderBy(F.desc("id")).limit(limit)
 
 
 def _page(articles: DataFrame, page: int, limit: int, **info) -> Page:
-    return Page(page_rows(articles, page, limit), pagination(articles, page, limit), info)
+    """A page and its totals, from the same counts."""
+    _check_paging(page, limit)
+    at = _find_page(articles, (page - 1) * limit, limit)
+    totals = articles.sparkSession.range(1).select(
+        F.lit(page).alias("page"),
+        F.lit(limit).alias("limit"),
+        F.lit(at.total).cast("long").alias("total"),
+        F.lit(-(-at.total // limit)).cast("long").alias("pages"),
+    )
+    return Page(_rows_at(articles, at, limit), totals, info)
 
 
 def list_articles(

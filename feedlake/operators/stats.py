@@ -28,7 +28,7 @@ def sources_ranked(articles: DataFrame) -> DataFrame:
 
 def is_today(articles: DataFrame, as_of: dt.datetime) -> Column:
     created = articles.schema["createdAt"].dataType
-    today = as_of.date()
+    today = dates.session_time(articles.sparkSession, as_of).date()
     return (F.col("createdAt") >= dates.day_start(today, created)) & (
         F.col("createdAt") < dates.day_start(today + dt.timedelta(days=1), created)
     )
@@ -53,9 +53,17 @@ def article_stats(articles: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
+# Key of rows without a source in a map, which takes no NULL key.
+NO_SOURCE = "(none)"
+
+
 def as_map(value: str = "count") -> Column:
-    """Aggregate that turns one row per source into a map; sources are a short list."""
-    return F.map_from_entries(F.collect_list(F.struct("source", value)))
+    """Aggregate that turns one row per source into a map, for source lists that fit one row.
+
+    The row forms above have no such limit and are the ones to use at size.
+    """
+    key = F.coalesce("source", F.lit(NO_SOURCE)).alias("source")
+    return F.map_from_entries(F.collect_list(F.struct(key, value)))
 
 
 def article_stats_record(articles: DataFrame, as_of: dt.datetime) -> DataFrame:

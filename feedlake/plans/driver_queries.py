@@ -110,9 +110,12 @@ def author_chain(spark, sf_dir):
     SELECT event_id,
            CASE event_type
              WHEN 'click' THEN date_trunc('second', ts)
-             WHEN 'view' THEN date_trunc('second', ts) - INTERVAL 1 HOUR
-             WHEN 'signup' THEN date_trunc('minute', ts)
-             WHEN 'purchase' THEN ts
+             WHEN 'view' THEN CASE event_id % 4
+               WHEN 3 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END - INTERVAL 1 HOUR
+             WHEN 'signup' THEN CASE event_id % 3
+               WHEN 1 THEN date_trunc('day', ts) ELSE date_trunc('minute', ts) END
+             WHEN 'purchase' THEN CASE event_id % 3
+               WHEN 0 THEN ts ELSE date_trunc('minute', ts) END
            END AS published_at,
            event_type = 'error' AS parse_error
     FROM events
@@ -120,11 +123,37 @@ def author_chain(spark, sf_dir):
 )
 def parse_pubdate(spark, sf_dir):
     ts, kind = F.col("ts"), F.col("event_type")
+
+    def in_turn(*forms):
+        """The forms by turns of the event id."""
+        turn = F.col("event_id") % len(forms)
+        return F.coalesce(*[F.when(turn == i, F.date_format(ts, f)) for i, f in enumerate(forms)])
+
     written = (
-        F.when(kind == "click", F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
-        .when(kind == "view", F.date_format(ts, "EEE, d MMM yyyy HH:mm:ss '+0100'"))
-        .when(kind == "signup", F.date_format(ts, "d MMM yyyy HH:mm '+00:00'"))
-        .when(kind == "purchase", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        F.when(
+            kind == "click",
+            in_turn(
+                "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+                "EEE, dd MMM yy HH:mm:ss 'GMT'",
+                "EEE, dd MMMM yyyy HH:mm:ss 'GMT'",
+            ),
+        )
+        .when(
+            kind == "view",
+            in_turn(
+                "EEE, d MMM yyyy HH:mm:ss '+0100'",
+                "EEE, d MMM yyyy HH:mm:ss '+0100 (CET)'",
+                "EEE MMM dd yyyy HH:mm:ss 'GMT+0100'",
+                "yyyy-MM-dd'T'HH:mm'+01:00'",
+            ),
+        )
+        .when(
+            kind == "signup", in_turn("d MMM yyyy HH:mm '+00:00'", "MMMM d, yyyy", "MMM d, yyyy HH:mm")
+        )
+        .when(
+            kind == "purchase",
+            in_turn("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "yyyy-MM-dd'T'HH:mm'Z'", "yyyy/MM/dd HH:mm"),
+        )
         .otherwise("invalid-date-string")
     )
     none = F.lit(None).cast("string")
@@ -267,17 +296,6 @@ def new_articles_by_source(spark, sf_dir):
     return counted.select("source", F.col("items").alias("new_articles"))
 
 
-@query(
-    """
-    SELECT doc_id, sha256(text) AS "contentHash" FROM documents WHERE source = 'src3'
-    QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1
-    """
-)
-def ingest_one_source(spark, sf_dir):
-    of_source = catalog.by_source(_hashed_documents(spark, sf_dir), "src3")
-    return dedup.first_wins(of_source, ["doc_id"]).select("doc_id", "contentHash")
-
-
 # --- whole ingest runs over landed feed files -------------------------------
 
 
@@ -318,6 +336,24 @@ def feed_file_ingest(spark, sf_dir):
     return _stored(spark, store)
 
 
+@query(
+    f"""
+    SELECT row_number() OVER (ORDER BY doc_id) AS id, 'Document ' || doc_id AS title,
+           'https://example.com/' || doc_id AS url, sha256(text) AS "contentHash", source,
+           {strip_sql('text')} AS description
+    FROM (SELECT * FROM documents WHERE source = 'src3'
+          QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)
+    """
+)
+def ingest_one_source(spark, sf_dir):
+    """All documents landed as RSS files, the files of one source ingested."""
+    landing, store = given.new_landing(spark), Store(new_path(spark, "store"))
+    given.land_items(given.document_items(spark, sf_dir), landing, "1")
+    reg = given.document_registry(spark, sf_dir)
+    ingest.run_ingest(spark, landing, store, "src3", registry=reg, started_at=given.AS_OF)
+    return _stored(spark, store)
+
+
 @query(STORED_SQL.replace("FIRST_FETCH", "1"))
 def feed_stream_ingest(spark, sf_dir):
     """Labelled documents land first, then all of them; a stream takes each up in turn."""
@@ -333,27 +369,37 @@ def feed_stream_ingest(spark, sf_dir):
 
 @query(
     """
-    WITH reg AS (SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source),
-    items AS (
-      SELECT d.*, r.source_ord FROM documents d JOIN reg r USING (source)
-      WHERE doc_id IN (SELECT doc_id FROM labels)),
+    WITH reg AS (
+      SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source
+      HAVING source <> 'src7'),
+    items AS (SELECT d.*, r.source_ord FROM documents d JOIN reg r USING (source)),
     firsts AS (
       SELECT source, count(*) AS n FROM (
         SELECT source FROM items
         QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY source_ord, doc_id) = 1)
       GROUP BY source)
-    SELECT r.source, CASE WHEN count(i.doc_id) = 0 THEN 'empty' ELSE 'completed' END AS status,
-           count(i.doc_id) AS items, CAST(0 AS BIGINT) AS malformed,
+    SELECT r.source, 'completed' AS status, count(*) AS items, CAST(0 AS BIGINT) AS malformed,
            CAST(0 AS BIGINT) AS unparsed_dates, coalesce(any_value(f.n), 0) AS new_articles
-    FROM reg r LEFT JOIN items i USING (source) LEFT JOIN firsts f USING (source)
+    FROM reg r JOIN items i USING (source) LEFT JOIN firsts f USING (source)
     GROUP BY r.source
+    UNION ALL
+    SELECT source, 'unregistered', count(*), 0, 0, 0 FROM documents WHERE source = 'src7'
+    GROUP BY source
+    UNION ALL SELECT DISTINCT 'no-' || source, 'empty', 0, 0, 0, 0 FROM reg
     """
 )
 def ingest_run_report(spark, sf_dir):
-    """Run rows per source after the labelled documents landed and were ingested."""
+    """Run rows per source after all documents landed: one source is not registered,
+    and beside each other source stands one that landed nothing."""
     landing, store = given.new_landing(spark), Store(new_path(spark, "store"))
-    given.land_items(given.labelled_documents(spark, sf_dir), landing, "1")
-    reg = given.document_registry(spark, sf_dir)
+    given.land_items(given.document_items(spark, sf_dir), landing, "1")
+    landed = given.document_registry(spark, sf_dir).filter("source <> 'src7'")
+    silent = landed.select(
+        (F.col("source_ord") + 1_000_000_000).alias("source_ord"),
+        F.concat(F.lit("no-"), "source").alias("source"),
+        "url",
+    )
+    reg = landed.unionByName(silent)
     ingest.run_ingest(spark, landing, store, registry=reg, started_at=given.AS_OF)
     per_source = store.runs(spark).filter(F.col("source") != ingest.ALL_SOURCES)
     return per_source.select(
@@ -387,8 +433,8 @@ def articles_page(spark, sf_dir):
     """
 )
 def articles_page_deep(spark, sf_dir):
-    """A deep page found by position, the way pages beyond the top-k bound are."""
-    return catalog.page_rows(given.event_articles(spark, sf_dir), page=30, top_k_rows=0)
+    """A deep page, found by the same counts as any other."""
+    return catalog.page_rows(given.event_articles(spark, sf_dir), page=30)
 
 
 @query("SELECT doc_id AS id, text AS title, source FROM documents WHERE source = 'src3'")

@@ -1,6 +1,7 @@
 """One ingest run: items in, new articles appended, run rows written."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,11 @@ from feedlake.sources.registry import (
     check_source,
     feed_registry,
     items_per_source,
+    unknown_sources,
     with_registry,
 )
 from feedlake.sources.store import Store
-from feedlake.staging import broadcast_if_small, stage
+from feedlake.staging import broadcast_if_small, run_folder, stage
 
 # States and wording of run rows.
 SCHEDULED = "scheduled"
@@ -25,6 +27,15 @@ EMPTY = "empty"
 FAILED = "failed"
 ALL_SOURCES = "all"
 NO_ITEMS = "No valid feed items found"
+SCRAPE_FAILED = "Failed to scrape"
+UNREGISTERED = "unregistered"
+NOT_REGISTERED = "Not in the registry"
+
+
+# item_ord of a scan stays below this many bits, so scans can be told apart above them.
+SOURCE_BITS = 48
+# Column that tells staged rows apart, whatever order they come with.
+ROW = "_staged_row"
 
 
 def run_record(
@@ -108,6 +119,13 @@ def _run_rows(report: DataFrame, started: dt.datetime) -> DataFrame:
     ).to(RUN)
 
 
+def empty_rows(sources: DataFrame, started: dt.datetime) -> DataFrame:
+    """Run rows of sources that had no items at all."""
+    zero = F.lit(0).cast("long")
+    counts = [zero.alias(c) for c in ("items", "malformed", "unparsed_dates", "new_articles")]
+    return _run_rows(sources.select("source", *counts), started)
+
+
 def ingest_items(
     items: DataFrame,
     store: Store,
@@ -120,10 +138,39 @@ def ingest_items(
 
     Items carry source, fetch, file_name, malformed and an item_ord that is unique in
     the batch. They are written once, with their hash, because deduplication, the
-    report and the projection all read them. Replaying the same items adds nothing.
+    report and the projection all read them; these copies go when the run ends.
+    Replaying the same items adds nothing. Items of sources that the registry lacks are
+    not stored; each such source gets a run row with their number.
     """
     spark = items.sparkSession
     started = dates.session_time(spark, started_at)
+    with run_folder(spark, "ingest"):
+        run_id = _ingest(items, store, registry, started, empty_content, report_empty)
+    return store.runs(spark).filter(
+        (F.col("run_id") == run_id) & (F.col("source") != ALL_SOURCES)
+    )
+
+
+def _ingest(
+    items: DataFrame,
+    store: Store,
+    registry: DataFrame,
+    started: dt.datetime,
+    empty_content: str,
+    report_empty: bool,
+) -> str:
+    spark = items.sparkSession
+    at = dates.time_literal(started)
+    run_id = spark.range(1).select(dates.run_id(at)).first()[0]
+    unknown = unknown_sources(items, registry).select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(UNREGISTERED).alias("status"),
+        F.coalesce("source", F.lit("")).alias("source"),
+        at.alias("started_at"),
+        "items",
+        *[F.lit(0).cast("long").alias(c) for c in ("malformed", "unparsed_dates", "new_articles")],
+        F.lit(NOT_REGISTERED).alias("message"),
+    )
     hashed = item_ops.with_content_hash(with_registry(items, registry), empty_content)
     staged = stage(
         dates.with_published(hashed).withColumn(
@@ -141,9 +188,12 @@ def ingest_items(
         "createdAt", dates.time_literal(started)
     )
     store.append_articles(articles, last_id, count)
+    bad = feeds.malformed_items(staged).select(F.lit(run_id).alias("run_id"), "*")
+    if not bad.isEmpty():
+        store.append_quarantine(bad)
     report = _run_rows(source_report(staged, numbered, registry, report_empty), started)
-    store.append_runs(report)
-    return report
+    store.append_runs(report.unionByName(unknown.to(RUN)))
+    return run_id
 
 
 def save_articles(
@@ -152,19 +202,43 @@ def save_articles(
     """Append ready article rows without ids, keeping a createdAt they already carry.
 
     Of rows with one content hash the first in the given order is kept, unless the
-    hash is stored already.
+    hash is stored already. The order may tie and hold nulls, which come first; ties go
+    by the place a row is staged at.
     """
     spark = rows.sparkSession
     given = F.col("createdAt") if "createdAt" in rows.columns else F.lit(None)
     created = dates.created_or(given, dates.session_time(spark, as_of))
-    dated = stage(rows.withColumn("createdAt", created), "rows")
-    firsts = stage(dedup.first_wins(dated.select(dedup.HASH, *order), list(order)), "first-keys")
-    keys = dedup.new_against(firsts, store.articles(spark), batch_rows=firsts.count())
-    last_id = store.max_id(spark)
-    numbered = positions.assign_ids(keys, *order, last_id=last_id)
-    wanted = dated.join(numbered.select(*order, "id"), list(order))
-    columns = [c for c in store.articles(spark).columns if c in wanted.columns]
-    store.append_articles(wanted.select(*columns), last_id, numbered.count())
+    with run_folder(spark, "save"):
+        placed = rows.withColumn("createdAt", created).withColumn(
+            ROW, F.monotonically_increasing_id()
+        )
+        dated = stage(placed, "rows")
+        place = [*order, ROW]
+        firsts = stage(dedup.first_wins(dated.select(dedup.HASH, *place), place), "first-keys")
+        n_firsts = firsts.count()
+        keys = dedup.new_against(firsts, store.articles(spark), batch_rows=n_firsts)
+        last_id = store.max_id(spark)
+        numbered = positions.assign_ids(keys, *place, last_id=last_id)
+        ids = broadcast_if_small(numbered.select(ROW, "id"), dedup.BROADCAST_ROWS, n_firsts)
+        wanted = dated.join(ids, ROW)
+        columns = [c for c in store.articles(spark).columns if c in wanted.columns]
+        store.append_articles(wanted.select(*columns), last_id, numbered.count())
+
+
+def _readable(read, asked: DataFrame, source: str | None) -> tuple[list[str], dict]:
+    """Sources that can be read, and the errors of those that cannot; the scan's own error
+    is raised again where nothing can be set apart."""
+    names = [] if source else [r["source"] for r in asked.orderBy("source_ord").toLocalIterator()]
+    readable, errors = [], {}
+    for name in names:
+        try:
+            read(name).agg(F.count_if("malformed")).first()
+            readable.append(name)
+        except Exception as e:
+            errors[name] = e
+    if not readable or not errors:
+        raise
+    return readable, errors
 
 
 def run_ingest(
@@ -183,19 +257,42 @@ def run_ingest(
 
     Without a fetch every landed file is read again; name one to read its files only,
     or let stream_ingest remember what it has read. The run is on record before it
-    starts and after it ends; a failure is recorded and raised.
+    starts and after it ends. A source with an unreadable file fails alone, with its
+    own row; a failure of the whole run is recorded and raised.
     """
     registry = feed_registry(spark) if registry is None else registry
     started = dates.session_time(spark, started_at)
     store.append_runs(run_record(spark, source, started, registry))
     asked = registry.filter(F.col("source") == source) if source else registry
+
+    def read(name: str | None) -> DataFrame:
+        return feeds.read_feeds(spark, landing, name, row_tag, charset, fetch)
+
+    def failed(name: str | None, e: Exception) -> None:
+        message = f"{SCRAPE_FAILED}: {e}"
+        store.append_runs(run_record(spark, name, started, registry, FAILED, message))
+
     try:
-        items = feeds.read_feeds(spark, landing, source, row_tag, charset, fetch)
-        ingest_items(items, store, asked, started, empty_content)
+        try:
+            ingest_items(read(source), store, asked, started, empty_content)
+        except Exception:
+            # One unreadable file fails a scan as a whole, so the sources are read one by
+            # one to find whose it is. A single source has nothing to be set apart from.
+            readable, errors = _readable(read, asked, source)
+            with run_folder(spark, "readable"):
+                parts = [
+                    stage(read(name), "source").withColumn(
+                        "item_ord", F.col("item_ord") + F.lit(k << SOURCE_BITS)
+                    )
+                    for k, name in enumerate(readable)
+                ]
+                rest = asked.filter(~F.col("source").isin(list(errors)))
+                items = reduce(DataFrame.unionByName, parts)
+                ingest_items(items, store, rest, started, empty_content)
+            for name, e in errors.items():
+                failed(name, e)
     except Exception as e:
-        store.append_runs(
-            run_record(spark, source, started, registry, FAILED, f"Failed to scrape: {e}"[:1000])
-        )
+        failed(source, e)
         raise
     done = f"Scraping completed for {source or 'all sources'}"
     record = run_record(spark, source, started, registry, COMPLETED, done)

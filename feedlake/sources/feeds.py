@@ -38,9 +38,11 @@ def _items(files: DataFrame) -> DataFrame:
         F.col("feed").alias("source"),
         default_if_empty(F.col("fetch"), "").alias("fetch"),
         F.col("_metadata.file_name").alias("file_name"),
-        # A part that cannot be parsed has no fields; naming one here lets the flag
-        # be queried alone, which Spark refuses for the corrupt column.
-        (F.col(CORRUPT).isNotNull() & F.col("title").isNull()).alias("malformed"),
+        # A part that broke off may hold its first fields; none of it counts. Naming a
+        # field lets the flag be queried alone, which Spark refuses for the corrupt column.
+        (
+            F.col(CORRUPT).isNotNull() & (F.coalesce(F.size("title"), F.lit(-1)) >= -1)
+        ).alias("malformed"),
     )
 
 
@@ -88,6 +90,11 @@ def good_items(items: DataFrame) -> DataFrame:
     return items.filter(~F.col("malformed"))
 
 
+def malformed_items(items: DataFrame) -> DataFrame:
+    """Places of unreadable items: (source, fetch, file_name, item_ord), without their text."""
+    return items.filter("malformed").select("source", "fetch", "file_name", "item_ord")
+
+
 def malformed_files(items: DataFrame) -> DataFrame:
     """Files with unreadable parts, to look at later: (source, fetch, file_name, parts)."""
     return (

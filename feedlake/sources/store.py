@@ -13,6 +13,13 @@ from feedlake.schema import ARTICLE, CREATED_DATE, RUN
 # Some 250 MB of article text.
 ROWS_PER_FILE = 100_000
 
+QUARANTINE = T.StructType(
+    [
+        T.StructField(name, T.LongType() if name == "item_ord" else T.StringType())
+        for name in ("run_id", "source", "fetch", "file_name", "item_ord")
+    ]
+)
+
 STORED_ARTICLE = T.StructType(
     list(ARTICLE.fields) + [T.StructField(CREATED_DATE, T.DateType())]
 )
@@ -41,6 +48,17 @@ class Store:
     def runs_path(self) -> str:
         return f"{self.path}/ingest_runs"
 
+    @property
+    def quarantine_path(self) -> str:
+        return f"{self.path}/quarantine"
+
+    def quarantine(self, spark: SparkSession) -> DataFrame:
+        """Places of the items that could not be read, by run."""
+        return _read(spark, self.quarantine_path, QUARANTINE)
+
+    def append_quarantine(self, places: DataFrame) -> None:
+        places.write.mode("append").parquet(self.quarantine_path)
+
     def articles(self, spark: SparkSession) -> DataFrame:
         return _read(spark, self.articles_path, STORED_ARTICLE)
 

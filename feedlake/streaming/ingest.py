@@ -1,14 +1,49 @@
 """Incremental ingest: newly landed files only, deduplicated against the store."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlake.plans.ingest import ingest_items
+from feedlake.functions import dates
+from feedlake.plans import ingest
 from feedlake.sources.feeds import stream_feeds, with_item_order
-from feedlake.sources.registry import feed_registry
+from feedlake.sources.registry import feed_registry, sources_without_items
 from feedlake.sources.store import Store
 
 
+class Trigger:
+    """A started stream run. awaitTermination ends it and puts it on record."""
+
+    def __init__(self, spark, store: Store, registry: DataFrame, started: dt.datetime):
+        self.spark, self.store, self.registry, self.started = spark, store, registry, started
+        self.batches: list[str] = []
+        self.query: StreamingQuery | None = None
+
+    def awaitTermination(self) -> None:
+        """Wait for all batches; then report the sources without items and the end of the run.
+
+        A run without new files and a failed run leave their rows as well.
+        """
+        try:
+            self.query.awaitTermination()
+        except Exception as e:
+            self._record(ingest.FAILED, f"{ingest.SCRAPE_FAILED}: {e}")
+            raise
+        runs = self.store.runs(self.spark).filter(F.col("run_id").isin(self.batches))
+        seen = runs.filter("items > 0 OR malformed > 0").select("source")
+        self.store.append_runs(
+            ingest.empty_rows(sources_without_items(seen, self.registry), self.started)
+        )
+        self._record(ingest.COMPLETED, "Scraping completed for all sources")
+
+    def _record(self, status: str, message: str) -> None:
+        self.store.append_runs(
+            ingest.run_record(self.spark, None, self.started, self.registry, status, message)
+        )
+
+
 def stream_ingest(
     spark: SparkSession,
     landing: str,
@@ -19,28 +54,30 @@ def stream_ingest(
     row_tag: str = "item",
     charset: str = "UTF-8",
     max_files_per_batch: int | None = None,
-) -> StreamingQuery:
+) -> Trigger:
     """Start a query that ingests all files landed since the last one, then stops.
 
     The store is the deduplication state, so it neither grows in the stream nor
-    expires, and a replayed batch adds nothing.
+    expires, and a replayed batch adds nothing. Each batch reports the sources it has
+    items of; what is empty is known, and reported, at the end of the run.
     """
     registry = feed_registry(spark) if registry is None else registry
     items = stream_feeds(spark, landing, row_tag, charset, max_files_per_batch)
+    trigger = Trigger(spark, store, registry, dates.session_time(spark))
+    store.append_runs(ingest.run_record(spark, None, trigger.started, registry))
 
     def ingest_batch(batch: DataFrame, _: int) -> None:
-        ingest_items(
-            with_item_order(batch),
-            store,
-            registry,
-            empty_content=empty_content,
-            # A batch of some files says nothing about the other sources.
-            report_empty=max_files_per_batch is None,
+        started = dates.session_time(spark)
+        ingest.ingest_items(
+            with_item_order(batch), store, registry, started, empty_content, report_empty=False
         )
+        at = dates.run_id(dates.time_literal(started))
+        trigger.batches.append(spark.range(1).select(at).first()[0])
 
-    return (
+    trigger.query = (
         items.writeStream.foreachBatch(ingest_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+    return trigger

@@ -67,10 +67,25 @@ def test_pages(three):
     assert ids(beyond.rows) == [] and totals(beyond) == (3, 2, 3, 2)
 
 
-def test_deep_pages_equal_shallow_ones(three):
-    for page in (1, 2, 3):
-        deep = catalog.page_rows(three, page, 2, top_k_rows=0)
-        assert ids(deep) == ids(catalog.page_rows(three, page, 2))
+@pytest.mark.parametrize("bits", [0, 3, 16])
+def test_pages_are_found_whatever_the_spans(spark, monkeypatch, bits):
+    monkeypatch.setattr(catalog, "SPAN_BITS", bits)
+    known = [*range(1, 40, 3), 1000, 70_000, 70_001, 200_000]
+    rows = article(spark, [(i, "t", "a") for i in known])
+    newest = sorted(known, reverse=True)
+    for limit in (1, 4, 100):
+        for page in (1, 2, 5, 30):
+            at = (page - 1) * limit
+            assert ids(catalog.page_rows(rows, page, limit)) == newest[at : at + limit]
+
+
+def test_a_page_reads_all_rows_once_and_writes_nothing(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    article(spark, [(i, f"t{i}", "a") for i in range(1, 300_001, 100)]).write.parquet(path)
+    page = catalog.list_articles(spark.read.parquet(path), 2, 5, search="t")
+    plan = page.rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id," in plan and "LessThanOrEqual(id," in plan
+    assert totals(page) == (2, 5, 3000, 600)
 
 
 def test_keyset_equals_offset(three):

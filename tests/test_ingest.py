@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from feedfiles import land, plain_time, utc
@@ -147,7 +148,8 @@ def test_failing_and_empty_feeds_do_not_stop_others(spark, place):
     land(place[0], "not-registered", [item(2)])
     assert titles(run(spark, place)) == ["T1"]
     runs = {r["source"]: r for r in place[1].runs(spark).filter("source <> 'all'").collect()}
-    assert len(runs) == 28
+    assert len(runs) == 29
+    assert (runs["not-registered"]["status"], runs["not-registered"]["items"]) == ("unregistered", 1)
     assert runs["idnes.cz"]["status"] == "failed" and runs["idnes.cz"]["malformed"] == 1
     assert runs["blesk.cz"]["status"] == "empty"
     assert runs["blesk.cz"]["message"] == "No valid feed items found for blesk.cz"
@@ -214,9 +216,74 @@ def test_stream_in_small_batches(spark, place, tmp_path):
     rows = store.articles(spark).orderBy("id").collect()
     assert [r["id"] for r in rows] == [1, 2, 3, 4]
     assert {r["title"] for r in rows} == {"T0", "T1", "T2", "T9"}
-    runs = store.runs(spark).collect()
-    assert len({r["run_id"] for r in runs}) == 2
-    assert {r["status"] for r in runs} == {"completed"} and len(runs) == 3
+    runs = [r for r in store.runs(spark).collect() if r["source"] != "all"]
+    # Two batches with items, and the sources without any at the end of the run.
+    assert len({r["run_id"] for r in runs}) == 3
+    assert sorted(r["status"] for r in runs) == ["completed"] * 3 + ["empty"] * 25
+
+
+def test_every_stream_run_leaves_its_rows(spark, place, tmp_path):
+    landing, store = place
+    land(landing, "idnes.cz", [item(1)])
+    for _ in range(2):
+        stream_ingest(spark, landing, store, str(tmp_path / "cp")).awaitTermination()
+    rows = store.runs(spark).collect()
+    assert sorted(r["status"] for r in rows if r["source"] == "all") == ["completed"] * 2 + ["scheduled"] * 2
+    assert sum(r["status"] == "empty" for r in rows) == 27 + 28
+
+
+def test_half_parsed_items_are_set_aside_and_their_cure_is_taken(spark, place):
+    def feed(*descriptions):
+        body = "".join(
+            f"<item><title>T{i}</title><link>l{i}</link><description>{d}</description></item>"
+            for i, d in enumerate(descriptions)
+        )
+        return f"<rss><channel>{body}</channel></rss>"
+
+    landing, store = place
+    land(landing, "idnes.cz", feed("good", "a&nbsp;b", "x & y", "fine", "and so on&hellip;"))
+    assert titles(run(spark, place)) == ["T0", "T3"]
+    row = store.runs(spark).filter("source = 'idnes.cz'").first()
+    assert (row["items"], row["malformed"], row["new_articles"]) == (2, 3, 2)
+    held = store.quarantine(spark).orderBy("item_ord").collect()
+    assert [(r["source"], r["file_name"]) for r in held] == [("idnes.cz", "feed.xml")] * 3
+    assert [r["item_ord"] - held[0]["item_ord"] for r in held] == [0, 1, 3]
+    land(landing, "idnes.cz", feed("good", "a b", "x &amp; y", "fine", "and so on..."), fetch="2")
+    assert titles(run(spark, place, fetch="2")) == ["T0", "T3", "T1", "T2", "T4"]
+
+
+def test_an_unreadable_file_fails_its_own_source_only(spark, place):
+    landing, store = place
+    land(landing, "idnes.cz", [item(1)])
+    land(landing, "novinky.cz", [item(2)])
+    folder = Path(landing) / "fetch=1" / "feed=blesk.cz"
+    folder.mkdir(parents=True)
+    (folder / "feed.xml.gz").write_bytes(b"\x1f\x8b\x08\x00 no gzip at all")
+    assert titles(run(spark, place)) == ["T1", "T2"]
+    rows = {r["source"]: r for r in store.runs(spark).collect() if r["status"] != "scheduled"}
+    assert rows["blesk.cz"]["status"] == "failed"
+    assert rows["blesk.cz"]["message"].startswith("Failed to scrape: ")
+    assert rows["idnes.cz"]["status"] == rows["all"]["status"] == "completed"
+
+
+def test_a_failure_is_told_in_full(spark, place, monkeypatch):
+    def fail(*_, **__):
+        raise RuntimeError("x" * 5000)
+
+    monkeypatch.setattr(ingest.feeds, "read_feeds", fail)
+    with pytest.raises(RuntimeError):
+        ingest.run_ingest(spark, place[0], place[1])
+    failed = place[1].runs(spark).filter("status = 'failed'").first()
+    assert failed["message"] == "Failed to scrape: " + "x" * 5000
+
+
+def test_a_run_leaves_nothing_staged(spark, place):
+    from feedlake.staging import shared_dir
+
+    land(place[0], "idnes.cz", [item(1), item(2)])
+    before = set(Path(shared_dir(spark)).iterdir())
+    assert len(run(spark, place)) == 2
+    assert set(Path(shared_dir(spark)).iterdir()) == before
 
 
 def test_one_source_opens_its_files_only(spark, place):
@@ -284,6 +351,19 @@ def test_save_articles_keeps_given_times(spark, place):
     ]
 
 
+def test_save_articles_takes_ties_and_nulls_in_the_order(spark, place):
+    rows = spark.sql(
+        """
+        SELECT * FROM VALUES (1, 't1', 'u1', 'h1', 's'), (1, 't2', 'u2', 'h2', 's'),
+          (NULL, 't3', 'u3', 'h3', 's') AS v(ord, title, url, contentHash, source)
+        """
+    )
+    ingest.save_articles(rows, place[1], "ord")
+    saved = place[1].articles(spark).orderBy("id").collect()
+    assert [r["id"] for r in saved] == [1, 2, 3] and saved[0]["title"] == "t3"
+    assert sorted(titles(saved)) == ["t1", "t2", "t3"]
+
+
 def test_reports(spark, place):
     store = place[1]
     as_of = utc("2024-01-01T12:34:56")

@@ -2,6 +2,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from feedlake.plans import driver_queries
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -12,10 +13,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(driver_queries.QUERIES) == set(driver_queries.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(driver_queries.QUERIES))
 def test_query_agrees_with_sql(spark, con, name):
     sql = entry.oracle_sql()[name]
     assert oracle.differences(spark, con, entry.queries()[name], sql, SF_DIR) is None
