@@ -30,8 +30,11 @@ END_ID = 0
 VOCABULARY = "word_bpe_49k.json"
 # Words whose ids a Python worker keeps; beyond it starts afresh.
 KEPT_WORDS = 1_000_000
+LEARNED_AT_ONCE = 20_000
 # A word of its own between the words that are encoded together.
 MARK = b"\x01"
+# What the vocabulary's last token of a word ends with.
+WORD_END = "</w>"
 # Numbering splits a length with many pieces into groups of about this many.
 GROUP_PIECES = 1_000_000
 
@@ -46,7 +49,10 @@ class WordEncoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its words in turn. Words seen before are looked up; new ones are encoded together.
+    of its words in turn. Case does not count, and a full stop or comma after an ASCII
+    letter or digit is a token of its own. Words seen before are looked up; new ones are
+    encoded together: those of letters alone end with an end-of-word token, between others
+    stands a mark.
     """
 
     def __init__(self, path: str):
@@ -55,39 +61,55 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        (self.mark,) = self._ids(MARK.decode())
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        plain = []
+        (self.mark,) = self._ids(MARK.decode()).tolist()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.stops = {c: self._ids(c.decode()).tobytes() for c in (b".", b",")}
+
+    def _ids(self, text: str) -> np.ndarray:
+        (encoding,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoding.ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Adds words that are not known and do not end with a stop of their own."""
+        letters, others = [], []
         for word in words:
             if MARK in word or b"<|" in word:
-                self.known[word] = np.array(self._ids(word.decode()), "<u4").tobytes()
+                self.known[word] = self._ids(word.decode()).tobytes()
+            # The one letter whose lower case is not a letter alone is left out.
+            elif word.isalpha() or (text := word.decode()).isalpha() and "\u0130" not in text:
+                letters.append(word)
             else:
-                plain.append(word)
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            joined = (b" " + MARK + b" ").join(part).decode()
-            ids = np.array(self._ids(joined), "<u4")
-            for word, own in zip(part, np.split(ids, np.flatnonzero(ids == self.mark))):
-                self.known[word] = own[own != self.mark].tobytes()
+                others.append(word)
+        for kind, joint in ((letters, b" "), (others, b" " + MARK + b" ")):
+            for at in range(0, len(kind), LEARNED_AT_ONCE):
+                part = kind[at : at + LEARNED_AT_ONCE]
+                ids = self._ids(joint.join(part).decode())
+                if joint == b" ":
+                    cuts = np.flatnonzero(self.ends[ids])[:-1] + 1
+                    own = [x.tobytes() for x in np.split(ids, cuts)]
+                else:
+                    cuts = np.flatnonzero(ids == self.mark)
+                    own = [x[x != self.mark].tobytes() for x in np.split(ids, cuts)]
+                self.known.update(zip(part, own, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t or "").encode().split() for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new.difference_update(self.known)
-        if new:
-            kept = len(self.known)
-            self._learn(new)
-            if len(self.known) < kept + len(new):
-                self._learn({w for words in split for w in words} - self.known.keys())
+        split = []
+        for text in texts:
+            raw = (text or "").encode()
+            # A control string is one in lower case only.
+            split.append((raw if b"<|" in raw else raw.lower()).split())
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known.clear()
+            new = set().union(*split)
+        stopped = {w: w[:-1] for w in new if w[-1:] in self.stops and w[-2:-1].isalnum()}
+        stems = (new - stopped.keys()).union(stopped.values()).difference(self.known)
+        self._learn(list(stems))
+        for word, stem in stopped.items():
+            self.known[word] = self.known[stem] + self.stops[word[-1:]]
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
