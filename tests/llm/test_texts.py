@@ -248,7 +248,7 @@ def test_random_tokens_are_secrets_and_words_are_not(spark):
     words = ["internationalizationofthings", "THERHAOUOUSHEDANDENANOUHASHWH", "aaaaaaaaaaaaaaaaaaaaaaaa1",
              "12345678901234567890123456789012", "usr/local/share/python/site-packages", "innerHTMLParserFactoryBeanName"]
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzK3q9L2w"
-    prose = "and so it goes on with many more words of the same kind " * 20
+    prose = "And so It goes on With many More words of the same Kind " * 20
     frame = spark.createDataFrame(
         [(i, f"{prose} {w} end") for i, w in enumerate(words)] + [(99, f"é {key}== end. {prose}")],
         "doc_id long, text string",
