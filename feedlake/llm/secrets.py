@@ -117,7 +117,6 @@ def _battery(values: Column, size: Column, alphabet: Column) -> Column:
     p_chi = _tail((chi - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n))
 
     # Runs above and below the middle of the alphabet.
-    above = F.size(F.filter(values, lambda x: 2 * x >= alphabet)).cast("double")
     pairs = F.arrays_zip(
         F.slice(values, 1, size - 1).alias("x"), F.slice(values, 2, size - 1).alias("y")
     )
@@ -125,16 +124,30 @@ def _battery(values: Column, size: Column, alphabet: Column) -> Column:
     def side(v):
         return 2 * v >= alphabet
 
-    turns = F.size(F.filter(pairs, lambda p: side(p["x"]) != side(p["y"]))).cast("double")
-    expected = 2 * above * (n - above) / n + 1
-    spread = (expected - 1) * (expected - 2) / (n - 1)
-    p_runs = F.when(spread > 0, _tail((turns + 1 - expected) / F.sqrt(spread))).otherwise(0.0)
+    def runs(counts):
+        above, turns = counts["above"], counts["turns"]
+        expected = 2 * above * (n - above) / n + 1
+        spread = (expected - 1) * (expected - 2) / (n - 1)
+        return F.when(spread > 0, _tail((turns + 1 - expected) / F.sqrt(spread))).otherwise(0.0)
 
-    mean = F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n
-    var = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.pow(v - mean, F.lit(2)))
-    co = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
-    p_serial = F.when(var > 0, _tail((co / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    counts = F.struct(
+        F.size(F.filter(values, side)).cast("double").alias("above"),
+        F.size(F.filter(pairs, lambda p: side(p["x"]) != side(p["y"]))).cast("double").alias("turns"),
+    )
+
+    # The mean is worked out before the sums that use it for every character.
+    def serial(mean):
+        def moments(sums):
+            return F.when(
+                sums["var"] > 0, _tail((sums["co"] / sums["var"] + 1 / n) * F.sqrt(n))
+            ).otherwise(0.0)
+
+        var = F.aggregate(values, F.lit(0.0), lambda s, v: s + F.pow(v - mean, F.lit(2)))
+        co = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + (p["x"] - mean) * (p["y"] - mean))
+        return _let(F.struct(var.alias("var"), co.alias("co")), moments)
+
+    p_serial = _let(F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n, serial)
+    return F.least(F.lit(1.0), 3 * F.least(p_chi, _let(counts, runs), p_serial))
 
 
 def _count(token: Column, chars: str) -> Column:
