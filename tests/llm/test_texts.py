@@ -246,7 +246,7 @@ def test_secrets_as_plain_patterns(spark, docs, odd):
 
 def test_random_tokens_are_secrets_and_words_are_not(spark):
     words = ["internationalizationofthings", "THERHAOUOUSHEDANDENANOUHASHWH", "aaaaaaaaaaaaaaaaaaaaaaaa1",
-             "12345678901234567890123456789012", "usr/local/share/python/site-packages", "innerHTMLParserFactoryBeanName"]
+             "1234567890123456789012345678901234567890", "usr/local/share/python/site-packages", "innerHTMLParserFactoryBeanName"]
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzK3q9L2w"
     prose = "And so It goes on With many More words of the same Kind " * 20
     frame = spark.createDataFrame(
