@@ -35,7 +35,8 @@ LEARNED_AT_ONCE = 20_000
 MARK = b"\x01"
 # What the vocabulary's last token of a word ends with.
 WORD_END = "</w>"
-# Numbering splits a length with many pieces into groups of about this many.
+# Numbering splits each length into this many groups, more where groups would pass this size.
+GROUPS = 64
 GROUP_PIECES = 1_000_000
 
 
@@ -243,7 +244,7 @@ def place(narrow: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The driver sees the histogram of lengths, at most capacity rows. A length that many
     pieces share is numbered in groups of its own.
     """
-    groups = max(1, -(-narrow.count() // GROUP_PIECES))
+    groups = max(GROUPS, narrow.count() // GROUP_PIECES)
     mixed = F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).alias("_group")
     grouped = narrow.select("*", mixed)
     sizes = grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
