@@ -88,6 +88,20 @@ def test_a_page_reads_all_rows_once_and_writes_nothing(spark, tmp_path):
     assert totals(page) == (2, 5, 3000, 600)
 
 
+def test_today_is_the_sessions_day_whatever_zone_the_moment_comes_in(spark):
+    rows = spark.sql("SELECT 1L AS id, 's' AS source, timestamp '2024-01-16 04:00:00Z' AS createdAt")
+    late = dt.datetime(2024, 1, 15, 23, 30, tzinfo=dt.timezone(dt.timedelta(hours=-5)))
+    assert ids(catalog.created_today(rows, late)) == [1]
+    assert ids(catalog.created_recently(rows, 1, late)) == [1]
+    assert stats.article_stats_record(rows, late).first()["today"] == 1
+
+
+def test_rows_without_a_source_are_counted(spark):
+    rows = article(spark, [(1, "t", None), (2, "t", "a"), (3, "t", None)])
+    counts = stats.count_by_source(rows).agg(stats.as_map().alias("m")).first()["m"]
+    assert counts == {"a": 1, stats.NO_SOURCE: 2}
+
+
 def test_keyset_equals_offset(three):
     assert ids(catalog.keyset_page(three, None, 2)) == [3, 2]
     assert ids(catalog.keyset_page(three, 2, 2)) == [1]
