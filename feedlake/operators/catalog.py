@@ -122,10 +122,15 @@ class _Span:
     total: int
 
 
+def counts_per_span(articles: DataFrame) -> DataFrame:
+    """(span, n): how many rows have ids in each span of 2^SPAN_BITS."""
+    span = F.shiftright("id", SPAN_BITS).alias("span")
+    return articles.groupBy(span).agg(F.count("*").alias("n"))
+
+
 def _find_page(articles: DataFrame, offset: int, limit: int) -> _Span:
     """Where a page lies, from one pass that counts the rows of each span of ids."""
-    span = F.shiftright("id", SPAN_BITS).alias("span")
-    counts = articles.groupBy(span).agg(F.count("*").alias("n"))
+    counts = counts_per_span(articles)
     newer = W.orderBy(F.desc("span")).rowsBetween(W.unboundedPreceding, -1)
     placed = counts.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
     holds = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
