@@ -162,7 +162,14 @@ def _ingest(
     spark = items.sparkSession
     at = dates.time_literal(started)
     run_id = spark.range(1).select(dates.run_id(at)).first()[0]
-    unknown = unknown_sources(items, registry).select(
+    hashed = item_ops.with_content_hash(with_registry(items, registry, "left"), empty_content)
+    landed = stage(
+        dates.with_published(hashed).withColumn(
+            "valid", item_ops.is_valid_item() & ~F.col("malformed")
+        ),
+        "items",
+    )
+    unknown = unknown_sources(landed, registry).select(
         F.lit(run_id).alias("run_id"),
         F.lit(UNREGISTERED).alias("status"),
         F.coalesce("source", F.lit("")).alias("source"),
@@ -171,13 +178,7 @@ def _ingest(
         *[F.lit(0).cast("long").alias(c) for c in ("malformed", "unparsed_dates", "new_articles")],
         F.lit(NOT_REGISTERED).alias("message"),
     )
-    hashed = item_ops.with_content_hash(with_registry(items, registry), empty_content)
-    staged = stage(
-        dates.with_published(hashed).withColumn(
-            "valid", item_ops.is_valid_item() & ~F.col("malformed")
-        ),
-        "items",
-    )
+    staged = landed.filter("source_ord IS NOT NULL")
     keys = new_keys(staged, store.articles(spark)).select("source", *feeds.POSITION)
     # Ids rest on written tables, so neither the join nor the report sees the append.
     last_id = store.max_id(spark)

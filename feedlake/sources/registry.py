@@ -104,13 +104,16 @@ def registry_violations(registry: DataFrame) -> DataFrame:
     return duplicates.unionByName(per_row)
 
 
-def with_registry(items: DataFrame, registry: DataFrame) -> DataFrame:
-    """Items of registered sources, with the feed url and reading order."""
+def with_registry(items: DataFrame, registry: DataFrame, how: str = "inner") -> DataFrame:
+    """Items of registered sources, with the feed url and reading order.
+
+    With how="left" items of other sources stay, without both.
+    """
     rows, names = registry.agg(F.count("*"), F.count_distinct("source")).first()
     if rows != names:
         raise ValueError("Registry names must be set and unique")
     feeds = registry.select("source", F.col("url").alias("feed_url"), "source_ord")
-    return items.join(broadcast_if_small(feeds, BROADCAST_SOURCES, rows), "source")
+    return items.join(broadcast_if_small(feeds, BROADCAST_SOURCES, rows), "source", how)
 
 
 def unknown_sources(items: DataFrame, registry: DataFrame) -> DataFrame:
