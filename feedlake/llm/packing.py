@@ -15,6 +15,7 @@ import bisect
 import os
 import sys
 import types
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +53,8 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so a text's ids are those
     of its words in turn. Case does not count, and a full stop or comma after an ASCII
     letter or digit is a token of its own. Words seen before are looked up; new ones are
-    encoded together: those of letters alone end with an end-of-word token, between others
-    stands a mark.
+    encoded together: those that are letters alone once composed end with an end-of-word
+    token, between others stands a mark.
     """
 
     def __init__(self, path: str):
@@ -78,8 +79,9 @@ class WordEncoder:
         for word in words:
             if MARK in word or b"<|" in word:
                 self.known[word] = self._ids(word.decode()).tobytes()
-            # The one letter whose lower case is not a letter alone is left out.
-            elif word.isalpha() or (text := word.decode()).isalpha() and "\u0130" not in text:
+            # As the tokenizer composes them: some letters become a letter and a mark, which ends
+            # a token of its own. The one letter whose lower case is not a letter alone is left out.
+            elif word.isalpha() or (text := unicodedata.normalize("NFC", word.decode())).isalpha() and "\u0130" not in text:
                 letters.append(word)
             else:
                 others.append(word)

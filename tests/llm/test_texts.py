@@ -373,6 +373,15 @@ def test_word_by_word_ids_are_the_tokenizers(texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == plain
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab \u0938\u095c\u0915\u09ac\u09dc\ufb2a\ufb1de\u0301\u093c.'\x01\n", max_size=30), max_size=4))
+def test_letters_that_compose_to_letter_and_mark(texts):
+    own = packing._encoder(packing.vocabulary_path())
+    texts = [*texts, "\u0938\u095c\u0915 word \u09ac\u09dc \ufb2a\ufb1d"]
+    plain = [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in own.encode(texts)] == plain
+
+
 # --- licences -----------------------------------------------------------------
 
 MIT = """MIT License
