@@ -98,6 +98,32 @@ BREAKS = (
 )
 BETWEEN = "(?:;copyright;)*"
 
+# Stops that stand inside a licence's wording, replaced before the breaks are set; an SPDX tag
+# with its expression is a sentence of its own. The SQL has the tables above alone, and says
+# the same for texts without these wordings.
+JOINS = (
+    (
+        r"(?i:\bspdx-licen[sc]e-identifier)\s*:\s*"
+        r"(\(*[A-Za-z0-9.+:-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+:-]+\)*)*)",
+        BREAK + "SPDX-License-Identifier $1" + BREAK,
+    ),
+    (r"(?i)\b(free\W+software)\s*[:;](\W+you\W+can\W+redistribute\b)", "$1$2"),
+    (r"(?i)\b(free\W+software\W+foundation)\s*[:;](\W+either\W+version\b)", "$1$2"),
+)
+_FREE = r"(.* )?is free software you can redistribute it and or modify it under the terms of the gnu "
+# Tried before SENTENCES.
+MORE_SENTENCES = (
+    (_FREE + r"lesser general public licen[sc]e.* version ([0-9]) ([0-9])( .*)?", "lgpl-free=$2.$3"),
+    (_FREE + r"affero general public licen[sc]e.* version ([0-9]).*", "agpl-free=$2"),
+)
+# Tried before RULES.
+MORE_RULES = (
+    ("lgpl-free=([^;]*) gpl-warranty gpl-copy", "LGPL-$1 full notice"),
+    ("agpl-free=([^;]*) gpl-warranty gpl-details gpl-copy", "AGPL-$1.0 full notice"),
+    ("agpl-free=([^;]*) gpl-warranty gpl-copy", "AGPL-$1.0 full notice"),
+    ("agpl-free=([^;]*)", "AGPL-$1.0"),
+)
+
 
 def rule_pattern(rule: str) -> str:
     """A rule as a pattern over ';id;;id;'."""
@@ -106,7 +132,7 @@ def rule_pattern(rule: str) -> str:
 
 def sentences(text: Column) -> Column:
     """The text's sentences, normalised: lower-case letters and digits, single spaces."""
-    for pattern, by in BREAKS:
+    for pattern, by in (*JOINS, *BREAKS):
         text = F.regexp_replace(text, pattern, by)
     return F.transform(
         F.split(text, BREAK, -1),
@@ -119,7 +145,7 @@ def identifiers(text: Column) -> Column:
 
     def known(sentence):
         found = F.lit(None).cast("string")
-        for pattern, name in reversed(SENTENCES):
+        for pattern, name in reversed((*MORE_SENTENCES, *SENTENCES)):
             whole = f"^{pattern}$"
             named = F.regexp_replace(sentence, whole, name) if "$" in name else F.lit(name)
             found = F.when(F.rlike(sentence, F.lit(whole)), F.trim(named)).otherwise(found)
@@ -133,7 +159,7 @@ def identifiers(text: Column) -> Column:
 def licences(ids: Column) -> Column:
     """(found, rest): licences the rules find, in rule order, and the sequence they leave."""
     rules = F.array(
-        *[F.struct(F.lit(rule_pattern(r)).alias("pattern"), F.lit(name).alias("name")) for r, name in RULES]
+        *[F.struct(F.lit(rule_pattern(r)).alias("pattern"), F.lit(name).alias("name")) for r, name in (*MORE_RULES, *RULES)]
     )
 
     def apply(acc, rule):

@@ -411,3 +411,37 @@ def test_licence_rules(spark, odd):
     got = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licences.scan(frame).collect()}
     assert got == {i: (a, b) for i, (_, a, b) in cases.items()}
     assert licences.scan(odd).count() == odd.count() and licences.scan(helpers.empty(odd)).count() == 0
+
+
+def notice(licence, stop, foundation_stop, version, thing="program"):
+    return f"""    This {thing} is free software{stop} you can redistribute it and/or modify
+    it under the terms of the GNU {licence} as published by
+    the Free Software Foundation{foundation_stop} either version {version} of the License, or
+    (at your option) any later version.
+
+    This {thing} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {licence} for more details.
+
+    You should have received a copy of the GNU {licence}
+    along with this {thing}; if not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_notices_with_stops_inside(spark):
+    gpl, lgpl, agpl = (f"{x}General Public License" for x in ("", "Lesser ", "Affero "))
+    cases = {
+        1: ("// SPDX-License-Identifier: MIT\nimport os\n", "SPDX mit"),
+        2: ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */ int x;", "SPDX gpl 2 0 only with linux syscall note or mit"),
+        3: ("spdx-license-identifier:MIT", "SPDX mit"),
+        4: (notice(gpl, ";", ";", "2"), "GPL-2.0 full notice"),
+        5: (notice(gpl, ":", ",", "3"), "GPL-3.0 full notice"),
+        6: (notice(lgpl, ";", ";", "2.1", "library"), "LGPL-2.1 full notice"),
+        7: (notice(agpl, ":", ",", "3"), "AGPL-3.0 full notice"),
+        8: (notice(gpl, ";", ";", "2").replace("\n   ", "\n *"), "GPL-2.0 full notice"),
+        9: ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0"),
+        10: ("Free software: we like it; the identifier: none.", ""),
+    }
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licences.scan(frame).collect()}
+    assert got == {i: (a, "") for i, (_, a) in cases.items()}
