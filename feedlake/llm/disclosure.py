@@ -9,7 +9,8 @@ is estimated from the corpus, over all documents: a term t reveals of an entity
 the share of e's information content that their pointwise mutual information makes up;
 n counts documents, n(e, t) those where t stands within CONTEXT_TERMS terms of e. From
 GENERALISE_FROM on, t is replaced by a general word wherever it occurs in the documents of
-e; from REMOVE_FROM on it is removed. Documents without an entity are left alone.
+e; from REMOVE_FROM on it is removed. A term that is nowhere so near to e is not estimated.
+Documents without an entity are left alone.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ def _entity(text: str, span: tuple[int, int, int]) -> int:
 
 
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[dict[int, list], set]:
-    """Terms near entities with all their places in the text, and (entity, term) pairs."""
+    """All terms of a text that holds an entity with their places, and (entity, term) pairs of near ones."""
     if not spans:
         return {}, set()
     terms, places, at = [], {}, 0
@@ -121,15 +122,14 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[dict[int, li
             continue
         term = _hash(m[0].lower())
         terms.append((m.start(), term))
-        places.setdefault(term, []).append({"start": m.start(), "end": m.end()})
+        places.setdefault(term, []).append((m.start(), m.end()))
     pairs, k = set(), 0
     for span in spans:
         while k < len(terms) and terms[k][0] < span[0]:
             k += 1
         entity = _entity(text, span)
         pairs.update((entity, t) for _, t in terms[max(0, k - CONTEXT_TERMS) : k + CONTEXT_TERMS])
-    near = {t for _, t in pairs}
-    return {t: places[t] for t in near}, pairs
+    return places, pairs
 
 
 SCANNED = (
@@ -146,17 +146,19 @@ _TYPES = {
 
 
 def _scan(batches):
-    for batch in batches:
-        out = {"base": [], "terms": [], "pairs": []}
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            spans = base_spans(text)
-            terms, pairs = contexts(text, spans)
-            out["base"].append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            out["terms"].append([{"term": t, "places": p} for t, p in sorted(terms.items())])
-            out["pairs"].append([{"entity": e, "term": t} for e, t in sorted(pairs)])
-        arrays = [pa.array(out[c], kind) for c, kind in _TYPES.items()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *_TYPES])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
+            out = {"base": [], "terms": [], "pairs": []}
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                spans = base_spans(text)
+                terms, pairs = contexts(text, spans)
+                out["base"].append([(a, k, b) for a, k, b in spans])
+                out["terms"].append(sorted(terms.items()))
+                out["pairs"].append(sorted(pairs))
+            arrays = [pa.array(out[c], kind) for c, kind in _TYPES.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *_TYPES])
 
 
 def _document_counts(batches):
@@ -182,17 +184,17 @@ def _document_counts(batches):
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One written row per row of docs: row, id, personal data, terms near it, (entity, term) pairs."""
+    """One written row per row of docs: row, id, personal data, the terms beside it, near (entity, term) pairs."""
     narrow = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     found = narrow.mapInArrow(_scan, f"id {kind}, {SCANNED}")
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "personal")
 
 
-def disclosing(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """(row, term, share): the largest share of an entity of that row that a term reveals.
+def _shares(docs: DataFrame, text_col: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, entity, term) of near terms, and (entity, term, share, elsewhere) from GENERALISE_FROM on.
 
-    Only terms from GENERALISE_FROM on are given.
+    elsewhere says that other documents than those where the term is near hold it.
     """
     n = found.count()
     pairs = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term")
@@ -207,17 +209,41 @@ def disclosing(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
     content = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     mutual = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = F.when(content > 0, mutual / content).otherwise(0.0)
-    strong = joined.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE_FROM)
-    # A term that occurs near an entity somewhere reveals it in all its documents' contexts.
-    return (
-        pairs.join(strong, ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    elsewhere = F.least("n_e", "n_t") > F.col("n_et")
+    strong = joined.select("entity", "term", share.alias("share"), elsewhere.alias("elsewhere"))
+    return pairs, strong.where(F.col("share") >= GENERALISE_FROM)
+
+
+def disclosing(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+    """(row, term, share): the largest share of an entity of that row that a term near it reveals.
+
+    Only terms from GENERALISE_FROM on are given.
+    """
+    pairs, strong = _shares(docs, text_col, found)
+    return _near(pairs, strong).groupBy("row", "term").agg(F.max("share").alias("share"))
+
+
+def _near(pairs: DataFrame, strong: DataFrame) -> DataFrame:
+    return pairs.join(strong, ["entity", "term"]).select("row", "term", "share")
+
+
+def disclosing_anywhere(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+    """As disclosing, with terms that stand further from the entity in that row."""
+    pairs, strong = _shares(docs, text_col, found)
+    strong = stage(strong, "strong")
+    held = found.select("row", F.explode("terms.term").alias("term"))
+    # Through the term first: an entity's rows times its terms could be far more.
+    further = held.join(strong.where("elsewhere"), "term").join(
+        pairs.select("row", "entity").distinct(), ["row", "entity"]
     )
+    both = _near(pairs, strong).unionByName(further.select("row", "term", "share"))
+    return stage(both.groupBy("row", "term").agg(F.max("share").alias("share")), "disclosing")
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of docs: row, id, base and spans, arrays of (start, kind number, end)."""
     found = scanned(docs, id_col, text_col)
-    strong = disclosing(docs, text_col, found)
+    strong = disclosing_anywhere(docs, text_col, found)
     places = found.select("row", F.explode("terms").alias("t")).select("row", "t.term", "t.places")
     kind = F.when(F.col("share") >= REMOVE_FROM, SPAN_KINDS.index(REMOVED)).otherwise(
         SPAN_KINDS.index(GENERALISED)

@@ -191,6 +191,20 @@ def test_terms_that_reveal_are_found_and_clean_documents_left_alone(spark):
     assert clean[901] == dict(rows)[901] and "Zebulon" not in clean[900] and "[EMAIL]" in clean[900]
 
 
+def test_terms_that_reveal_go_also_far_from_the_entity(spark):
+    common = "we met the other day and talked about many things"
+    rows = [(i, f"{common} number {'abcdefghij'[i % 10]}") for i in range(200)]
+    mail = "zeb@mail.example.com"
+    rows += [(900 + i, f"{common} with Zebulon mail {mail} today") for i in range(2)]
+    rows += [(902, f"Zebulon {common} and {common} {mail} and ZEBULON too" + f" {common} Zebulon"), (903, f"{common} with Zebulon")]
+    rows += [(904, f"Zebulon {common} {common} {mail}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame).collect()}
+    assert all(clean[i] == t for i, t in rows if i < 900 or i == 903)
+    for i in (900, 901, 902, 904):
+        assert "zebulon" not in clean[i].lower() and "[EMAIL]" in clean[i] and "talked" in clean[i]
+
+
 def test_terms_counts_cover_all_documents(docs):
     found = disclosure.scanned(docs, "doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
