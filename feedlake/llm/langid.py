@@ -4,8 +4,12 @@ A text is the average of the embeddings of its hashed 2-, 3- and 4-letter pieces
 may touch a word's ends, never cross them); a linear softmax over that average names the
 language. Embeddings and softmax are trained together by stochastic gradient descent in
 numpy on a bounded sample of labelled rows, on whole texts and on short stretches of them.
-A logistic fit on rows kept out of the training turns the lead of the best language and
-the length into the chance of being right; below REJECT_BELOW a text is rejected.
+A logistic fit on rows kept out of the training turns the lead of the best language, the
+length and how usual the text's pieces are in that language into the chance of being
+right; the same rows with their letters shuffled stand for texts of no language learned.
+A text is rejected below the chance that all but LOST of the right rows reach, which is
+never set below one in the number of languages. With fewer than FAMILIAR_ROWS rows kept
+out, usualness is left out and that last bound alone rejects.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ CALIBRATION_SHARE = 0.2
 STRETCH_WORDS = 12
 EPOCHS = 6
 LEARNING_RATE = 4.0
-REJECT_BELOW = 0.2
+LOST = 0.005
+FAMILIAR_ROWS = 100
 SEED = 42
 # Characters looked at together; pieces across the border are kept.
 CHUNK = 1 << 20
@@ -66,11 +71,13 @@ def pieces(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the weight each piece gives each of them, and the calibration."""
+    """Languages, each piece's weight and log share in each of them, calibration, rejection mark."""
 
     languages: list[str]
     weights: np.ndarray
+    usual: np.ndarray
     calibration: np.ndarray
+    reject_below: float
 
     def logits(self, buckets: np.ndarray) -> np.ndarray:
         return self.weights[buckets].sum(axis=0) / max(1, len(buckets))
@@ -80,18 +87,20 @@ class Model:
             return UNKNOWN, 0.0
         buckets = pieces(text)
         scores = self.logits(buckets)
-        chance = _sigmoid(_evidence(scores, len(buckets)) @ self.calibration)
-        return self.languages[int(scores.argmax())], float(chance)
+        best = int(scores.argmax())
+        usual = self.usual[buckets, best].sum() / max(1, len(buckets))
+        chance = _sigmoid(_evidence(scores, len(buckets), usual)[: len(self.calibration)] @ self.calibration)
+        return self.languages[best], float(chance)
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _evidence(scores: np.ndarray, n: int) -> np.ndarray:
+def _evidence(scores: np.ndarray, n: int, usual: float) -> np.ndarray:
     top = np.sort(scores)[-2:]
     lead = top[-1] - top[0]
-    return np.array([1.0, lead, np.log1p(n)])
+    return np.array([1.0, lead, np.log1p(n), usual, usual * np.log1p(n)])
 
 
 def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -125,26 +134,31 @@ def sample_rows(
 
 
 def _examples(batches):
-    """Counted pieces of each sampled text and of a stretch of it."""
+    """Counted pieces of each sampled text and of a stretch of it; those held out also as noise."""
     for batch in batches:
-        out = {"lang": [], "held": [], "buckets": [], "counts": []}
+        out = {"lang": [], "held": [], "noise": [], "buckets": [], "counts": []}
         for lang, key, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             rng = np.random.default_rng(abs(hash_of(key)))
             held = bool(rng.random() < CALIBRATION_SHARE)
             words = text.split()
             n = int(rng.integers(1, STRETCH_WORDS + 1))
             start = int(rng.integers(0, max(1, len(words) - n)))
-            for part in (text, " ".join(words[start : start + n])):
+            parts = [(text, False), (" ".join(words[start : start + n]), False)]
+            if held:
+                parts += [(_shuffled(part, rng), True) for part, _ in parts]
+            for part, noise in parts:
                 buckets, counts = np.unique(pieces(part), return_counts=True)
                 if len(buckets):
                     out["lang"].append(lang)
                     out["held"].append(held)
+                    out["noise"].append(noise)
                     out["buckets"].append(buckets.astype("<u2").tobytes())
                     out["counts"].append(counts.astype("<u4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(out["lang"], pa.string()),
                 pa.array(out["held"], pa.bool_()),
+                pa.array(out["noise"], pa.bool_()),
                 pa.array(out["buckets"], pa.binary()),
                 pa.array(out["counts"], pa.binary()),
             ],
@@ -152,6 +166,14 @@ def _examples(batches):
         )
 
 
+def _shuffled(text: str, rng: np.random.Generator) -> str:
+    """text with its letters in another order; what is no letter keeps its place."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    letter = np.fromiter((chr(k).isalpha() for k in codes), bool, len(codes))
+    codes[letter] = rng.permutation(codes[letter])
+    return codes.tobytes().decode("utf-32-le")
+
+
 def hash_of(key: str) -> int:
     h = 1469598103934665603
     for b in key.encode():
@@ -172,32 +194,32 @@ def train(
     """
     sample = sample_rows(docs, id_col, text_col, lang_col, rows)
     found = sample.select("lang", "id", "text").mapInArrow(
-        _examples, "lang string, held boolean, buckets binary, counts binary"
+        _examples, "lang string, held boolean, noise boolean, buckets binary, counts binary"
     )
     examples = [
-        (r.lang, r.held, np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.counts, "<u4"))
+        (r.lang, r.held, np.frombuffer(r.buckets, "<u2"), np.frombuffer(r.counts, "<u4"), r.noise)
         for r in found.collect()
     ]
-    examples.sort(key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes()))
+    examples.sort(key=lambda e: (e[0], e[1], e[2].tobytes(), e[3].tobytes(), e[4]))
     return fit(examples)
 
 
 def fit(examples: list[tuple]) -> Model:
     languages = sorted({e[0] for e in examples})
     if not languages:
-        return Model([], np.zeros((0, 0), np.float32), np.zeros(3))
+        return Model([], np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(3), 0.0)
     rng = np.random.default_rng(SEED)
     embed = rng.uniform(-1, 1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     soft = np.zeros((DIMENSIONS, len(languages)), np.float32)
     number = {lang: i for i, lang in enumerate(languages)}
     shares = [(e[3] / e[3].sum()).astype(np.float32) for e in examples]
-    train_on = [i for i, e in enumerate(examples) if not e[1]] or list(range(len(examples)))
+    train_on = [i for i, e in enumerate(examples) if not e[1]] or [i for i, e in enumerate(examples) if not e[4]]
     steps, done = EPOCHS * len(train_on), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(train_on):
             rate = LEARNING_RATE * (1 - done / steps)
             done += 1
-            lang, _, buckets, _ = examples[i]
+            lang, _, buckets, _, _ = examples[i]
             rows = embed[buckets]
             mean = shares[i] @ rows
             p = mean @ soft
@@ -208,16 +230,29 @@ def fit(examples: list[tuple]) -> Model:
             soft -= rate * np.outer(mean, p)
             embed[buckets] = rows - rate * shares[i][:, None] * back
     weights = embed @ soft
-    model = Model(languages, weights, np.zeros(3))
     held = [i for i, e in enumerate(examples) if e[1]] or train_on
+    familiar = sum(not examples[i][4] for i in held) >= FAMILIAR_ROWS
+    seen = np.full((1 << BUCKET_BITS, len(languages)), 0.5)
+    for i in train_on:
+        lang, _, buckets, counts, _ = examples[i]
+        seen[buckets, number[lang]] += counts
+    usual = np.log(seen / seen.sum(axis=0)).astype(np.float32)
     rows, right = [], []
     for i in held:
-        lang, _, buckets, counts = examples[i]
+        lang, _, buckets, counts, noise = examples[i]
+        if noise and not familiar:
+            continue
         scores = shares[i] @ weights[buckets]
-        rows.append(_evidence(scores, int(counts.sum())))
-        right.append(languages[int(scores.argmax())] == lang)
-    model.calibration = _logistic(np.array(rows), np.array(right))
-    return model
+        best = int(scores.argmax())
+        evidence = _evidence(scores, int(counts.sum()), shares[i] @ usual[buckets, best])
+        rows.append(evidence if familiar else evidence[:3])
+        right.append(languages[best] == lang and not noise)
+    rows, right = np.array(rows), np.array(right)
+    calibration = _logistic(rows, right)
+    least = 1 / max(2, len(languages))
+    if familiar and right.any():
+        least = max(least, float(np.quantile(_sigmoid(rows[right] @ calibration), LOST)))
+    return Model(languages, weights, usual, calibration, least)
 
 
 def _logistic(x: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -250,7 +285,7 @@ def identify(
             texts = [t.as_py() for t in batch.column(at)]
             named = [model.predict(t) for t in texts]
             low = [
-                s < REJECT_BELOW if model.languages else t is None or not LETTER.search(t)
+                s < model.reject_below if model.languages else t is None or not LETTER.search(t)
                 for (_, s), t in zip(named, texts)
             ]
             yield pa.RecordBatch.from_arrays(

@@ -108,6 +108,21 @@ def test_language_of_held_out_documents(spark):
     assert got.score.between(0, 1).all() and got.rejected.mean() < 0.01
 
 
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_unlearned_languages_and_letter_noise_are_rejected(spark, lang):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where(docs.lang != lang))
+    rejected = {True: [], False: []}
+    for i, text, own in docs.select("doc_id", "text", "lang").collect():
+        if own == lang or zlib.crc32(str(i).encode()) % 5 == 0:
+            rejected[own == lang].append(model.predict(text)[1] < model.reject_below)
+    assert model.reject_below > 0.3
+    assert np.mean(rejected[True]) > 0.95 and np.mean(rejected[False]) < 0.01
+    rng = random.Random(3)
+    noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz   ", k=300)) for _ in range(50)]
+    assert all(model.predict(t)[1] < model.reject_below for t in noise)
+
+
 def test_language_on_odd_rows(odd):
     got = {r["doc_id"]: r for r in langid.predictions(odd).collect()}
     assert len(langid.predictions(odd).collect()) == odd.count()
