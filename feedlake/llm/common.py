@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.staging import stage
@@ -41,6 +41,23 @@ def map_rows(df: DataFrame, run, *added: tuple[str, str]) -> DataFrame:
     return plain.mapInArrow(run, schema).toDF(*df.columns, *[name for name, _ in added])
 
 
+# Beyond this a quantised component is refused rather than bent to fit a long.
+LARGEST = 1 << 62
+
+
+def quantised(vector: Column, scale: int) -> Column:
+    """floor(scale * x) of each component as longs; null for a vector that is null or holds
+    null or non-finite components. A component that no long can hold raises."""
+    x = vector.cast("array<double>")
+    finite = F.forall(x, lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+
+    def whole(v: Column) -> Column:
+        large = F.raise_error(F.lit(f"a component times {scale} does not fit a long")).cast("long")
+        return F.when(F.abs(v * scale) >= float(LARGEST), large).otherwise(F.floor(v * scale))
+
+    return F.when(finite, F.transform(x, whole))
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For nodes 0..n-1 and links left[i]-right[i]: each node's smallest reachable node."""
     root = np.arange(n)

@@ -1,6 +1,22 @@
 """The operations as queries over the whole given tables, with SQL where it can say the same."""
 
-from feedlake.llm import bitsliced, chat, crosspolytope, disclosure, langid, licences, mixing, packing, secrets, simhash
+from pyspark.sql import functions as F
+
+from feedlake.llm import (
+    bitsliced,
+    chat,
+    collocations,
+    crosspolytope,
+    decontamination,
+    disclosure,
+    langid,
+    licences,
+    mixing,
+    negatives,
+    packing,
+    secrets,
+    simhash,
+)
 from feedlake.llm.common import table
 
 QUERIES = {}
@@ -67,3 +83,20 @@ def op9_langid(spark, sf_dir):
 def op10_chat(spark, sf_dir):
     turns = chat.with_test_conversation(spark, table(spark, sf_dir, "conversations"))
     return chat.digests(chat.examples(turns))
+
+
+@query(decontamination.ORACLE_SQL)
+def op11_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.digests(decontamination.scan(docs, items))
+
+
+@query(negatives.ORACLE_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    vectors = negatives.relabelled(table(spark, sf_dir, "embeddings"))
+    return negatives.mine(vectors, F.col("id") % negatives.ANCHOR_STEP == 0)
+
+
+@query(collocations.ORACLE_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations.phrases(table(spark, sf_dir, "documents"))
