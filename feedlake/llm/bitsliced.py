@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from feedlake.llm.common import column
+from feedlake.llm.common import column, quantised
 from feedlake.staging import stage
 
 SCALE = 256
@@ -25,22 +25,9 @@ TOP = 5
 QUERY_STEP = 50
 BLOCK_ROWS = 12_288
 CHUNK_QUERIES = 1024
-# Quantised components beyond this, and vectors longer than 1024, could overflow a long score.
-LIMIT = 1 << 26
-MAX_DIMENSIONS = 1024
-
-
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) of each component as longs; null for vectors that take no part."""
-    x = vector.cast("array<double>")
-    values = F.transform(x, lambda v: F.floor(v * scale))
-    sound = F.forall(
-        x,
-        lambda v: F.coalesce(
-            ~F.isnan(v) & (v * scale < LIMIT) & (v * scale >= -LIMIT), F.lit(False)
-        ),
-    )
-    return F.when(sound & F.size(x).between(1, MAX_DIMENSIONS), values)
+# Components of a block, so that longer vectors come in blocks of fewer rows, and of a chunk.
+BLOCK_COMPONENTS = 64 * BLOCK_ROWS
+CHUNK_COMPONENTS = 1 << 22
 
 
 def _matrix(values: pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -54,9 +41,10 @@ def _binary(values: np.ndarray) -> pa.Array:
 
 def build(matrix: np.ndarray) -> tuple[int, np.ndarray]:
     """(lowest value, slices[dimension, bit, word]): the block's bitmaps, rows in bit order."""
-    low = int(matrix.min())
-    shifted = (matrix - low).astype(np.uint64)
-    bits = max(1, int(shifted.max()).bit_length())
+    low = int(matrix.min(initial=0))
+    # Unsigned, as the span of the values may pass a signed long.
+    shifted = matrix.astype(np.int64).view(np.uint64) - np.array(low, np.int64).view(np.uint64)
+    bits = max(1, int(shifted.max(initial=0)).bit_length())
     words = -(-len(matrix) // 64)
     slices = np.zeros((matrix.shape[1], bits, words * 8), np.uint8)
     for b in range(bits):
@@ -89,7 +77,8 @@ def score_slices(slices: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, i
     dims, bits, words = slices.shape
     full = (1 << bits) - 1
     size = np.abs(weights)
-    width = max(1, (int(size.sum()) * full).bit_length())
+    # Plain integers: the sums get as many slices as they need.
+    width = max(1, (sum(size.tolist()) * full).bit_length())
     total = np.zeros((width, words), np.uint64)
     for b in range(int(size.max()).bit_length() if dims else 0):
         picked = np.flatnonzero((size >> b) & 1)
@@ -111,7 +100,7 @@ def score_slices(slices: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, i
             two = carry
         _add_into(total, one, b)
         _add_into(total, two, b)
-    return total, int(size[weights < 0].sum()) * full
+    return total, sum(size[weights < 0].tolist()) * full
 
 
 def select_top(total: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,15 +138,19 @@ def top_rows(low, slices, rows, weights, skip, k) -> tuple[np.ndarray, np.ndarra
     word, bit = best // 64, (best % 64).astype(np.uint64)
     planes = (total[:, word] >> bit) & np.uint64(1)
     sums = [sum(1 << i for i in np.flatnonzero(planes[:, j]).tolist()) for j in range(len(best))]
-    base = low * int(weights.sum()) - excess
-    return best, np.array([s + base for s in sums], np.int64)
+    base = low * sum(weights.tolist()) - excess
+    scores = [s + base for s in sums]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+        raise OverflowError("a score among the best does not fit a long")
+    return best, np.array(scores, np.int64)
 
 
 def index(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> tuple:
     """(rows, blocks, parts): the quantised rows and their bit-sliced blocks, both written,
     and how many blocks there are of each length.
 
-    A block holds rows of one length, about BLOCK_ROWS of them as a hash deals them out, by ascending id.
+    A block holds rows of one length, about BLOCK_COMPONENTS components as a hash deals the
+    rows out, by ascending id.
     """
     rows = vectors.select(
         column(vectors, id_col).cast("long").alias("id"),
@@ -166,7 +159,8 @@ def index(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     rows = stage(
         rows.withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("q")), "quantised"
     )
-    parts = max(1, -(-rows.count() // BLOCK_ROWS))
+    components = rows.agg(F.sum(F.greatest("dim", F.lit(64)).cast("long"))).first()[0] or 0
+    parts = max(1, -(-components // BLOCK_COMPONENTS))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
 
     def to_block(t: pa.Table) -> pa.Table:
@@ -195,7 +189,8 @@ def search(rows: DataFrame, blocks: DataFrame, parts: int, queries: Column, k: i
     its own, and sends on its k best per query. Rows of other lengths have no score.
     """
     asked = rows.where(queries)
-    chunks = max(1, -(-asked.count() // CHUNK_QUERIES))
+    n, components = asked.agg(F.count("*"), F.sum(F.col("dim").cast("long"))).first()
+    chunks = max(1, -(-n // CHUNK_QUERIES), -(-(components or 0) // CHUNK_COMPONENTS))
     chunked = asked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
 
     def to_chunk(t: pa.Table) -> pa.Table:
@@ -226,11 +221,13 @@ def search(rows: DataFrame, blocks: DataFrame, parts: int, queries: Column, k: i
 
             ids, block_rows = get(b, "ids"), get(b, "rows")
             dim, low = b.column("dim")[0].as_py(), b.column("low")[0].as_py()
+            words = -(-len(ids) // 64)
             slices = np.frombuffer(b.column("slices")[0].as_py(), "<u8")
-            slices = slices.reshape(dim, -1, -(-len(ids) // 64))
+            slices = slices.reshape(dim, -1, words) if dim else np.zeros((0, 1, words), np.uint64)
             at = {r: i for i, r in enumerate(block_rows.tolist())}
-            weights = get(a, "q").reshape(-1, dim)
-            for w, query, row in zip(weights, get(a, "ids").tolist(), get(a, "rows").tolist()):
+            asked_ids = get(a, "ids").tolist()
+            weights = get(a, "q").reshape(len(asked_ids), dim)
+            for w, query, row in zip(weights, asked_ids, get(a, "rows").tolist()):
                 best, scores = top_rows(low, slices, len(ids), w, at.get(row, -1), k)
                 out["query_row"] += [row] * len(best)
                 out["query_id"] += [query] * len(best)
@@ -258,8 +255,10 @@ def top_k(
 ) -> DataFrame:
     """The k best other rows for every row whose id is divisible by step, over all rows.
 
-    Vectors that are null or empty, hold null or non-finite components or components beyond
-    LIMIT after scaling, or have no id, take no part. A repeated row is a row of its own:
+    Vectors that are null, hold null or non-finite components, or have no id, take no part;
+    all others do, whatever their length and size. Vectors of different lengths have
+    no score; empty ones score 0 with each other. A component that no long can hold after scaling
+    raises, and so does a score beyond a long among the best. A repeated row is a row of its own:
     it is a query and a candidate as often as it occurs, and only the query's own row is
     left out. An empty table gives an empty result; extra columns are not read.
     """
