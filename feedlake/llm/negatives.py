@@ -5,8 +5,9 @@ the signs of its randomly rotated vector as bits, how well the vector aligns wit
 (the length of its projection on the code's unit vector) and the length of what is left.
 The product with a query splits along the code: the part along it is estimated by population
 counts over the query's bit planes, the rest is bounded by Cauchy and Schwarz. That gives
-each row an interval which surely holds its score. Rows whose interval cannot
-matter are skipped; all others are scored in whole numbers, so the result is exact.
+each row an interval which surely holds its score. The rows with the best estimates are scored
+first; rows whose interval does not reach them are skipped, and all others are scored in
+whole numbers, so the result is exact.
 
 Two searches follow each other: the best rows of an anchor's own label, then, for each of
 these positives, the best rows of other labels within a band under its score.
@@ -117,6 +118,16 @@ def _best(at: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> np.nda
     return np.lexsort((ids[at], -scores))[:k]
 
 
+def surviving(query: Query, rows, words, alignment, rest, k: int) -> np.ndarray:
+    """Places of the rows whose interval reaches the k-th best score that is sure: that of the
+    k rows with the best estimates."""
+    if len(rows) <= k:
+        return np.arange(len(rows))
+    low, high = query.intervals(words, alignment, rest)
+    likely = np.argpartition(-(low + high), k - 1)[:k]
+    return np.flatnonzero(high >= products(rows[likely], query.x).min())
+
+
 class Block:
     """A block of rows, as its table row holds them."""
 
@@ -133,9 +144,7 @@ class Block:
     def same(self, query: Query, row: int, label: int, k: int):
         """(place, score) of the k best other rows of the label."""
         at = np.flatnonzero((self.labels == label) & (self.rows != row))
-        low, high = query.intervals(self.words[at], self.alignment[at], self.rest[at])
-        if len(at) > k:
-            at = at[high >= np.partition(low, len(low) - k)[-k]]
+        at = at[surviving(query, self.q[at], self.words[at], self.alignment[at], self.rest[at], k)]
         scores = products(self.q[at], query.x)
         first = _best(at, scores, self.ids, k)
         return at[first], scores[first]
@@ -150,11 +159,15 @@ class Block:
             # Whole-number bounds of the band, in doubles a little wide.
             floor, ceiling = LOW_PERCENT * p / 100, HIGH_PERCENT * p / 100
             wide = SLACK * abs(p)
-            may = (high >= floor - wide) & (low <= ceiling + wide)
-            sure = np.sort(low[(low >= floor + wide) & (high <= ceiling - wide)])
-            if len(sure) >= k:
-                may &= high >= sure[-k]
-            open_ |= may
+            may = np.flatnonzero((high >= floor - wide) & (low <= ceiling + wide))
+            # The likeliest rows are scored first: k of them inside the band set a mark.
+            likely = np.minimum((low + high)[may] / 2, ceiling)
+            likely = may[np.argsort(-likely, kind="stable")[: 4 * k]]
+            held = np.sort(products(self.q[other[likely]], query.x))
+            held = held[(held >= -(-LOW_PERCENT * p // 100)) & (held <= HIGH_PERCENT * p // 100)]
+            if len(held) >= k:
+                may = may[high[may] >= held[-k]]
+            open_[may] = True
         at = other[open_]
         scores = products(self.q[at], query.x)
         out = []
