@@ -68,6 +68,7 @@ RUN = T.StructType(
         T.StructField("items", T.LongType()),
         T.StructField("malformed", T.LongType()),
         T.StructField("unparsed_dates", T.LongType()),
+        T.StructField("invalid", T.LongType()),
         T.StructField("new_articles", T.LongType()),
         T.StructField("message", STR),
     ]

@@ -4,14 +4,37 @@ Files lie under <landing>/fetch=<time>/feed=<source name>/<file>.xml; the fetch
 level may be left out. Both levels prune: reading one source opens its files only.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+import bz2
+import codecs
+import gzip
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedlake.functions.text import default_if_empty, field
 from feedlake.schema import CORRUPT, FEED_FILE, ITEM
+from feedlake.staging import stage
 
 # Where an item stands: run order of fetches, then feeds, then files, then items.
-POSITION = ["fetch", "source_ord", "file_name", "item_ord"]
+POSITION = ["fetch_ord", "source_ord", "file_name", "item_ord"]
+
+
+# The root elements of a feed document, and what a file without one is called.
+FEED_ROOTS = ("rss", "RDF", "feed", "channel")
+NO_FEED = "Feed not recognized as RSS 1 or 2."
+# Bytes of a file that its root element is looked for in.
+HEAD_BYTES = 65_536
+
+BINARY_FILE = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
 
 
 def _options(reader, row_tag: str, charset: str):
@@ -46,6 +69,81 @@ def _items(files: DataFrame) -> DataFrame:
     )
 
 
+def fetch_order(fetch: Column) -> Column:
+    """A fetch as text that sorts in run order: numbers by value, times as they are.
+
+    Runs of digits are padded to one width, so 2 comes before 10.
+    """
+    digits = F.regexp_replace(fetch, "([0-9]+)", "0000000000000000000$1")
+    return F.regexp_replace(digits, "0+([0-9]{20})(?![0-9])", "$1")
+
+
+def _path_value(path: Column, name: str) -> Column:
+    """The value of a folder name=value on a path, as Spark writes such names."""
+    value = F.regexp_extract(path, f"/{name}=([^/]*)/", 1)
+    return F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+
+
+def landed_files(
+    spark: SparkSession, landing: str, source: str | None = None, fetch: str | None = None
+) -> DataFrame:
+    """(path, feed, content) of all landed files, or of one source or one fetch."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(landing)
+    files = with_feed(files)
+    if source:
+        files = files.filter(F.col("feed") == source)
+    if fetch:
+        files = files.filter(_path_value(F.col("path"), "fetch") == fetch)
+    return files
+
+
+def with_feed(files: DataFrame) -> DataFrame:
+    return files.select(
+        F.col("_metadata.file_path").alias("path"), _path_value(F.col("path"), "feed").alias("feed"), "content"
+    )
+
+
+def _file_error(charset: str):
+    """A function (path, content) -> why the file cannot be read as a feed, or None.
+
+    Made here, so that it travels with its names and executors need no copy of this package.
+    """
+    openers = {".gz": (gzip.decompress, None), ".bz2": (bz2.decompress, None)}
+    roots, no_feed, head_bytes = FEED_ROOTS, NO_FEED, HEAD_BYTES
+    root_pattern = re.compile(r"<([A-Za-z_][^\s/>]*)")
+    skipped = re.compile(r"<\?.*?\?>|<!--.*?-->|<![^>\[]*(\[.*?\])?[^>]*>", re.S)
+    codec = codecs.lookup(charset).name
+
+    def check(path: str, content: bytes) -> str | None:
+        for suffix, (decompress, _) in openers.items():
+            if path.endswith(suffix):
+                try:
+                    content = decompress(content)
+                except Exception as e:
+                    return f"{type(e).__name__}: {e}"
+        head = bytes(content[:head_bytes]).decode(codec, "replace")
+        root = root_pattern.search(skipped.sub("", head))
+        # Without any element the file is left to the scan, which sets it aside.
+        if root and root[1].rsplit(":", 1)[-1] not in roots:
+            return no_feed
+        return None
+
+    return check
+
+
+def checked_files(files: DataFrame, charset: str = "UTF-8") -> DataFrame:
+    """(path, feed, error) of files, written: each is decompressed and looked into by itself.
+
+    A file that cannot be decompressed or whose root element is not that of a feed
+    has an error, and does not stop the others. Only the head of a plain file is looked at.
+    """
+    packed = F.lower("path").rlike("[.](gz|bz2)$")
+    head = F.when(packed, F.col("content")).otherwise(F.substring("content", 1, HEAD_BYTES))
+    # One row is a file here, and few go to a worker at a time, however large they are.
+    error = F.udf(_file_error(charset), T.StringType(), useArrow=False)
+    return stage(files.select("path", "feed", error("path", head).alias("error")), "files")
+
+
 def with_item_order(items: DataFrame) -> DataFrame:
     """Adds item_ord, unique in the batch and counting up inside each file.
 
@@ -62,28 +160,45 @@ def read_feeds(
     row_tag: str = "item",
     charset: str = "UTF-8",
     fetch: str | None = None,
+    paths: list[str] | None = None,
+    without: list[str] | None = None,
 ) -> DataFrame:
-    """Items of all landed files, or of one source or one fetch."""
-    files = _options(spark.read, row_tag, charset).load(landing)
+    """Items of all landed files, or of one source or one fetch, or of the files at paths.
+
+    Files in without are not opened.
+    """
+    reader = _options(spark.read, row_tag, charset)
+    if paths is not None:
+        files = reader.option("basePath", landing).load(paths)
+    else:
+        files = reader.load(landing)
     if source:
         files = files.filter(F.col("feed") == source)
     if fetch:
         files = files.filter(F.col("fetch") == fetch)
+    if without:
+        # A filter on the path of files keeps them out of the scan.
+        files = files.filter(~F.col("_metadata.file_path").isin(without))
     return with_item_order(_items(files))
 
 
-def stream_feeds(
-    spark: SparkSession,
-    landing: str,
-    row_tag: str = "item",
-    charset: str = "UTF-8",
-    max_files_per_batch: int | None = None,
+def failed_files(checked: DataFrame) -> DataFrame:
+    """(source, error) of the files that cannot be read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return checked.filter("error IS NOT NULL").select(
+        F.col("feed").alias("source"), F.concat_ws(": ", name, "error").alias("error")
+    )
+
+
+def stream_files(
+    spark: SparkSession, landing: str, max_files_per_batch: int | None = None
 ) -> DataFrame:
-    """Items of newly landed files, as a stream."""
-    reader = _options(spark.readStream, row_tag, charset)
+    """Newly landed files as a stream of (path, feed, content)."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_FILE)
+    reader = reader.option("recursiveFileLookup", "true")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
-    return _items(reader.load(landing))
+    return with_feed(reader.load(landing))
 
 
 def good_items(items: DataFrame) -> DataFrame:

@@ -1,17 +1,31 @@
-"""The stored tables: articles, partitioned by UTC day of ingest, and ingest runs."""
+"""The stored tables: articles, their hashes and counts, and ingest runs.
 
-from dataclasses import dataclass
+Articles lie under batch=<number>/span=<number>/created_date=<UTC day>. A span holds a
+run of ids whose texts make up about FILE_BYTES, and is one file a day. Counts per
+span, day and source are kept beside them with each batch; they say where an id or a page lies,
+so look-ups, pages and totals need no other article files.
+"""
+
+import datetime as dt
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlake.functions.dates import utc_date
 from feedlake.schema import ARTICLE, CREATED_DATE, RUN
+from feedlake.sources.batches import Batches, Manifest, remove
+from feedlake.sources.hash_index import HASH, HashIndex
+
+# Text of one file, and the ids whose sizes are added up together to cut files.
+FILE_BYTES = 256 << 20
+BUCKET_IDS = 256
+# Tables of counts, one a batch, that are merged into one.
+COUNT_TABLES = 64
 
-# Some 250 MB of article text.
-ROWS_PER_FILE = 100_000
+BATCH, SPAN, BYTES = "batch", "span", "bytes"
 
 QUARANTINE = T.StructType(
     [
@@ -24,19 +38,41 @@ STORED_ARTICLE = T.StructType(
     list(ARTICLE.fields) + [T.StructField(CREATED_DATE, T.DateType())]
 )
 
+COUNTS = T.StructType(
+    [
+        T.StructField(BATCH, T.LongType()),
+        T.StructField(SPAN, T.IntegerType()),
+        T.StructField(CREATED_DATE, T.DateType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("last_id", T.LongType()),
+    ]
+)
+
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _read(spark: SparkSession, schema: T.StructType, *paths: str, base: str | None = None) -> DataFrame:
+    reader = spark.read.schema(schema)
+    if base is not None:
+        reader = reader.option("basePath", base)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return reader.parquet(*paths)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def _in_batches(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+
+
 @dataclass(frozen=True)
 class Store:
-    """Folder of one article table. One writer at a time; readers as many as you like."""
+    """Folder of one article table. One writer at a time; readers as many as you like.
+
+    Readers see the batches that are closed when they ask.
+    """
 
     path: str
 
@@ -48,46 +84,169 @@ class Store:
     def runs_path(self) -> str:
         return f"{self.path}/ingest_runs"
 
+    @property
+    def source_runs_path(self) -> str:
+        return f"{self.path}/source_runs"
+
     @property
     def quarantine_path(self) -> str:
         return f"{self.path}/quarantine"
 
-    def quarantine(self, spark: SparkSession) -> DataFrame:
-        """Places of the items that could not be read, by run."""
-        return _read(spark, self.quarantine_path, QUARANTINE)
+    @property
+    def counts_path(self) -> str:
+        return f"{self.path}/counts"
 
-    def append_quarantine(self, places: DataFrame) -> None:
-        places.write.mode("append").parquet(self.quarantine_path)
+    def batches(self, spark: SparkSession) -> Batches:
+        return Batches(spark, f"{self.path}/batches")
 
-    def articles(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, self.articles_path, STORED_ARTICLE)
+    def hash_index(self, spark: SparkSession, at: Manifest | None = None) -> HashIndex:
+        at = self.batches(spark).last() if at is None else at
+        return HashIndex(spark, f"{self.path}/hashes", at.runs, at.recent)
 
-    def runs(self, spark: SparkSession) -> DataFrame:
-        return _read(spark, self.runs_path, RUN)
+    def _closed(self, spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+        last = self.batches(spark).last().batch
+        rows = _read(spark, _in_batches(schema), path)
+        return rows.filter(F.col(BATCH) <= last).drop(BATCH, SPAN)
 
-    def max_id(self, spark: SparkSession) -> int:
-        return self.articles(spark).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    def quarantine(self, spark: SparkSession) -> DataFrame:
+        """Places of the items that could not be read, by run."""
+        return self._closed(spark, self.quarantine_path, QUARANTINE)
 
-    def append_articles(self, articles: DataFrame, last_id: int, count: int) -> None:
-        """Append count rows whose ids run on from last_id.
+    def articles(self, spark: SparkSession) -> DataFrame:
+        return self._closed(spark, self.articles_path, STORED_ARTICLE)
 
-        Each file takes its own span of ids, which is what lets look-ups and pages by
-        id skip the other files. The span follows from the id, so no sampling pass
-        runs the projection a second time, as ranging by id would.
-        """
-        if count == 0:
-            return
-        files = -(-count // ROWS_PER_FILE)
-        span = F.floor((F.col("id") - F.lit(last_id + 1)) / F.lit(ROWS_PER_FILE)).cast("int")
-        (
-            articles.withColumn(CREATED_DATE, utc_date(F.col("createdAt")))
-            .repartitionById(files, span)
-            .sortWithinPartitions(CREATED_DATE, "id")
-            .write.mode("append")
-            .partitionBy(CREATED_DATE)
-            .parquet(self.articles_path)
+    def runs(self, spark: SparkSession) -> DataFrame:
+        """Rows of whole runs, and the rows per source of closed batches."""
+        return _read(spark, RUN, self.runs_path).unionByName(
+            self._closed(spark, self.source_runs_path, RUN)
         )
 
     def append_runs(self, runs: DataFrame) -> None:
         # A run adds one row per source at most, so one small file.
         runs.coalesce(1).write.mode("append").parquet(self.runs_path)
+
+    # --- counts and what they tell ------------------------------------------
+
+    def counts(self, spark: SparkSession, at: Manifest | None = None) -> DataFrame:
+        """Articles per batch, span, day and source, with the ids they lie between."""
+        at = self.batches(spark).last() if at is None else at
+        # One table up to the last merge, and one for every batch since.
+        since = [f"{self.counts_path}/batch={n}" for n in range(at.counts_base + 1, at.batch + 1)]
+        if at.counts_base:
+            since.append(f"{self.counts_path}/upto={at.counts_base}")
+        return _read(spark, COUNTS, *since) if since else spark.createDataFrame([], COUNTS)
+
+    def spans(self, spark: SparkSession, source: str | None = None) -> DataFrame:
+        """(batch, span, first_id, last_id, n): where ids lie, and how many are of the source."""
+        counts = self.counts(spark)
+        n = F.col("n") if not source else F.when(F.col("source") == source, F.col("n")).otherwise(0)
+        return counts.groupBy(BATCH, SPAN).agg(
+            F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum(n).alias("n")
+        )
+
+    def articles_in(self, spark: SparkSession, spans: list[tuple[int, int]]) -> DataFrame:
+        """Articles of the given (batch, span) only; no other file is listed or opened."""
+        schema = T.StructType([*_in_batches(STORED_ARTICLE).fields, T.StructField(SPAN, T.IntegerType())])
+        if not spans:
+            return spark.createDataFrame([], STORED_ARTICLE)
+        paths = [f"{self.articles_path}/batch={b}/span={s}" for b, s in spans]
+        return _read(spark, schema, *paths, base=self.articles_path).drop(BATCH, SPAN)
+
+    def article(self, spark: SparkSession, article_id: int) -> DataFrame:
+        """The article with this id, from the one span that holds it."""
+        held = self.spans(spark).filter(F.lit(article_id).between(F.col("first_id"), F.col("last_id")))
+        places = [(r[BATCH], r[SPAN]) for r in held.limit(1).collect()]
+        return self.articles_in(spark, places).filter(F.col("id") == article_id)
+
+    # --- appending ----------------------------------------------------------
+
+    def begin(self, spark: SparkSession, key: str, started: dt.datetime) -> tuple[Manifest, HashIndex] | None:
+        """The next batch and the index it is held against; None if the key is closed already."""
+        batches = self.batches(spark)
+        if batches.closed(key) is not None:
+            return None
+        last = batches.last()
+        following = replace(
+            last, batch=last.batch + 1, key=key, started_at=started.isoformat(), first_id=last.last_id + 1, new_articles={}
+        )
+        return following, self.hash_index(spark, last)
+
+    def with_spans(self, numbered: DataFrame, batch: Manifest, total_bytes: int) -> DataFrame:
+        """Adds the span of each id: running sums of bytes, in buckets of ids, cut at FILE_BYTES."""
+        if total_bytes <= FILE_BYTES:
+            return numbered.withColumn(SPAN, F.lit(0))
+        bucket = F.floor((F.col("id") - F.lit(batch.first_id)) / F.lit(BUCKET_IDS)).alias("bucket")
+        sizes = numbered.groupBy(bucket).agg(F.sum(BYTES).alias(BYTES))
+        # One row per BUCKET_IDS new articles goes through one task and is broadcast.
+        before = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        sums = F.coalesce(F.sum(BYTES).over(before), F.lit(0))
+        cut = sizes.select("bucket", F.floor(sums / F.lit(FILE_BYTES)).cast("int").alias(SPAN))
+        return numbered.withColumn("bucket", bucket).join(F.broadcast(cut), "bucket").drop("bucket")
+
+    def append(
+        self,
+        batch: Manifest,
+        index: HashIndex,
+        articles: DataFrame,
+        numbered: DataFrame,
+        source_runs: DataFrame,
+        bad: DataFrame | None = None,
+    ) -> Manifest:
+        """Append a batch and close it.
+
+        articles are the whole rows with id, span and created_date; numbered has these, source and
+        hash of the same rows, and nothing wide. Everything goes to the batch's own folders, over what
+        a run that broke off may have left there; only the last step makes it visible.
+        """
+        spark = articles.sparkSession
+        batches = self.batches(spark)
+        batches.open(batch)
+        folder = f"batch={batch.batch}"
+        if batch.articles:
+            spans = numbered.agg(F.max(SPAN)).first()[0] + 1
+            (
+                articles.repartitionById(spans, F.col(SPAN))
+                .sortWithinPartitions(SPAN, CREATED_DATE, "id")
+                .write.mode("overwrite")
+                .partitionBy(SPAN, CREATED_DATE)
+                .parquet(f"{self.articles_path}/{folder}")
+            )
+        else:
+            remove(spark, f"{self.articles_path}/{folder}")
+        if bad is not None:
+            bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/{folder}")
+        else:
+            remove(spark, f"{self.quarantine_path}/{folder}")
+        source_runs.coalesce(1).write.mode("overwrite").parquet(f"{self.source_runs_path}/{folder}")
+        index.add(batch.batch, numbered.select(HASH), batch.articles)
+        counts_base, merged = self._write_counts(spark, batch, numbered)
+        closed = replace(batch, runs=index.runs, recent=index.recent, counts_base=counts_base)
+        batches.close(closed)
+        # Nothing points at these any more; a reader that started before finds its counts for a while.
+        index.remove_gone()
+        for path in merged:
+            remove(spark, path)
+        return closed
+
+    def _write_counts(self, spark: SparkSession, batch: Manifest, numbered: DataFrame) -> tuple[int, list[str]]:
+        """Write the batch's counts; every COUNT_TABLES batches merge all tables into one.
+
+        Returns up to which batch they are merged, and the tables of the merge before.
+        """
+        counted = (
+            numbered.groupBy(SPAN, CREATED_DATE, "source")
+            .agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+            .withColumn(BATCH, F.lit(batch.batch).cast("long"))
+            .select(*[F.col(f.name).cast(f.dataType) for f in COUNTS.fields])
+        )
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{self.counts_path}/batch={batch.batch}")
+        if batch.batch - batch.counts_base < COUNT_TABLES:
+            return batch.counts_base, []
+        rows = self.counts(spark, batch)
+        rows.repartitionByRange(F.col("first_id")).write.mode("overwrite").parquet(f"{self.counts_path}/upto={batch.batch}")
+        # The tables merged here stay until the next merge, for readers that have begun.
+        low = max(0, batch.counts_base - COUNT_TABLES)
+        old = [f"{self.counts_path}/batch={n}" for n in range(low + 1, batch.counts_base + 1)]
+        if low:
+            old.append(f"{self.counts_path}/upto={low}")
+        return batch.batch, old

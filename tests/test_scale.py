@@ -89,7 +89,8 @@ def _sha(text):
 def test_ingest_runs_against_a_plain_loop(spark, tmp_path, monkeypatch, broadcast_rows):
     """Two batches where one text and one source hold a third of all items each."""
     monkeypatch.setattr(dedup, "BROADCAST_ROWS", broadcast_rows)
-    monkeypatch.setattr(store_module, "ROWS_PER_FILE", 100)
+    monkeypatch.setattr(store_module, "FILE_BYTES", 12_000)
+    monkeypatch.setattr(store_module, "BUCKET_IDS", 10)
     registry = feed_registry(spark, [(f"s{i}", f"http://s{i}") for i in range(6)])
     store = Store(str(tmp_path / "store"))
     rng = random.Random(11)
