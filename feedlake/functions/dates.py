@@ -10,28 +10,49 @@ from pyspark.sql import types as T
 from feedlake.functions.text import field, null_if_empty, trim_white_space
 
 # The weekday before a feed date, the offset after it, and the forms
-# in between; then the day format of arguments and the prefix of run ids.
-WEEKDAY_PATTERN = "^(?i:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*),? +"
+# in between; then the day format of arguments, its message and the prefix of run ids.
+WEEKDAY_PATTERN = "^(?i:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*)(?:[,.] *| +)"
 OFFSET_PATTERN = "(?:GMT|UTC)?([+-][0-9]{2}):?([0-9]{2})$"
-OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss] Z"
-ZONE_FORMAT = "d MMM yyyy HH:mm[:ss] z"
-LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss]"
+OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS] Z"
+ZONE_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS] z"
+LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS]"
+HALF_DAY_FORMAT = "d MMM yyyy hh:mm[:ss] a"
 DATE_FORMAT = "d MMM yyyy"
+SLASH_FORMAT = "M/d/yyyy[ HH:mm[:ss]]"
+SLASH_HALF_DAY_FORMAT = "M/d/yyyy hh:mm[:ss] a"
 DAY_FORMAT = "yyyy-MM-dd"
+BAD_DAY = "Invalid date format. Use YYYY-MM-DD"
+
+# The usual form of feed dates, which needs nothing but its weekday removed.
+PLAIN_PATTERN = (
+    "^(?:[A-Z][a-z]{2}, )?[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4} "
+    "(?:[01][0-9]|2[0-3]):[0-9]{2}(?::[0-9]{2})? (?:[+-][0-9]{4}|[A-Z]{3,4})$"
+)
+ISO_PATTERN = "^[0-9]{4}"
+SLASH_PATTERN = "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+# The hour 24 is midnight of the next day.
+MIDNIGHT_PATTERN = "[ T]24:00(?::00(?:[.]0+)?)?(?![:0-9])"
 
 # Other spellings of feed dates, each brought to one of the forms above: what stands there,
 # and what it becomes. The year of two digits turns at 50.
 ISO_SPELLINGS = (
+    ("([ T])24:00", "$100:00"),
     ("^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
     ("^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00"),
 )
 DATED_SPELLINGS = (
     (r"\s*\([^)]*\)$", ""),
     (WEEKDAY_PATTERN, ""),
-    ("^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4})", "$2 $1 $3"),
+    ("^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4}),?", "$2 $1 $3"),
+    ("^([0-9]{1,2})-([A-Za-z]{3})[a-z]*-([0-9]{2,4})(?![0-9])", "$1 $2 $3"),
     ("^([0-9]{1,2} [A-Za-z]{3})[a-z]*[.]?(?= )", "$1"),
     ("^([0-9]{1,2} [A-Za-z]{3}) ([0-4][0-9])(?= |$)", "$1 20$2"),
     ("^([0-9]{1,2} [A-Za-z]{3}) ([5-9][0-9])(?= |$)", "$1 19$2"),
+    (" ([0-9]:[0-9]{2})", " 0$1"),
+    (" 24:00", " 00:00"),
+    ("([.][0-9]{6})[0-9]+", "$1"),
+    (" ?[Aa][Mm]$", " AM"),
+    (" ?[Pp][Mm]$", " PM"),
     (OFFSET_PATTERN, "$1$2"),
 )
 RUN_ID_PREFIX = "scrape_"
@@ -46,39 +67,50 @@ def with_published(items: DataFrame) -> DataFrame:
     """Adds publishedAt, the item's date, and dateError, true when a given date is none.
 
     Dates may be ISO-8601 or RFC-822, with the usual variations: minutes without seconds,
-    slashes, full or shortened month names, years of two digits, the month in front, a
-    zone's name in brackets. The cleaned texts are columns of their own, as they are used
+    hours of one digit, parts of seconds, AM and PM, midnight as 24:00, slashes (year or month in
+    front), dashes, full or shortened month names, years of two digits, the month in front, a
+    zone's name in brackets. The shape picks the one form to try, because a failed parse is dear,
+    and only unusual shapes are respelled. The cleaned texts are columns of their own, as they are used
     several times and would otherwise be cleaned each time.
     """
     text = F.col("_date_text")
     dated = F.col("_dated")
+    is_iso, is_slashed = text.rlike(ISO_PATTERN), text.rlike(SLASH_PATTERN)
+
+    def respelled(spellings) -> Column:
+        spelled = text
+        for pattern, by in spellings:
+            spelled = F.regexp_replace(spelled, pattern, by)
+        return spelled
 
     def as_format(form: str) -> Column:
         return F.try_to_timestamp(dated, F.lit(form))
 
-    # A plain cast would read "12:30" as today, so ISO needs its year in front. For
-    # the rest the shape picks the one form to try, because a failed parse is dear.
+    # A plain cast would read "12:30" as today, so ISO needs its year in front.
+    half_day = dated.rlike(" [AP]M$")
     published = (
-        F.when(text.rlike("^[0-9]{4}"), F.try_to_timestamp(F.col("_iso")))
+        F.when(is_iso, F.try_to_timestamp(dated))
+        .when(is_slashed & half_day, as_format(SLASH_HALF_DAY_FORMAT))
+        .when(is_slashed, as_format(SLASH_FORMAT))
+        .when(half_day, as_format(HALF_DAY_FORMAT))
         .when(dated.rlike("[+-][0-9]{4}$"), as_format(OFFSET_FORMAT))
         .when(dated.rlike("[A-Za-z]$"), as_format(ZONE_FORMAT))
         .when(F.contains(dated, F.lit(":")), as_format(LOCAL_FORMAT))
         .otherwise(as_format(DATE_FORMAT))
     )
-
-    def respelled(spellings) -> Column:
-        spelled = text
-        for pattern, by in spellings:
-            spelled = F.regexp_replace(spelled, pattern, by)
-        return spelled
-
+    cleaned = (
+        F.when(text.rlike(PLAIN_PATTERN), F.substring_index(text, ", ", -1))
+        .when(is_iso, respelled(ISO_SPELLINGS))
+        .otherwise(respelled(DATED_SPELLINGS))
+    )
+    midnight = F.when(text.rlike(MIDNIGHT_PATTERN), F.col("publishedAt") + F.expr("INTERVAL 1 DAY"))
     return (
         items.withColumn("_date_text", trim_white_space(published_text()))
-        .withColumn("_iso", respelled(ISO_SPELLINGS))
-        .withColumn("_dated", respelled(DATED_SPELLINGS))
+        .withColumn("_dated", cleaned)
         .withColumn("publishedAt", published)
+        .withColumn("publishedAt", midnight.otherwise(F.col("publishedAt")))
         .withColumn("dateError", text.isNotNull() & F.col("publishedAt").isNull())
-        .drop("_date_text", "_iso", "_dated")
+        .drop("_date_text", "_dated")
     )
 
 
@@ -136,13 +168,12 @@ def is_invalid_day(text: Column) -> Column:
 
 def parse_day(text: str) -> dt.date:
     """Strict yyyy-MM-dd, for arguments."""
-    message = "Invalid date format. Use YYYY-MM-DD"
     if not (isinstance(text, str) and len(text) == 10):
-        raise ValueError(message)
+        raise ValueError(BAD_DAY)
     try:
         return dt.datetime.strptime(text, "%Y-%m-%d").date()
     except ValueError:
-        raise ValueError(message) from None
+        raise ValueError(BAD_DAY) from None
 
 
 def session_zone(spark: SparkSession) -> dt.tzinfo:

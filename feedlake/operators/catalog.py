@@ -3,12 +3,13 @@
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, text
 from feedlake.schema import CREATED_DATE
+from feedlake.sources.store import Store
 
 # Paging defaults, the span of recent days and the messages.
 DEFAULT_PAGE = 1
@@ -223,3 +224,45 @@ def recent_articles(
         days=days,
         fromDate=dates.utc_text(spark, midnight),
     )
+
+
+def stored_page(
+    spark: SparkSession,
+    store: Store,
+    page: int = DEFAULT_PAGE,
+    limit: int = DEFAULT_LIMIT,
+    source: str | None = None,
+) -> Page:
+    """A page of all stored articles, or of one source, found by the counts kept with the store.
+
+    Nothing is counted and no article file is opened but those of the spans that hold the page, at most
+    as many as the page has rows.
+    """
+    _check_paging(page, limit)
+    offset = (page - 1) * limit
+    spans = store.spans(spark, source).filter("n > 0")
+    # One row per file goes through one task.
+    newer = W.orderBy(F.desc("first_id")).rowsBetween(W.unboundedPreceding, -1)
+    placed = spans.withColumn("before", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    holds = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+    total, held = placed.agg(
+        F.coalesce(F.sum("n"), F.lit(0)),
+        F.collect_list(F.when(holds, F.struct("before", "batch", "span"))),
+    ).first()
+    rows = by_source(store.articles_in(spark, [(h["batch"], h["span"]) for h in held]), source)
+    skip = offset - min((h["before"] for h in held), default=offset)
+    totals = spark.range(1).select(
+        F.lit(page).alias("page"),
+        F.lit(limit).alias("limit"),
+        F.lit(total).cast("long").alias("total"),
+        F.lit(-(-total // limit)).cast("long").alias("pages"),
+    )
+    return Page(rows.orderBy(F.desc("id")).offset(skip).limit(limit), totals)
+
+
+def stored_article(spark: SparkSession, store: Store, article_id: int):
+    """The stored row with this id, from the one file that holds it; LookupError when there is none."""
+    row = store.article(spark, article_id).first()
+    if row is None:
+        raise LookupError(NOT_FOUND)
+    return row

@@ -1,5 +1,7 @@
 """Every operator as a query over the given tables, with the SQL that must agree."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from feedlake.functions import dates, text
@@ -7,8 +9,9 @@ from feedlake.operators import catalog, dedup, items as item_ops, positions, sta
 from feedlake.plans import driver_tables as given
 from feedlake.plans import ingest, reports
 from feedlake.sources import accesslog, registry
+from feedlake.sources.hash_index import HashIndex
 from feedlake.sources.store import Store
-from feedlake.staging import new_path
+from feedlake.staging import new_path, stage
 from feedlake.streaming.ingest import stream_ingest
 
 QUERIES = {}
@@ -167,6 +170,47 @@ def parse_pubdate(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT event_id,
+           CASE event_id % 10
+             WHEN 1 THEN date_trunc('second', ts) + INTERVAL 0 HOUR
+             WHEN 2 THEN date_trunc('millisecond', ts)
+             WHEN 6 THEN date_trunc('day', ts)
+             WHEN 7 THEN date_trunc('second', ts)
+             WHEN 8 THEN date_trunc('day', ts) + INTERVAL 1 DAY
+             WHEN 9 THEN date_trunc('day', ts) + INTERVAL 1 DAY
+             ELSE date_trunc('minute', ts)
+           END AS published_at
+    FROM events
+    """
+)
+def parse_pubdate_spellings(spark, sf_dir):
+    """Event times in less usual spellings: no blank after the weekday, hours of one digit, parts
+    of seconds, AM and PM, slashes and dashes, midnight as 24:00."""
+    ts, turn = F.col("ts"), F.col("event_id") % 10
+    forms = [
+        "EEE,dd MMM yyyy HH:mm 'GMT'",
+        "EEE, d MMM yyyy H:mm:ss 'GMT'",
+        "dd MMM yyyy HH:mm:ss.SSS 'GMT'",
+        "EEE, dd MMM yyyy hh:mm a",
+        "MMM d, yyyy h:mm a",
+        "MM/dd/yyyy HH:mm",
+        "MM/dd/yyyy",
+        "dd-MMM-yyyy HH:mm:ss",
+        "EEE, dd MMM yyyy '24:00:00 GMT'",
+        "yyyy-MM-dd'T24:00:00Z'",
+    ]
+    written = F.coalesce(*[F.when(turn == i, F.date_format(ts, f)) for i, f in enumerate(forms)])
+    none = F.lit(None).cast("string")
+    items = given.table(spark, sf_dir, "events").select(
+        "event_id", written.alias("pubDate"), none.alias("published"), none.alias("dc:date")
+    )
+    return dates.with_published(items).select(
+        "event_id", F.col("publishedAt").cast("timestamp_ntz").alias("published_at")
+    )
+
+
 @query("SELECT doc_id FROM documents WHERE lang IN ('en', 'es')")
 def valid_items(spark, sf_dir):
     return item_ops.valid_items(given.field_items(spark, sf_dir)).select("doc_id")
@@ -407,6 +451,113 @@ def ingest_run_report(spark, sf_dir):
     )
 
 
+RUN_ROWS_SQL = """
+    WITH firsts AS (
+      SELECT source, count(*) AS n FROM (
+        SELECT d.source FROM documents d JOIN (
+          SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source) USING (source)
+        QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY source_ord, doc_id) = 1)
+      GROUP BY source)
+    SELECT source, {status} AS status, count(*) AS items, coalesce(any_value(n), 0) AS new_articles
+    FROM documents LEFT JOIN firsts USING (source) GROUP BY source
+"""
+LABELLED_SOURCES_SQL = """
+    (SELECT source FROM documents GROUP BY source HAVING min(doc_id) IN (SELECT doc_id FROM labels))
+"""
+
+
+@query(RUN_ROWS_SQL.format(status=f"CASE WHEN source IN {LABELLED_SOURCES_SQL} THEN 'failed' ELSE 'completed' END"))
+def stream_with_broken_files(spark, sf_dir):
+    """Run rows after a stream took up all documents, and beside the files of some
+    sources a packed file that breaks off and an error page."""
+    landing, store = given.new_landing(spark), Store(new_path(spark, "store"))
+    reg = given.document_registry(spark, sf_dir)
+    given.land_items(given.document_items(spark, sf_dir), landing, "1")
+    some = [r["source"] for r in given.label_registry(spark, sf_dir).collect()]
+    given.land_broken_files(spark, some, landing, "1")
+    stream_ingest(spark, landing, store, new_path(spark, "stream"), reg).awaitTermination()
+    per_source = store.runs(spark).filter(F.col("source") != ingest.ALL_SOURCES)
+    return per_source.select("source", "status", "items", "new_articles")
+
+
+def _stored_documents(spark, sf_dir):
+    """A store with the labelled documents of one batch and all documents of the next."""
+    store, reg = Store(new_path(spark, "store")), given.document_registry(spark, sf_dir)
+    items = given.placed_items(spark, sf_dir)
+    labels = given.table(spark, sf_dir, "labels").select("doc_id")
+    ingest.ingest_items(items.join(labels, "doc_id", "left_semi"), store, reg, given.AS_OF, report_empty=False)
+    ingest.ingest_items(items, store, reg, given.AS_OF + dt.timedelta(days=1))
+    return store
+
+
+@query(RUN_ROWS_SQL.format(status="'completed'"))
+def replayed_run_report(spark, sf_dir):
+    """Run rows of a batch of all documents that broke off before it was closed, was
+    done again, and was replayed once more after that."""
+    path, reg = new_path(spark, "store"), given.document_registry(spark, sf_dir)
+    items = given.placed_items(spark, sf_dir)
+    try:
+        ingest.ingest_items(items, given.BreakingStore(path), reg, given.AS_OF, batch_key="batch")
+    except OSError:
+        pass
+    store = Store(path)
+    ingest.ingest_items(items, store, reg, given.AS_OF, batch_key="batch")
+    report = ingest.ingest_items(items, store, reg, given.AS_OF, batch_key="batch")
+    return report.select("source", "status", "items", "new_articles")
+
+
+@query(
+    """
+    SELECT doc_id, source, h AS "contentHash" FROM (FIRSTS) WHERE h NOT IN (
+      SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+    """.replace("FIRSTS", FIRSTS_SQL)
+)
+def new_vs_hash_index(spark, sf_dir):
+    """First documents held against an index of the labelled ones, as an ingest does it."""
+    index = HashIndex(spark, new_path(spark, "hashes"), [], [])
+    history = stage(_history(spark, sf_dir).distinct(), "history")
+    index.add(1, history, history.count())
+    index.merge(1)
+    firsts = stage(_first_documents(spark, sf_dir), "first-keys")
+    return index.new_against(firsts, firsts.count())
+
+
+STORED_TWICE_SQL = """
+    WITH items AS (
+      SELECT d.*, r.source_ord, (doc_id NOT IN (SELECT doc_id FROM labels))::INT AS batch
+      FROM documents d JOIN (SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source) r USING (source)),
+    firsts AS (
+      SELECT * FROM items
+      QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY batch, source_ord, doc_id) = 1),
+    stored AS (
+      SELECT row_number() OVER (ORDER BY batch, source_ord, doc_id) AS id, 'Document ' || doc_id AS title, source,
+        DATE '2024-01-20' + batch AS day
+      FROM firsts)
+"""
+
+
+@query(
+    STORED_TWICE_SQL
+    + """SELECT source, count(*) AS total, count(*) FILTER (day = DATE '2024-01-21') AS today
+         FROM stored GROUP BY source"""
+)
+def stored_stats(spark, sf_dir):
+    """Counts per source of two batches, from the counts kept with the store."""
+    counts = _stored_documents(spark, sf_dir).counts(spark)
+    return stats.stored_stats(counts, given.AS_OF.date() + dt.timedelta(days=1))
+
+
+@query(STORED_TWICE_SQL + "SELECT id, title, source FROM stored WHERE source = 'src3' ORDER BY id DESC LIMIT 5 OFFSET 5")
+def stored_page(spark, sf_dir):
+    store = _stored_documents(spark, sf_dir)
+    return catalog.stored_page(spark, store, 2, 5, "src3").rows.select("id", "title", "source")
+
+
+@query(STORED_TWICE_SQL + "SELECT id, title, source FROM stored WHERE id = 42")
+def stored_article(spark, sf_dir):
+    return _stored_documents(spark, sf_dir).article(spark, 42).select("id", "title", "source")
+
+
 # --- catalog ----------------------------------------------------------------
 
 
@@ -615,6 +766,40 @@ def ingest_stats(spark, sf_dir):
     )
 
 
+@query(
+    """
+    SELECT event_type AS source, count(*) AS articles, (SELECT count(*) FROM events)::BIGINT AS "totalArticles",
+           (SELECT max(date_trunc('hour', ts)) FROM events) AS "lastRun",
+           TIMESTAMP '2024-01-20 13:00:00' AS "nextRun"
+    FROM events GROUP BY event_type
+    """
+)
+def ingest_stats_rows(spark, sf_dir):
+    rows = stats.ingest_stats_rows(
+        given.event_articles(spark, sf_dir), given.hourly_runs(spark, sf_dir), given.AS_OF
+    )
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("lastRun", "nextRun")})
+
+
+@query(
+    f"""
+    WITH reg AS (SELECT source, min(doc_id) AS source_ord FROM documents GROUP BY source
+                 HAVING min(doc_id) IN (SELECT doc_id FROM labels))
+    SELECT '{reports.SCHEDULE}' AS schedule,
+           (SELECT strftime(max(date_trunc('hour', ts)), '%Y-%m-%dT%H:%M:%S.000Z') FROM events) AS "lastRun",
+           '2024-01-20T13:00:00.000Z' AS "nextRun", any_value(source_ord) AS source_ord, source, count(*) AS articles
+    FROM documents LEFT JOIN reg USING (source) GROUP BY source
+    """
+)
+def scraping_status(spark, sf_dir):
+    return reports.scraping_status_rows(
+        given.document_articles(spark, sf_dir),
+        given.hourly_runs(spark, sf_dir),
+        given.label_registry(spark, sf_dir),
+        given.AS_OF,
+    )
+
+
 @query(
     """
     SELECT '2024-01-20T12:30:00.000Z' AS "timestamp", count(*) AS "articleCount",
@@ -640,7 +825,7 @@ def status_by_source(spark, sf_dir):
 def source_counts_map(spark, sf_dir):
     """Counts folded into one map and read back from it."""
     counts = stats.count_by_source(given.event_articles(spark, sf_dir))
-    folded = counts.agg(stats.as_map().alias("bySource"))
+    folded = stats.as_map(counts)
     return folded.select(F.explode("bySource").alias("source", "count"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from feedlake.schema import ITEM
 from feedlake.sources.accesslog import SEPARATOR
+from feedlake.sources.batches import Batches, write_bytes
+from feedlake.sources.store import Store
 from feedlake.staging import new_path, stage
 
 # The moment the time queries look back from; the events cover January 2024.
@@ -175,6 +177,36 @@ def land_items(items: DataFrame, landing: str, fetch: str) -> None:
     )
 
 
+def placed_items(spark: SparkSession, sf_dir: str, fetch: str = "1") -> DataFrame:
+    """Every document as an item that was read from a feed file of its source."""
+    return document_items(spark, sf_dir).select(
+        "*",
+        F.lit(fetch).alias("fetch"),
+        F.lit("feed.xml").alias("file_name"),
+        F.col("doc_id").alias("item_ord"),
+        F.lit(False).alias("malformed"),
+    )
+
+
+def land_broken_files(spark: SparkSession, sources: list[str], landing: str, fetch: str) -> None:
+    """Beside the feed files of each source a packed file that breaks off and an error page."""
+    for source in sources:
+        folder = f"{landing}/fetch={fetch}/feed={source}"
+        write_bytes(spark, f"{folder}/broken.xml.gz", b"\x1f\x8b\x08\x00 this is not packed")
+        write_bytes(spark, f"{folder}/error.xml", b"<!DOCTYPE html><html><body>503</body></html>")
+
+
+class BreakingStore(Store):
+    """A store whose batches break off after everything is written, before they are closed."""
+
+    def batches(self, spark: SparkSession) -> Batches:
+        class Breaking(Batches):
+            def close(self, manifest):
+                raise OSError("broke off")
+
+        return Breaking(spark, f"{self.path}/batches")
+
+
 def new_landing(spark: SparkSession) -> str:
     return new_path(spark, "landing")
 

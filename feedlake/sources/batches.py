@@ -67,6 +67,13 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, at = _at(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(content))
+    out.close()
+
+
 class Batches:
     """The manifests of a store, one file a batch."""
 
@@ -91,10 +98,8 @@ class Batches:
 
     def _write(self, manifest: Manifest) -> None:
         target = self._path(manifest.batch, md5(manifest.key.encode()).hexdigest(), manifest.state)
+        write_bytes(self.spark, f"{target}.tmp", json.dumps(asdict(manifest)).encode())
         fs, at = _at(self.spark, f"{target}.tmp")
-        out = fs.create(at, True)
-        out.write(bytearray(json.dumps(asdict(manifest)), "utf-8"))
-        out.close()
         _, final = _at(self.spark, target)
         # A file under its final name is whole.
         fs.delete(final, False)

@@ -72,10 +72,10 @@ def _items(files: DataFrame) -> DataFrame:
 def fetch_order(fetch: Column) -> Column:
     """A fetch as text that sorts in run order: numbers by value, times as they are.
 
-    Runs of digits are padded to one width, so 2 comes before 10.
+    Runs of digits are padded to a width of 39, so 2 comes before 10.
     """
-    digits = F.regexp_replace(fetch, "([0-9]+)", "0000000000000000000$1")
-    return F.regexp_replace(digits, "0+([0-9]{20})(?![0-9])", "$1")
+    digits = F.regexp_replace(fetch, "([0-9]+)", "0" * 38 + "$1")
+    return F.regexp_replace(digits, "0+([0-9]{39})(?![0-9])", "$1")
 
 
 def _path_value(path: Column, name: str) -> Column:

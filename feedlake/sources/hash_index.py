@@ -154,9 +154,12 @@ class HashIndex:
         files = -(-n_hashes // RECENT_HASHES)
         keys.coalesce(files).write.mode("overwrite").parquet(self._recent_path(recent))
         self.recent.append(recent)
+        if sum(r["hashes"] for r in self.recent) >= RECENT_HASHES or len(self.recent) >= RECENT_BATCHES:
+            self.merge(batch)
+
+    def merge(self, batch: int) -> None:
+        """Merge the hashes of recent batches into a run named after this batch."""
         total = sum(r["hashes"] for r in self.recent)
-        if total < RECENT_HASHES and len(self.recent) < RECENT_BATCHES:
-            return
         merged, size = self._recents(), self._size(total)
         self.gone += [self._recent_path(r) for r in self.recent]
         self.recent = []

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,10 +149,10 @@ def test_day_filter_prunes_stored_partitions(spark, tmp_path):
     articles = store.articles(spark)
     found = catalog.created_on(articles, "2024-01-03")
     assert [r["id"] for r in found.collect()] == [3]
-    assert "PartitionFilters: [isnotnull(created_date" in plan(found)
+    assert re.search(r"PartitionFilters: \[[^\]]*isnotnull\(created_date", plan(found))
     recent = catalog.created_recently(articles, 1, dt.datetime(2024, 1, 5, 9))
     assert sorted(r["id"] for r in recent.collect()) == [4, 5]
-    assert "PartitionFilters: [isnotnull(created_date" in plan(recent)
+    assert re.search(r"PartitionFilters: \[[^\]]*isnotnull\(created_date", plan(recent))
 
 
 def test_time_filter_is_pushed(spark):
