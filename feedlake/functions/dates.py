@@ -13,9 +13,14 @@ from feedlake.functions.text import field, null_if_empty, trim_white_space
 # in between; then the day format of arguments, its message and the prefix of run ids.
 WEEKDAY_PATTERN = "^(?i:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*)(?:[,.] *| +)"
 OFFSET_PATTERN = "(?:GMT|UTC)?([+-][0-9]{2}):?([0-9]{2})$"
-OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS] Z"
-ZONE_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS] z"
-LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss][.SSSSSS]"
+OFFSET_FORMAT = "d MMM yyyy HH:mm[:ss] Z"
+ZONE_FORMAT = "d MMM yyyy HH:mm[:ss] z"
+LOCAL_FORMAT = "d MMM yyyy HH:mm[:ss]"
+FRACTION_FORMATS = (
+    ("[+-][0-9]{4}$", "d MMM yyyy HH:mm:ss.SSSSSS Z"),
+    ("[A-Za-z]$", "d MMM yyyy HH:mm:ss.SSSSSS z"),
+    ("[0-9]$", "d MMM yyyy HH:mm:ss.SSSSSS"),
+)
 HALF_DAY_FORMAT = "d MMM yyyy hh:mm[:ss] a"
 DATE_FORMAT = "d MMM yyyy"
 SLASH_FORMAT = "M/d/yyyy[ HH:mm[:ss]]"
@@ -29,6 +34,7 @@ PLAIN_PATTERN = (
     "(?:[01][0-9]|2[0-3]):[0-9]{2}(?::[0-9]{2})? (?:[+-][0-9]{4}|[A-Z]{3,4})$"
 )
 ISO_PATTERN = "^[0-9]{4}"
+DATED_PATTERN = "^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}(?: |$)"
 SLASH_PATTERN = "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
 # The hour 24 is midnight of the next day.
 MIDNIGHT_PATTERN = "[ T]24:00(?::00(?:[.]0+)?)?(?![:0-9])"
@@ -40,21 +46,24 @@ ISO_SPELLINGS = (
     ("^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3"),
     ("^([0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{2}:[0-9]{2})(?![:0-9])", "$1:00"),
 )
-DATED_SPELLINGS = (
+# Spellings that are seldom; then, after the weekday, the month in front; what is not yet
+# day, month and year; and the offset.
+ODD_SPELLINGS = (
     (r"\s*\([^)]*\)$", ""),
-    (WEEKDAY_PATTERN, ""),
-    ("^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4}),?", "$2 $1 $3"),
-    ("^([0-9]{1,2})-([A-Za-z]{3})[a-z]*-([0-9]{2,4})(?![0-9])", "$1 $2 $3"),
-    ("^([0-9]{1,2} [A-Za-z]{3})[a-z]*[.]?(?= )", "$1"),
-    ("^([0-9]{1,2} [A-Za-z]{3}) ([0-4][0-9])(?= |$)", "$1 20$2"),
-    ("^([0-9]{1,2} [A-Za-z]{3}) ([5-9][0-9])(?= |$)", "$1 19$2"),
+    ("(?<![0-9])([0-9]{1,2})-([A-Za-z]{3})[a-z]*-([0-9]{2,4})(?![0-9])", "$1 $2 $3"),
     (" ([0-9]:[0-9]{2})", " 0$1"),
     (" 24:00", " 00:00"),
     ("([.][0-9]{6})[0-9]+", "$1"),
     (" ?[Aa][Mm]$", " AM"),
     (" ?[Pp][Mm]$", " PM"),
-    (OFFSET_PATTERN, "$1$2"),
 )
+MONTH_FIRST_SPELLINGS = (("^([A-Za-z]{3})[a-z]*[.]? ([0-9]{1,2}),? ([0-9]{4}),?", "$2 $1 $3"),)
+DAY_SPELLINGS = (
+    ("^([0-9]{1,2} [A-Za-z]{3})[a-z]*[.]?(?= )", "$1"),
+    ("^([0-9]{1,2} [A-Za-z]{3}) ([0-4][0-9])(?= |$)", "$1 20$2"),
+    ("^([0-9]{1,2} [A-Za-z]{3}) ([5-9][0-9])(?= |$)", "$1 19$2"),
+)
+OFFSET_SPELLINGS = ((OFFSET_PATTERN, "$1$2"),)
 RUN_ID_PREFIX = "scrape_"
 
 
@@ -77,36 +86,30 @@ def with_published(items: DataFrame) -> DataFrame:
     dated = F.col("_dated")
     is_iso, is_slashed = text.rlike(ISO_PATTERN), text.rlike(SLASH_PATTERN)
 
-    def respelled(spellings) -> Column:
-        spelled = text
-        for pattern, by in spellings:
-            spelled = F.regexp_replace(spelled, pattern, by)
-        return spelled
-
     def as_format(form: str) -> Column:
         return F.try_to_timestamp(dated, F.lit(form))
 
     # A plain cast would read "12:30" as today, so ISO needs its year in front.
-    half_day = dated.rlike(" [AP]M$")
+    half_day = F.endswith(dated, F.lit(" AM")) | F.endswith(dated, F.lit(" PM"))
+    fraction = F.contains(dated, F.lit("."))
+    fractions = F.coalesce(*[F.when(fraction & dated.rlike(end), as_format(form)) for end, form in FRACTION_FORMATS])
     published = (
         F.when(is_iso, F.try_to_timestamp(dated))
         .when(is_slashed & half_day, as_format(SLASH_HALF_DAY_FORMAT))
         .when(is_slashed, as_format(SLASH_FORMAT))
+        # What has not the shape of a date is not tried.
+        .when(~dated.rlike(DATED_PATTERN), F.lit(None).cast("timestamp"))
         .when(half_day, as_format(HALF_DAY_FORMAT))
+        .when(fraction, fractions)
         .when(dated.rlike("[+-][0-9]{4}$"), as_format(OFFSET_FORMAT))
         .when(dated.rlike("[A-Za-z]$"), as_format(ZONE_FORMAT))
         .when(F.contains(dated, F.lit(":")), as_format(LOCAL_FORMAT))
         .otherwise(as_format(DATE_FORMAT))
     )
-    cleaned = (
-        F.when(text.rlike(PLAIN_PATTERN), F.substring_index(text, ", ", -1))
-        .when(is_iso, respelled(ISO_SPELLINGS))
-        .otherwise(respelled(DATED_SPELLINGS))
-    )
-    midnight = F.when(text.rlike(MIDNIGHT_PATTERN), F.col("publishedAt") + F.expr("INTERVAL 1 DAY"))
+    midnight = F.when(F.contains(text, F.lit("24:00")) & text.rlike(MIDNIGHT_PATTERN), F.col("publishedAt") + F.expr("INTERVAL 1 DAY"))
+    named = items.withColumn("_date_text", trim_white_space(published_text()))
     return (
-        items.withColumn("_date_text", trim_white_space(published_text()))
-        .withColumn("_dated", cleaned)
+        named.withColumn("_dated", _respelled(text))
         .withColumn("publishedAt", published)
         .withColumn("publishedAt", midnight.otherwise(F.col("publishedAt")))
         .withColumn("dateError", text.isNotNull() & F.col("publishedAt").isNull())
@@ -114,6 +117,51 @@ def with_published(items: DataFrame) -> DataFrame:
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value worked out once. Evaluated outside of generated code, whose methods
+    would grow past what the JVM compiles."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _respelled(text: Column) -> Column:
+    """The text in one of the forms above. Plain tests on it decide which replacements are tried."""
+
+    def apply(spelled: Column, spellings) -> Column:
+        for pattern, by in spellings:
+            spelled = F.regexp_replace(spelled, pattern, by)
+        return spelled
+
+    def respell(text: Column) -> Column:
+        def has(part: str) -> Column:
+            return F.contains(text, F.lit(part))
+
+        last = F.lower(F.right(text, F.lit(1)))
+        hour = F.substring(F.substring_index(text, ":", 1), -2, 1)
+        odd = has("(") | has("-") | has(" 24:") | has(".") | (last == "m") | (hour == " ")
+        offset = has("GMT+") | has("GMT-") | has("UTC+") | has("UTC-") | has("(") | (F.substring(text, -3, 1) == ":")
+        steps = (
+            (lambda t: odd, ODD_SPELLINGS),
+            (lambda t: F.lit(True), ((WEEKDAY_PATTERN, ""),)),
+            (lambda t: F.substring(t, 1, 1) > "9", MONTH_FIRST_SPELLINGS),
+            (lambda t: ~t.rlike(DATED_PATTERN), DAY_SPELLINGS),
+            (lambda t: offset, OFFSET_SPELLINGS),
+        )
+
+        def step(needed, spellings):
+            return lambda t: F.when(needed(t), apply(t, spellings)).otherwise(t)
+
+        out = text
+        for needed, spellings in steps:
+            out = _bound(out, step(needed, spellings))
+        return (
+            F.when(text.rlike(PLAIN_PATTERN), F.substring_index(text, ", ", -1))
+            .when(text.rlike(ISO_PATTERN), apply(text, ISO_SPELLINGS))
+            .otherwise(out)
+        )
+
+    return _bound(text, respell)
+
+
 def start_of_day(moment: Column) -> Column:
     return F.date_trunc("day", moment)
 
