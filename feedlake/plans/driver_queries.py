@@ -1004,3 +1004,41 @@ def error_events(spark, sf_dir):
 def request_durations(spark, sf_dir):
     requests = accesslog.parse_access_log(given.log_lines(spark, sf_dir))
     return accesslog.request_durations(requests)
+
+
+@query(
+    f"""
+    SELECT 'GET' AS method, '/articles/source/' || event_type AS url,
+           CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Completed' END AS outcome,
+           date_trunc('day', ts) AS day,
+           CASE WHEN value >= 1 THEN floor(ln(floor(value)) / ln({accesslog.BUCKET_GROWTH}::DOUBLE))::INT ELSE -1 END AS bucket,
+           count(*) AS n
+    FROM events WHERE event_type <> 'signup' GROUP BY ALL
+    """
+)
+def duration_histogram(spark, sf_dir):
+    """Histograms of durations by hour, added up to days."""
+    lines = given.log_lines(spark, sf_dir).join(given.table(spark, sf_dir, "events").select("event_id", "ts"), "event_id")
+    requests = accesslog.parse_access_log(lines).withColumn("hour", F.date_trunc("hour", "ts"))
+    hourly = accesslog.duration_histogram(requests, "hour")
+    return accesslog.merged_histogram(hourly.withColumn("day", F.date_trunc("day", "hour")), "day").withColumn(
+        "day", F.col("day").cast("timestamp_ntz")
+    )
+
+
+@query(
+    f"""
+    SELECT 'GET' AS method, '/articles/source/' || event_type AS url,
+           CASE WHEN event_type = 'error' THEN 'Failed' ELSE 'Completed' END AS outcome, count(*) AS requests, true AS within
+    FROM events WHERE event_type <> 'signup' GROUP BY event_type
+    """
+)
+def histogram_durations(spark, sf_dir):
+    """Whether the 95 % mark read from merged histograms lies as near to the exact one as it must."""
+    requests = accesslog.parse_access_log(given.log_lines(spark, sf_dir))
+    read = accesslog.histogram_durations(accesslog.duration_histogram(requests))
+    exact = accesslog.request_durations(requests).select("method", "url", "outcome", "p95_ms")
+    off = F.abs(F.col("quantile_ms") - F.col("p95_ms"))
+    return read.join(exact, ["method", "url", "outcome"]).select(
+        "method", "url", "outcome", "requests", (off <= F.col("p95_ms") * accesslog.BUCKET_ERROR + 0.5).alias("within")
+    )

@@ -331,9 +331,9 @@ def run_ingest(
         with run_folder(spark, "files"):
             checked = feeds.checked_files(feeds.landed_files(spark, landing, source, fetch), charset)
             failed = feeds.failed_files(checked)
-            # Broken files only; the list is as long as there are such files.
-            bad = [r["path"] for r in checked.filter("error IS NOT NULL").select("path").toLocalIterator()]
-            items = feeds.read_feeds(spark, landing, source, row_tag, charset, fetch, without=bad)
+            # Only what differs from most files is listed: broken ones, and Atom documents.
+            bad, atom = feeds.set_apart(checked)
+            items = feeds.read_feeds(spark, landing, source, row_tag, charset, fetch, without=bad, atom=atom)
             ingest_items(items, store, asked, started, empty_content, failed=failed)
     except Exception as e:
         message = f"{SCRAPE_FAILED}: {e}"

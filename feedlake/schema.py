@@ -41,6 +41,21 @@ FEED_FILE = T.StructType(
     ]
 )
 
+# What the scan of Atom documents reads: links are structs, and authors hold a name.
+ATOM_LINK = T.StructType([T.StructField(name, STR) for name in ("_href", "_rel", "_type")])
+ATOM_AUTHOR = T.StructType([T.StructField("name", STR)])
+ATOM_FILE = T.StructType(
+    [T.StructField(name, T.ArrayType(STR)) for name in ("title", "content", "summary", "published", "updated")]
+    + [
+        T.StructField("link", T.ArrayType(ATOM_LINK)),
+        T.StructField("author", T.ArrayType(ATOM_AUTHOR)),
+        T.StructField("media:content", T.ArrayType(_MEDIA)),
+        T.StructField(CORRUPT, STR),
+        T.StructField("fetch", STR),
+        T.StructField("feed", STR),
+    ]
+)
+
 ARTICLE = T.StructType(
     [
         T.StructField("id", T.LongType(), False),

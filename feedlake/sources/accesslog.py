@@ -1,6 +1,9 @@
 """Request log: JSON lines with a text message, as columns."""
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedlake.schema import ACCESS_LOG_LINE
@@ -78,3 +81,53 @@ def request_durations(requests: DataFrame) -> DataFrame:
             .alias("p95_ms"),
         )
     )
+
+
+# Buckets of durations: each is 2 % wider than the one before.
+BUCKET_GROWTH = 1.02
+# What a quantile read from buckets may be off, as a share of the exact one.
+BUCKET_ERROR = (BUCKET_GROWTH - 1) / 2
+
+
+def duration_bucket(duration: Column) -> Column:
+    """Number of the bucket of a duration: 0 from 1 ms on, -1 for none at all."""
+    scaled = F.floor(F.ln(duration.cast("double")) / F.lit(math.log(BUCKET_GROWTH)))
+    return F.when(duration >= 1, scaled.cast("int")).when(duration.isNotNull(), F.lit(-1))
+
+
+def duration_histogram(requests: DataFrame, *by: str) -> DataFrame:
+    """(method, url, outcome, *by, bucket, n): finished requests per bucket of duration.
+
+    Histograms of parts add up to that of the whole: keep one per hour, named in by, and merge what
+    is asked for. A group has some 1,400 buckets at most, whatever its number of requests. Requests
+    without a duration have bucket NULL.
+    """
+    return (
+        requests.filter(F.col("outcome") != INCOMING)
+        .groupBy("method", "url", "outcome", *by, duration_bucket(F.col("duration_ms")).alias("bucket"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
+def merged_histogram(histogram: DataFrame, *by: str) -> DataFrame:
+    """The histogram over all other columns than method, url, outcome and by."""
+    return histogram.groupBy("method", "url", "outcome", *by, "bucket").agg(F.sum("n").alias("n"))
+
+
+def histogram_durations(histogram: DataFrame, *by: str, share: float = 0.95) -> DataFrame:
+    """(method, url, outcome, *by, requests, quantile_ms): the duration that share of the timed
+    requests do not exceed, off by no more than BUCKET_ERROR of its exact value, and half a millisecond."""
+    keys = ["method", "url", "outcome", *by]
+    up = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy(*keys)
+    timed = merged_histogram(histogram, *by).withColumns(
+        {
+            "_below": F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).over(up),
+            "_timed": F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))).over(whole),
+        }
+    )
+    # The middle of a bucket, which lies between its bounds by the same share.
+    middle = F.pow(F.lit(BUCKET_GROWTH), F.col("bucket")) * F.lit((1 + BUCKET_GROWTH) / 2)
+    reached = F.col("_below") >= F.col("_timed") * F.lit(share)
+    at = F.when(reached, F.when(F.col("bucket") < 0, F.lit(0.0)).otherwise(middle))
+    return timed.groupBy(*keys).agg(F.sum("n").alias("requests"), F.min(at).alias("quantile_ms"))

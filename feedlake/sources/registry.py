@@ -4,10 +4,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlake.staging import broadcast_if_small
+from feedlake.staging import stage
 
 # A registry up to this size, some 20 MB, is broadcast.
 BROADCAST_SOURCES = 100_000
+# A source is hot with more items than this part of a shuffle partition's share.
+HOT_PARTS = 4
 
 # The feeds in reading order, as (name, url).
 FEEDS = [
@@ -107,13 +109,39 @@ def registry_violations(registry: DataFrame) -> DataFrame:
 def with_registry(items: DataFrame, registry: DataFrame, how: str = "inner") -> DataFrame:
     """Items of registered sources, with the feed url and reading order.
 
-    With how="left" items of other sources stay, without both.
+    With how="left" items of other sources stay, without both. A registry beyond
+    BROADCAST_SOURCES is joined by a shuffle, but for the sources that hold many items.
     """
     rows, names = registry.agg(F.count("*"), F.count_distinct("source")).first()
     if rows != names:
         raise ValueError("Registry names must be set and unique")
     feeds = registry.select("source", F.col("url").alias("feed_url"), "source_ord")
-    return items.join(broadcast_if_small(feeds, BROADCAST_SOURCES, rows), "source", how)
+    if rows <= BROADCAST_SOURCES:
+        return items.join(F.broadcast(feeds), "source", how)
+    return _with_large_registry(items, feeds, how)
+
+
+def hot_sources(items: DataFrame) -> DataFrame:
+    """Sources with more items than a shuffle partition should get: no more of them than HOT_PARTS
+    times the partitions. Written."""
+    parts = HOT_PARTS * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stage(items.groupBy("source").agg(F.count("*").alias("n")), "items-per-source")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.filter(F.col("source").isNotNull() & (F.col("n") * parts > total)).select("source")
+
+
+def _with_large_registry(items: DataFrame, feeds: DataFrame, how: str) -> DataFrame:
+    """The items of hot sources stay where they are and get their few feeds by broadcast;
+    all others are shuffled, no source of them more than a share of a partition."""
+    (hot_mark,) = [c for c in ("_hot", "__hot") if c not in items.columns][:1]
+    hot = hot_sources(items)
+    marked = items.join(F.broadcast(hot.withColumn(hot_mark, F.lit(True))), "source", "left")
+    # Items without a source match nothing and are not shuffled either.
+    stays = F.col(hot_mark).isNotNull() | F.col("source").isNull()
+    hot_feeds = feeds.join(F.broadcast(hot), "source", "left_semi")
+    near = marked.filter(stays).join(F.broadcast(hot_feeds), "source", how)
+    far = marked.filter(~stays).join(feeds, "source", how)
+    return near.unionByName(far).drop(hot_mark)
 
 
 def unknown_sources(items: DataFrame, registry: DataFrame) -> DataFrame:

@@ -81,7 +81,8 @@ def stream_ingest(
             # The files of one micro-batch, which its own log lists on the driver as well.
             good = checked.filter("error IS NULL").select("path")
             paths = [r["path"] for r in good.toLocalIterator()]
-            items = feeds.read_feeds(spark, landing, None, row_tag, charset, paths=paths)
+            _, atom = feeds.set_apart(checked)
+            items = feeds.read_feeds(spark, landing, None, row_tag, charset, paths=paths, atom=atom)
             run_id = ingest.ingest_batch(
                 items,
                 store,

@@ -54,3 +54,20 @@ def test_errors_and_durations(spark, tmp_path):
     assert (row["requests"], row["avg_ms"], row["max_ms"], row["p95_ms"]) == (2, 16.0, 20, 20)
     assert by_key["GET", "/articles/9", "Failed"]["requests"] == 2
     assert len(by_key) == 5
+
+
+def test_histograms_add_up_and_stay_within_their_bound(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [("GET", f"/u{n % 3}", "Completed", n % 24, int(rng.lognormvariate(5, 3))) for n in range(6000)]
+    rows += [("GET", "/u0", "Completed", 1, None), ("POST", "/u", "Incoming", 1, None), ("GET", "/z", "Failed", 2, 0)]
+    requests = spark.createDataFrame(rows, "method string, url string, outcome string, hour int, duration_ms long")
+    hourly = accesslog.duration_histogram(requests, "hour")
+    whole = accesslog.duration_histogram(requests)
+    assert sorted(map(tuple, accesslog.merged_histogram(hourly).collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    exact = {r["url"]: (r["requests"], r["p95_ms"]) for r in accesslog.request_durations(requests).collect()}
+    for r in accesslog.histogram_durations(hourly).collect():
+        requests_, p95 = exact[r["url"]]
+        assert r["requests"] == requests_
+        assert abs(r["quantile_ms"] - p95) <= p95 * accesslog.BUCKET_ERROR + 0.5

@@ -2,6 +2,7 @@ import re
 
 import pytest
 from feedfiles import article
+from pyspark.sql import functions as F
 
 from feedlake.sources import registry
 
@@ -57,3 +58,25 @@ def test_double_names_are_refused_where_they_would_double_items(spark):
     with pytest.raises(ValueError, match="unique"):
         registry.with_registry(article(spark, [(1, "t", "a")]), rows)
     assert registry.feed_registry(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_a_large_registry_and_a_hot_source(spark, monkeypatch, request, how):
+    monkeypatch.setattr(registry, "BROADCAST_SOURCES", 1000)
+    # Nothing is broadcast but what is said to be.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    feeds = registry.feed_registry(spark, [(f"s{i}", f"http://s{i}") for i in range(3000)])
+    names = ["s7" if n % 3 == 0 else None if n % 31 == 0 else f"s{n % 4000}" for n in range(12_000)]
+    items = spark.createDataFrame(list(enumerate(names)), "n long, source string").repartition(12, "n")
+    assert [r["source"] for r in registry.hot_sources(items).collect()] == ["s7"]
+    joined = registry.with_registry(items, feeds, how)
+    got = sorted((r["n"], r["source"], r["feed_url"]) for r in joined.collect())
+    known = {f"s{i}" for i in range(3000)}
+    want = [(n, s, f"http://{s}" if s in known else None) for n, s in enumerate(names) if how == "left" or s in known]
+    assert got == want
+    # The hot source's items meet their feed by broadcast, in the tasks that hold them.
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text
+    rows = joined.filter("source = 's7'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) >= 8 and max(r["count"] for r in rows) < 1000

@@ -364,3 +364,47 @@ def test_large_source_lists_are_refused_as_maps(spark, monkeypatch):
     assert len(stats.as_map(counts.limit(3)).first()["bySource"]) == 3
     with pytest.raises(Exception, match="use the rows"):
         stats.as_map(counts).collect()
+
+
+# --- Atom ----------------------------------------------------------------------
+
+
+ATOM = """<?xml version="1.0" encoding="utf-8"?>
+<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">
+ <title>A feed</title><link href="https://news.example/"/>
+ <entry><title>One</title><id>1</id>
+  <link rel="enclosure" type="image/png" href="https://news.example/1.png"/>
+  <link rel="alternate" href="https://news.example/1"/>
+  <content type="html">&lt;p&gt;first&lt;/p&gt;</content>
+  <author><name>Eva</name><uri>x</uri></author>
+  <published>2024-01-02T03:04:05Z</published><updated>2024-02-02T00:00:00Z</updated></entry>
+ <entry><title type="text">Two</title><link rel="self" href="https://news.example/self"/><link href="https://news.example/2"/>
+  <summary>second</summary><updated>2024-01-03T00:00:00Z</updated>
+  <media:content url="https://news.example/2.jpg"/></entry>
+ <entry><title>Three</title><link rel="self" href="https://news.example/3"/><content>third</content></entry>
+ <entry><title>No link</title><content>fourth</content></entry>
+</feed>"""
+
+
+@pytest.mark.parametrize("how", ["batch", "stream", "only"])
+def test_atom_documents_are_stored(spark, place, tmp_path, how):
+    landing, store = place
+    land(landing, "idnes.cz", ATOM)
+    if how != "only":
+        land(landing, "novinky.cz", [item(1)])
+    if how == "batch":
+        ingest.run_ingest(spark, landing, store)
+    else:
+        stream_ingest(spark, landing, store, str(tmp_path / "cp")).awaitTermination()
+    rows = store.articles(spark).filter("source = 'idnes.cz'").orderBy("id").collect()
+    assert [(r["title"], r["url"], r["author"], r["description"], r["imageUrl"]) for r in rows] == [
+        ("One", "https://news.example/1", "Eva", "first", "https://news.example/1.png"),
+        ("Two", "https://news.example/2", None, "second", "https://news.example/2.jpg"),
+        ("Three", "https://news.example/3", None, "third", None),
+    ]
+    dates = store.articles(spark).filter("source = 'idnes.cz'").orderBy("id").select(F.col("publishedAt").cast("string"))
+    assert [r[0] for r in dates.collect()] == ["2024-01-02 03:04:05", "2024-01-03 00:00:00", None]
+    row = store.runs(spark).filter("source = 'idnes.cz' AND items > 0").first()
+    assert (row["status"], row["items"], row["invalid"], row["new_articles"]) == ("completed", 4, 1, 3)
+    if how != "only":
+        assert store.articles(spark).count() == 4
