@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.schema import ITEM
@@ -41,6 +41,37 @@ def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an item of its source, with all other fields set by turns of its id."""
+    doc, source = F.col("doc_id"), F.col("source")
+
+    def turn(of: int, **values) -> Column:
+        return F.coalesce(*[F.when(doc % of == int(k[1:]), v) for k, v in values.items()])
+
+    def url(host: str) -> Column:
+        return F.concat(F.lit(f"https://{host}.example.com/"), doc)
+
+    kind = F.when(doc % 2 == 0, "image/png").otherwise("audio/mpeg")
+    return _item(
+        table(spark, sf_dir, "documents"),
+        "doc_id",
+        "source",
+        title=F.concat(F.lit("Document "), doc),
+        link=F.concat(F.lit("https://example.com/"), doc),
+        content=turn(2, _0=F.col("text")),
+        summary=turn(4, _1=F.col("text")),
+        description=F.when(doc % 4 == 3, F.col("text")).otherwise("not this one"),
+        creator=turn(4, _0=source),
+        author=turn(4, _0=F.lit("not this one"), _1=F.col("lang")),
+        dc__creator=turn(4, _1=F.lit("not this one"), _2=F.concat(F.lit("dc "), source)),
+        pubDate=turn(5, _0=F.lit("Tue, 02 Jan 2024 10:20:30 +0100"), _3=F.lit("no date")),
+        published=turn(5, _0=F.lit("not this one"), _1=F.lit("2024-01-03T04:05:06Z")),
+        dc__date=turn(5, _2=F.lit("2024-01-04"), _1=F.lit("not this one")),
+        media__content=F.when(doc % 3 == 0, F.struct(url("img").alias("_url"))),
+        enclosure=F.when(doc % 3 < 2, F.struct(url("enc").alias("_url"), kind.alias("_type"))),
+    )
+
+
 def field_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text, name and date in fields that depend on its language."""
 
@@ -167,16 +198,31 @@ def land_items(items: DataFrame, landing: str, fetch: str) -> None:
         .withColumn("feed", F.col("source"))
         .repartitionByRange("doc_id")
         .sortWithinPartitions("fetch", "feed", "doc_id")
-        .select("title", "link", "description", "fetch", "feed")
+        .select(*[F.col(f"`{f.name}`") for f in ITEM.fields], "fetch", "feed")
         .write.mode("append")
         .format("xml")
         .option("rootTag", "channel")
         .option("rowTag", "item")
+        # Names with a namespace are written as they are.
+        .option("validateName", "false")
         .partitionBy("fetch", "feed")
         .save(landing)
     )
 
 
+_landed: dict[tuple[str, str], str] = {}
+
+
+def landed_documents(spark: SparkSession, sf_dir: str) -> str:
+    """All documents as RSS files of one fetch, written once a session: ingests only read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _landed:
+        landing = new_landing(spark)
+        land_items(full_items(spark, sf_dir), landing, "1")
+        _landed[key] = landing
+    return _landed[key]
+
+
 def placed_items(spark: SparkSession, sf_dir: str, fetch: str = "1") -> DataFrame:
     """Every document as an item that was read from a feed file of its source."""
     return document_items(spark, sf_dir).select(

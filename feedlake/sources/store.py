@@ -3,10 +3,12 @@
 Articles lie under batch=<number>/span=<number>/created_date=<UTC day>. A span holds a
 run of ids whose texts make up about FILE_BYTES, and is one file a day. Counts per
 span, day and source are kept beside them with each batch; they say where an id or a page lies,
-so look-ups, pages and totals need no other article files.
+so look-ups, pages and totals need no other article files. The letters of the titles are kept
+as well, so that a search opens only files that can hold its text.
 """
 
 import datetime as dt
+import string
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -15,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlake.functions.text import contains_pattern
 from feedlake.schema import ARTICLE, CREATED_DATE, RUN
 from feedlake.sources.batches import Batches, Manifest, remove
 from feedlake.sources.hash_index import HASH, HashIndex
@@ -51,6 +54,28 @@ COUNTS = T.StructType(
 )
 
 
+# Hashed runs of three letters that the titles of a span hold: at most GRAM_CODES numbers.
+GRAM_CODES = 1 << 20
+GRAMS = T.StructType(
+    [
+        T.StructField(BATCH, T.LongType()),
+        T.StructField(SPAN, T.IntegerType()),
+        T.StructField("codes", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
+def gram_codes(rows: DataFrame, value: str, *keep: str) -> DataFrame:
+    """Distinct (*keep, code): the hashed runs of three characters of value, A-Z as a-z."""
+    folded = F.translate(F.col(value), string.ascii_uppercase, string.ascii_lowercase)
+    letters = rows.select(*keep, F.split(folded, "").alias("_letters"))
+    placed = letters.select(*keep, "_letters", F.posexplode("_letters").alias("_at", "_first"))
+    later = [F.get("_letters", F.col("_at") + k) for k in (1, 2)]
+    code = F.pmod(F.xxhash64("_first", *later), F.lit(GRAM_CODES)).cast("int")
+    whole = later[1].isNotNull() & (later[1] != "")
+    return placed.filter(whole).select(*keep, code.alias("code")).distinct()
+
+
 def _read(spark: SparkSession, schema: T.StructType, *paths: str, base: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema)
     if base is not None:
@@ -92,10 +117,6 @@ class Store:
     def quarantine_path(self) -> str:
         return f"{self.path}/quarantine"
 
-    @property
-    def counts_path(self) -> str:
-        return f"{self.path}/counts"
-
     def batches(self, spark: SparkSession) -> Batches:
         return Batches(spark, f"{self.path}/batches")
 
@@ -127,14 +148,33 @@ class Store:
 
     # --- counts and what they tell ------------------------------------------
 
-    def counts(self, spark: SparkSession, at: Manifest | None = None) -> DataFrame:
-        """Articles per batch, span, day and source, with the ids they lie between."""
-        at = self.batches(spark).last() if at is None else at
-        # One table up to the last merge, and one for every batch since.
-        since = [f"{self.counts_path}/batch={n}" for n in range(at.counts_base + 1, at.batch + 1)]
+    def _kept(self, spark: SparkSession, name: str, schema: T.StructType, at: Manifest) -> DataFrame:
+        """A table kept with the batches: one part up to the last merge, and one for every batch since."""
+        parts = [f"{self.path}/{name}/batch={n}" for n in range(at.counts_base + 1, at.batch + 1)]
         if at.counts_base:
-            since.append(f"{self.counts_path}/upto={at.counts_base}")
-        return _read(spark, COUNTS, *since) if since else spark.createDataFrame([], COUNTS)
+            parts.append(f"{self.path}/{name}/upto={at.counts_base}")
+        return _read(spark, schema, *parts) if parts else spark.createDataFrame([], schema)
+
+    def counts(self, spark: SparkSession) -> DataFrame:
+        """Articles per batch, span, day and source, with the ids they lie between."""
+        return self._kept(spark, "counts", COUNTS, self.batches(spark).last())
+
+    def search(self, spark: SparkSession, text: str | None) -> DataFrame:
+        """Articles whose title contains the text, ignoring ASCII case, as in the catalog.
+
+        Only files whose titles hold every run of three letters of the text are opened. Texts with
+        a wildcard (% or _) or of fewer than three letters are looked for in all files.
+        """
+        if not text:
+            return self.articles(spark)
+        sought = contains_pattern(F.col("title"), text)
+        if len(text) < 3 or "%" in text or "_" in text:
+            return self.articles(spark).filter(sought)
+        asked = gram_codes(spark.range(1).select(F.lit(text).alias("text")), "text")
+        codes = F.array(*[F.lit(r["code"]) for r in asked.collect()])
+        grams = self._kept(spark, "grams", GRAMS, self.batches(spark).last())
+        able = grams.filter(F.size(F.array_except(codes, F.col("codes"))) == 0).select(BATCH, SPAN)
+        return self.articles_in(spark, [tuple(r) for r in able.collect()]).filter(sought)
 
     def spans(self, spark: SparkSession, source: str | None = None) -> DataFrame:
         """(batch, span, first_id, last_id, n): where ids lie, and how many are of the source."""
@@ -219,7 +259,7 @@ class Store:
             remove(spark, f"{self.quarantine_path}/{folder}")
         source_runs.coalesce(1).write.mode("overwrite").parquet(f"{self.source_runs_path}/{folder}")
         index.add(batch.batch, numbered.select(HASH), batch.articles)
-        counts_base, merged = self._write_counts(spark, batch, numbered)
+        counts_base, merged = self._write_kept(spark, batch, numbered)
         closed = replace(batch, runs=index.runs, recent=index.recent, counts_base=counts_base)
         batches.close(closed)
         # Nothing points at these any more; a reader that started before finds its counts for a while.
@@ -228,25 +268,35 @@ class Store:
             remove(spark, path)
         return closed
 
-    def _write_counts(self, spark: SparkSession, batch: Manifest, numbered: DataFrame) -> tuple[int, list[str]]:
-        """Write the batch's counts; every COUNT_TABLES batches merge all tables into one.
+    def _write_kept(self, spark: SparkSession, batch: Manifest, numbered: DataFrame) -> tuple[int, list[str]]:
+        """Write the batch's counts and the letters of its titles; every COUNT_TABLES batches
+        merge all parts of these tables into one.
 
-        Returns up to which batch they are merged, and the tables of the merge before.
+        Returns up to which batch they are merged, and the parts of the merge before.
         """
-        counted = (
-            numbered.groupBy(SPAN, CREATED_DATE, "source")
-            .agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-            .withColumn(BATCH, F.lit(batch.batch).cast("long"))
-            .select(*[F.col(f.name).cast(f.dataType) for f in COUNTS.fields])
+        counted = numbered.groupBy(SPAN, CREATED_DATE, "source").agg(
+            F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
         )
-        counted.coalesce(1).write.mode("overwrite").parquet(f"{self.counts_path}/batch={batch.batch}")
-        if batch.batch - batch.counts_base < COUNT_TABLES:
-            return batch.counts_base, []
-        rows = self.counts(spark, batch)
-        rows.repartitionByRange(F.col("first_id")).write.mode("overwrite").parquet(f"{self.counts_path}/upto={batch.batch}")
-        # The tables merged here stay until the next merge, for readers that have begun.
+        tables = [("counts", COUNTS, counted)]
+        if batch.articles:
+            titles = spark.read.schema(f"title string, {SPAN} int").parquet(f"{self.articles_path}/batch={batch.batch}")
+            codes = gram_codes(titles, "title", SPAN).groupBy(SPAN)
+            grams = codes.agg(F.sort_array(F.collect_list("code")).alias("codes"))
+        else:
+            grams = spark.createDataFrame([], GRAMS)
+        tables.append(("grams", GRAMS, grams))
+        merge = batch.batch - batch.counts_base >= COUNT_TABLES
+        # The parts merged here stay until the next merge, for readers that have begun.
         low = max(0, batch.counts_base - COUNT_TABLES)
-        old = [f"{self.counts_path}/batch={n}" for n in range(low + 1, batch.counts_base + 1)]
-        if low:
-            old.append(f"{self.counts_path}/upto={low}")
-        return batch.batch, old
+        old = []
+        for name, schema, rows in tables:
+            numbers = rows.withColumn(BATCH, F.lit(batch.batch)).select(
+                *[F.col(f.name).cast(f.dataType) for f in schema.fields]
+            )
+            numbers.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch.batch}")
+            if merge:
+                whole = self._kept(spark, name, schema, batch)
+                whole.repartitionByRange(BATCH, SPAN).write.mode("overwrite").parquet(f"{self.path}/{name}/upto={batch.batch}")
+                old += [f"{self.path}/{name}/batch={n}" for n in range(low + 1, batch.counts_base + 1)]
+                old += [f"{self.path}/{name}/upto={low}"] * bool(low)
+        return (batch.batch if merge else batch.counts_base), old

@@ -58,7 +58,7 @@ def break_at(monkeypatch, step):
     elif step == "hashes":
         monkeypatch.setattr(hash_index.HashIndex, "add", fail)
     elif step == "counts":
-        monkeypatch.setattr(store_module.Store, "_write_counts", fail)
+        monkeypatch.setattr(store_module.Store, "_write_kept", fail)
     else:
         monkeypatch.setattr(batches.Batches, "close", fail)
 
@@ -282,13 +282,13 @@ def saved(spark, store, rows):
 
 
 def test_counts_are_merged_now_and_then(spark, place, monkeypatch):
-    monkeypatch.setattr(store_module, "COUNT_TABLES", 3)
+    monkeypatch.setattr(store_module, "COUNT_TABLES", 2)
     store = place[1]
-    for k in range(8):
+    for k in range(5):
         rows = [(f"t{k}-{n}", "ab"[n % 2], f"2024-01-0{1 + (k + n) % 3}") for n in range(4)]
         saved(spark, store, rows + [(f"t{k - 1}-0", "a", "2024-01-01")] * (k > 0))
         check_counts(spark, store)
-    assert store.batches(spark).last().counts_base == 6
+    assert store.batches(spark).last().counts_base == 4
     today = stats.stored_stats(store.counts(spark), dt.date(2024, 1, 2)).collect()
     want = stats.article_stats(store.articles(spark), utc("2024-01-02T10:00:00")).filter("source IS NOT NULL")
     assert sorted(map(tuple, today)) == sorted(map(tuple, want.collect()))
@@ -338,6 +338,30 @@ def test_look_ups_and_pages_open_their_own_files_only(spark, place, monkeypatch)
         catalog.stored_page(spark, store, 0)
 
 
+def test_a_search_opens_files_that_can_hold_its_text(spark, place, monkeypatch):
+    monkeypatch.setattr(store_module, "FILE_BYTES", 3_000)
+    monkeypatch.setattr(store_module, "BUCKET_IDS", 5)
+    store = place[1]
+    words = ["vlak", "SNÍH", "hora", "Rychle", "město", "zpráva", "x\\y", "100%"]
+    rows = [(f"{words[n % 8]} {words[n // 8 % 8]} {n}", "ab"[n % 2], "2024-01-01") for n in range(600)]
+    rows[333] = ("úplně Zebulon jiný", "a", "2024-01-01")
+    for k in range(0, 600, 300):
+        saved(spark, store, rows[k : k + 300])
+    articles = store.articles(spark)
+    assert len(articles.inputFiles()) >= 20
+    for text in ("zebulon", "ZEBULON JIN", "vlak sn", "MĚSTO", "město", "x\\y", "0%", "_lak", "ab", "a", "", None, "nowhere", "n j"):
+        got = sorted(r["id"] for r in store.search(spark, text).collect())
+        assert got == sorted(r["id"] for r in catalog.search_title(articles, text).collect()), text
+    assert len(store.search(spark, "zebulon").inputFiles()) < len(articles.inputFiles()) / 10
+    page = catalog.list_articles(store.search(spark, "vlak"), 2, 5, "a")
+    assert page.rows.collect() == catalog.list_articles(articles, 2, 5, "a", "vlak").rows.collect()
+    # The letters outlive a merge of the kept tables.
+    monkeypatch.setattr(store_module, "COUNT_TABLES", 2)
+    saved(spark, store, [("Quentin", "a", "2024-01-01")])
+    assert [r["title"] for r in store.search(spark, "zebul").collect()] == [rows[333][0]]
+    assert [r["title"] for r in store.search(spark, "quent").collect()] == ["Quentin"]
+
+
 # --- counts as rows and maps -------------------------------------------------
 
 
