@@ -19,10 +19,16 @@ from feedlake.llm.common import column
 # Texts without any of these hold none of the sentences below.
 TRIGGER = (
     r"(?i)licen[sc]e|copyright|rights reserved|permission|warrant|redistribut|spdx|free software"
-    r"|applicable law|endorse|as is|public domain"
+    r"|applicable law|endorse|as is|public domain|altered|misrepresented|creative commons|\bcc.by\b"
 )
-# Parts that may follow "CC BY".
+# Parts that may follow "CC BY", and how their names are spelled out.
 CC_PARTS = ("", "nc", "nd", "sa", "nc nd", "nc sa")
+CC_NAMES = {"nc": "nc|non ?commercial", "nd": "nd|no ?deriv(?:ative)?s?(?: works)?", "sa": "sa|share ?alike"}
+
+
+def _cc(part: str) -> str:
+    return "".join(f"(?:{CC_NAMES[p]}) " for p in part.split())
+
 
 # Wording of public licences and of their usual notices, as patterns of a whole
 # normalised sentence, and the identifier each stands for; $1, $2 are the pattern's groups.
@@ -30,13 +36,18 @@ SENTENCES = (
     (r"spdx licen[sc]e identifier ([a-z0-9 ]+)", "spdx=$1"),
     (r"copyright( c)? [0-9]{4}.*", "copyright"),
     (r"(.* )?all rights reserved", "copyright"),
-    (r"(.* )?licensed under the apache licen[sc]e version ([0-9])( ([0-9]))?( the licen[sc]e)?", "apache-notice=$2"),
+    (r"(.* )?licensed under the apache (software )?licen[sc]e v(ersion )?([0-9]) ([0-9])( the licen[sc]e)?", "apache-notice=$4.$5"),
+    (r"(.* )?licensed under the apache (software )?licen[sc]e v(ersion )?([0-9])( the licen[sc]e)?", "apache-notice=$4.0"),
     (r"(.* )?you may not use (this|these) files? except in compliance with the licen[sc]e", "apache-compliance"),
     (r"(.* )?you may obtain a copy of the licen[sc]e at( .*)?", "apache-copy"),
     (r"(.* )?unless required by applicable law or agreed to in writing.*", "apache-warranty"),
-    (r"(.* )?(is )?licensed under the gnu general public licen[sc]e( version ([0-9]))?.*", "gpl-notice=$4"),
-    (r"(.* )?licensed under the gnu lesser general public licen[sc]e( version ([0-9]))?.*", "lgpl-notice=$3"),
-    (r"(.* )?licensed under the gnu affero general public licen[sc]e( version ([0-9]))?.*", "agpl-notice=$3"),
+    (r"(.* )?licensed under the gnu general public licen[sc]e v(ersion )?([0-9]).*", "gpl-notice=$3"),
+    (r"(.* )?licensed under the gnu general public licen[sc]e.*", "gpl-notice"),
+    (r"(.* )?licensed under the gnu lesser general public licen[sc]e v(ersion )?([0-9]) ([1-9])( .*)?", "lgpl-notice=$3.$4"),
+    (r"(.* )?licensed under the gnu lesser general public licen[sc]e v(ersion )?([0-9]).*", "lgpl-notice=$3"),
+    (r"(.* )?licensed under the gnu lesser general public licen[sc]e.*", "lgpl-notice"),
+    (r"(.* )?licensed under the gnu affero general public licen[sc]e v(ersion )?([0-9]).*", "agpl-notice=$3"),
+    (r"(.* )?licensed under the gnu affero general public licen[sc]e.*", "agpl-notice"),
     (r"(.* )?is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e.* version ([0-9]).*", "gpl-free=$2"),
     (r"(.* )?is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e.* version ([0-9]).*", "lgpl-free=$2"),
     (r"(.* )?is distributed in the hope that it will be useful but without any warranty.*", "gpl-warranty"),
@@ -52,12 +63,23 @@ SENTENCES = (
     (r"(.* )?neither the names? of .* may be used to endorse or promote products.*", "bsd-endorse"),
     (r"(.* )?this software is provided by .* as is.*", "bsd-warranty"),
     (r"(.* )?permission to use copy modify and( or)? distribute this software for any purpose.*", "isc-grant"),
+    (r"(.* )?the software is provided as is and (the author|isc|.* )disclaims? all warranties.*", "isc-warranty"),
+    (r"(.* )?this software is provided as is without any express or implied warranty.*", "zlib-warranty"),
+    (r"(.* )?permission is granted to anyone to use this software for any purpose.*", "zlib-grant"),
+    (r"(.* )?the origin of this software must not be misrepresented.*", "zlib-origin"),
+    (r"(.* )?altered source versions must be plainly marked as such.*", "zlib-altered"),
+    (r"(.* )?this notice may not be removed or altered from any source distribution.*", "zlib-notice"),
+    (r"(.* )?permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this licen[sc]e.*", "boost-grant"),
+    (r"(.* )?distributed under the boost software licen[sc]e v(ersion )?([0-9]) ([0-9])( .*)?", "boost-notice=$3.$4"),
+    (r"(.* )?under the( terms of the)? eclipse public licen[sc]e v(ersion)? ?([0-9]) ([0-9])( .*)?", "epl-notice=$4.$5"),
+    (r"(.* )?this is free and unencumbered software released into the public domain", "unlicense"),
     *(
-        (rf"(.* )?(released|licensed) under (a |the )?(cc|creative commons attribution) ?(by )?{p + ' ' if p else ''}([0-9]) 0( .*)?",
-         f"cc-by{'-' if p else ''}{p.replace(' ', '-')}=$6")
+        (rf"(.* )?(released |licensed |available )?under (a |an |the )?(cc by|creative commons attribution) {_cc(p)}v?([0-9]) ([0-9])( .*)?",
+         f"cc-by{'-' if p else ''}{p.replace(' ', '-')}=$5.$6")
         for p in CC_PARTS
     ),
-    (r"(.* )?subject to the terms of the mozilla public licen[sc]e v(ersion)? ?([0-9]) 0", "mpl-notice=$3"),
+    (r"(.* )?subject to the terms of the mozilla public licen[sc]e v(ersion)? ?([0-9]) ([0-9])( .*)?", "mpl-notice=$3.$4"),
+    (r"(.* )?subject to the mozilla public licen[sc]e version ([0-9]) ([0-9])( .*)?", "mpl-notice=$2.$3"),
     (r"(.* )?(released|dedicated) (in|in to|into|to) the public domain.*", "public-domain"),
 )
 
@@ -65,8 +87,8 @@ SENTENCES = (
 # them), and the licence; $1 is the value an identifier of the rule carries.
 RULES = (
     ("spdx=([^;]*)", "SPDX $1"),
-    ("apache-notice=([^;]*) apache-compliance apache-copy apache-warranty", "Apache-$1.0 full notice"),
-    ("apache-notice=([^;]*)", "Apache-$1.0"),
+    ("apache-notice=([^;]*) apache-compliance apache-copy apache-warranty", "Apache-$1 full notice"),
+    ("apache-notice=([^;]*)", "Apache-$1"),
     ("gpl-free=([^;]*) gpl-warranty gpl-details gpl-copy", "GPL-$1.0 full notice"),
     ("gpl-free=([^;]*) gpl-warranty gpl-copy", "GPL-$1.0 full notice"),
     ("lgpl-free=([^;]*) gpl-warranty gpl-details gpl-copy", "LGPL-$1 full notice"),
@@ -75,17 +97,26 @@ RULES = (
     ("gpl-notice=([^;]*)", "GPL-$1.0"),
     ("lgpl-notice=([^;]*)", "LGPL-$1"),
     ("agpl-notice=([^;]*)", "AGPL-$1.0"),
+    ("gpl-notice", "GPL"),
+    ("lgpl-notice", "LGPL"),
+    ("agpl-notice", "AGPL"),
     ("mit-grant mit-condition mit-warranty", "MIT text"),
     ("mit-notice", "MIT"),
     ("bsd-grant bsd-source bsd-binary bsd-endorse bsd-warranty", "BSD-3-Clause text"),
     ("bsd-grant bsd-source bsd-binary bsd-warranty", "BSD-2-Clause text"),
+    ("isc-grant isc-warranty", "ISC text"),
     ("isc-grant mit-warranty", "ISC text"),
+    ("zlib-warranty zlib-grant zlib-origin zlib-altered zlib-notice", "Zlib text"),
+    ("boost-notice=([^;]*)", "BSL-$1"),
+    ("boost-grant", "BSL text"),
+    ("epl-notice=([^;]*)", "EPL-$1"),
+    ("unlicense", "Unlicense"),
     ("isc-grant", "ISC"),
     *(
-        (f"cc-by{'-' if p else ''}{p.replace(' ', '-')}=([^;]*)", f"CC BY{'-' if p else ''}{p.replace(' ', '-').upper()} $1.0")
+        (f"cc-by{'-' if p else ''}{p.replace(' ', '-')}=([^;]*)", f"CC BY{'-' if p else ''}{p.replace(' ', '-').upper()} $1")
         for p in CC_PARTS
     ),
-    ("mpl-notice=([^;]*)", "MPL-$1.0"),
+    ("mpl-notice=([^;]*)", "MPL-$1"),
     ("public-domain", "Public domain"),
 )
 
@@ -99,8 +130,7 @@ BREAKS = (
 BETWEEN = "(?:;copyright;)*"
 
 # Stops that stand inside a licence's wording, replaced before the breaks are set; an SPDX tag
-# with its expression is a sentence of its own. The SQL has the tables above alone, and says
-# the same for texts without these wordings.
+# with its expression is a sentence of its own.
 JOINS = (
     (
         r"(?i:\bspdx-licen[sc]e-identifier)\s*:\s*"
@@ -108,6 +138,7 @@ JOINS = (
         BREAK + "SPDX-License-Identifier $1" + BREAK,
     ),
     (r"(?i)\b(free\W+software)\s*[:;](\W+you\W+can\W+redistribute\b)", "$1$2"),
+    (r"(?i)\b(licen[sc]e,?\s+v)[.]\s+([0-9])", "$1 $2"),
     (r"(?i)\b(free\W+software\W+foundation)\s*[:;](\W+either\W+version\b)", "$1$2"),
 )
 _FREE = r"(.* )?is free software you can redistribute it and or modify it under the terms of the gnu "
@@ -212,14 +243,14 @@ def _groups(value: str) -> str:
 
 def _oracle() -> str:
     text = "text"
-    for pattern, by in BREAKS:
+    for pattern, by in (*JOINS, *BREAKS):
         text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(_groups(by))}, 'g')"
     cases = "\n".join(
         f"WHEN regexp_full_match(s, {_quoted(p)}) THEN trim(regexp_replace(s, {_quoted('^' + p + '$')}, {_quoted(_groups(n))}))"
-        for p, n in SENTENCES
+        for p, n in (*MORE_SENTENCES, *SENTENCES)
     )
     steps, last = [], "joined"
-    for k, (rule, name) in enumerate(RULES):
+    for k, (rule, name) in enumerate((*MORE_RULES, *RULES)):
         p = _quoted(rule_pattern(rule))
         whole = _quoted("^" + rule_pattern(rule) + "$")
         steps.append(

@@ -474,3 +474,66 @@ def test_notices_with_stops_inside(spark):
     frame = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id long, text string")
     got = {r["doc_id"]: (r["licences"], r["unmatched"]) for r in licences.scan(frame).collect()}
     assert got == {i: (a, "") for i, (_, a) in cases.items()}
+
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+NAMED = [
+    ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\").", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 2.", "Apache-2.0"),
+    ("It is licensed under the GNU General Public License.", "GPL"),
+    ("It is licensed under the GNU General Public License v2.", "GPL-2.0"),
+    ("It is licensed under the GNU General Public License, version 3 or later.", "GPL-3.0"),
+    ("It is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("It is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3"),
+    ("It is licensed under the GNU Lesser General Public License.", "LGPL"),
+    ("It is licensed under the GNU Affero General Public License.", "AGPL"),
+    ("This text is released under CC BY 2.5.", "CC BY 2.5"),
+    ("This text is licensed under a CC BY-SA 4.0 license.", "CC BY-SA 4.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC BY 4.0"),
+    ("Licensed under the Creative Commons Attribution-NonCommercial 4.0 license.", "CC BY-NC 4.0"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 3.0 license.", "CC BY-NC-ND 3.0"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC BY-SA 3.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");", "MPL-1.1"),
+    ("Made available under the terms of the Eclipse Public License v2.0 which accompanies this.", "EPL-2.0"),
+    ("Made available under the terms of the Eclipse Public License v 1.0.", "EPL-1.0"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE)", "BSL-1.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    (ISC, "ISC text"),
+    (ZLIB, "Zlib text"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX mit or apache 2 0"),
+    ("The public licence of a house is not a license.", ""),
+]
+
+
+def test_licences_by_their_usual_names(spark, tmp_path):
+    rows = [(k, t, None) for k, (t, _) in enumerate(NAMED)]
+    rows += [(100 + k, notice(g, "; ", "; ", v), None) for k, (g, v) in enumerate([("General Public License", "3"), ("Lesser General Public License", "2.1"), ("Affero General Public License", "3")])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(frame).collect()}
+    assert [got[k] for k in range(len(NAMED))] == [want for _, want in NAMED]
+    assert all("full notice" in got[100 + k] for k in range(3))
+    # The SQL says the same on a table that holds every one of them.
+    import duckdb
+
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, licences, unmatched FROM ({licences.ORACLE_SQL})").fetchall())
+    assert helpers.rows(licences.scan(frame), "doc_id", "licences", "unmatched") == sorted(want, key=repr)
