@@ -23,10 +23,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedlake.llm.common import column
+from feedlake.staging import stage
 
 TURN = "<|turn|>"
 END = "<|end|>\n"
 ASSISTANT = "assistant"
+# A conversation of more examples is dealt to several tasks, so many to each.
+PART_EXAMPLES = 256
 
 ENTITY = r"&(?=(?:amp|lt|lb|nl);)"
 ANGLE = r"<(?=/?s>|\|turn\|>|\|end\|>)"
@@ -59,6 +62,11 @@ def examples(
     by their number, nulls first, ties by role and text, so repeated rows stay beside each
     other; null roles and texts count as empty; rows with a null conversation form one.
     An empty table gives an empty result; extra columns are not read.
+
+    Every example is a prefix of its conversation, so a conversation is written once, with
+    the places where its examples end, and each example is cut out of it. One of more than
+    PART_EXAMPLES examples is dealt to several tasks for that. A conversation must fit in
+    a row; what its examples hold in all grows with the square of its turns.
     """
     rows = turns.select(
         column(turns, conv_col).alias("conv"),
@@ -72,24 +80,41 @@ def examples(
         "piece", F.concat(head, F.col("body"), F.lit(END))
     )
     ordered = W.partitionBy("conv").orderBy("turn", "role", "text")
-    so_far = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # The prefix is collected only where an example ends.
     placed = rows.select(
         "conv",
-        "body",
-        (F.col("role") == ASSISTANT).alias("reply"),
+        "piece",
         F.row_number().over(ordered).alias("example"),
+        F.sum(F.length("piece").cast("long")).over(ordered.rowsBetween(W.unboundedPreceding, 0)).alias("end"),
+        F.when(F.col("role") == ASSISTANT, F.length("body")).alias("reply"),
         F.lead(F.lit(1)).over(ordered).isNull().alias("complete"),
-        F.collect_list("piece").over(so_far).alias("pieces"),
-    ).where("reply OR complete")
-    formatted = F.array_join("pieces", "")
-    end = F.length("formatted") - len(END)
-    return placed.withColumn("formatted", formatted).select(
+    )
+    stop = F.struct("example", "end", "reply", "complete")
+    whole = placed.groupBy("conv").agg(
+        F.array_sort(F.collect_list(F.struct("example", "piece"))).alias("pieces"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("reply").isNotNull() | F.col("complete"), stop))
+        ).alias("stops"),
+    )
+    whole = stage(
+        whole.select("conv", F.array_join("pieces.piece", "").alias("whole"), "stops"), "conversations"
+    )
+    parts = F.ceil(F.size("stops") / PART_EXAMPLES).cast("int")
+    part = F.slice("stops", F.col("part") * PART_EXAMPLES + 1, PART_EXAMPLES)
+    dealt = (
+        whole.where(parts > 1)
+        .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .select("conv", "whole", part.alias("stops"), "part")
+        .repartition("conv", "part")
+        .drop("part")
+    )
+    cut = whole.where(parts == 1).unionByName(dealt).select("conv", "whole", F.inline("stops"))
+    end = F.col("end") - len(END)
+    return cut.select(
         F.col("conv").alias(conv_col),
         "example",
-        "formatted",
-        F.when(F.col("reply"), end - F.length("body")).alias("loss_start"),
-        F.when(F.col("reply"), end).alias("loss_end"),
+        F.substr("whole", F.lit(1), F.col("end").cast("int")).alias("formatted"),
+        (end - F.col("reply")).cast("int").alias("loss_start"),
+        F.when(F.col("reply").isNotNull(), end).cast("int").alias("loss_end"),
         "complete",
     )
 

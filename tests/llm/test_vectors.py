@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm import helpers
+from pyspark.sql import functions as F
 
 from feedlake.llm import bitsliced, chat, crosspolytope
 from feedlake.llm.common import local_roots
@@ -178,7 +179,9 @@ def plain_digests(rows):
 PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "<|turn|>", "<|end|>", "&amp;", "&lt;", "&", "\n", "é", "x", "\\", "$1", ";"]
 
 
-def test_chat_round_trip(spark):
+@pytest.mark.parametrize("part", [256, 2])
+def test_chat_round_trip(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART_EXAMPLES", part)
     rng = np.random.default_rng(2)
     roles = ["user", "assistant", "system", None, "assistant", "odd\nrole <|end|>"]
     rows = [
@@ -206,3 +209,20 @@ def test_every_reply_is_one_example_with_all_turns_before_it(spark):
     assert [(r["example"], r["complete"]) for r in made] == [(2, False), (4, False), (6, False), (7, True)]
     assert all(made[3]["formatted"].startswith(r["formatted"]) for r in made)
     assert [r["formatted"][r["loss_start"] : r["loss_end"]] for r in made[:3]] == ["text 1", "text 3", "text 5"]
+
+
+def test_one_long_conversation_is_dealt_to_several_tasks(spark):
+    """A conversation of very many turns: right examples, and time about as what they hold."""
+    turns = spark.range(4001).selectExpr(
+        "1L AS conv_id", "id AS turn", "if(id % 2 = 1, 'assistant', 'user') AS role", "concat('é ', id) AS text"
+    )
+    made = chat.examples(turns)
+    got = made.agg(F.count("*"), F.sum("example"), F.count_if("complete")).first()
+    assert got == (2001, sum(range(2, 4001, 2)) + 4001, 1)
+    assert made.select(F.spark_partition_id()).distinct().count() > 1
+    wrong = made.where("loss_start IS NOT NULL").where(
+        "substr(formatted, loss_start + 1, loss_end - loss_start) <> concat('é ', example - 1)"
+    )
+    assert wrong.count() == 0
+    rows = [(1, t, "assistant" if t % 2 else "user", f"é {t}") for t in range(4001)]
+    assert helpers.rows(chat.digests(made), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == plain_digests(rows)
