@@ -100,11 +100,13 @@ def examples(
     )
     parts = F.ceil(F.size("stops") / PART_EXAMPLES).cast("int")
     part = F.slice("stops", F.col("part") * PART_EXAMPLES + 1, PART_EXAMPLES)
+    # With their number given, adaptive execution leaves the tasks apart: they make far more than they read.
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
         whole.where(parts > 1)
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("conv", "whole", part.alias("stops"), "part")
-        .repartition("conv", "part")
+        .repartition(tasks, "conv", "part")
         .drop("part")
     )
     cut = whole.where(parts == 1).unionByName(dealt).select("conv", "whole", F.inline("stops"))
