@@ -59,6 +59,39 @@ ENCODINGS = (
 )
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+# Matches of a text are placed in blocks of so many, and masked texts put together from chunks.
+BLOCK_PARTS = 512
+CHUNK_CHARS = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(parts: Column, step, row, none: Column) -> Column:
+    """row(place, part) of each part; places begin at 0 and step(place, part) is the next one.
+
+    Appending to an array copies it, so rows are gathered by blocks and the blocks joined
+    at the end: the work stays near proportion to the number of parts.
+    """
+
+    def add(acc, part):
+        out = F.concat(acc["out"], F.array(row(acc["at"], part)))
+        return F.struct(step(acc["at"], part).alias("at"), out.alias("out"))
+
+    def block(acc, number):
+        own = F.slice(parts, number * BLOCK_PARTS + 1, BLOCK_PARTS)
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+        rows = F.aggregate(own, begin, add, lambda made: made["out"])
+        return F.struct(
+            F.aggregate(own, acc["at"], step).alias("at"),
+            F.concat(acc["out"], F.array(rows)).alias("out"),
+        )
+
+    last = F.greatest(F.ceil(F.size(parts) / BLOCK_PARTS).cast("int") - 1, F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.slice(F.array(none), 1, 0).alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), last), begin, block, lambda acc: acc["out"]))
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -69,31 +102,25 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(
-        F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"),
+        F.transform(
+            F.slice(F.split(text, pattern, -1), 1, F.size(whole)), F.length
+        ).alias("gap"),
         F.transform(whole, F.length).alias("size"),
         value.alias("value"),
     )
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        span = F.struct(
-            start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value")
-        )
-        return F.struct(
-            (start + x["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out")
-        )
+    def step(at, x):
+        return at + x["gap"] + x["size"]
+
+    def span(at, x):
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), step(at, x).alias("end"), x["value"].alias("value"))
 
     none = F.array().cast(SPAN)
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    spans = F.aggregate(parts, begin, add, lambda acc: acc["out"])
+    spans = _let(parts, lambda p: _running(p, step, span, none))
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _tail(z: Column) -> Column:
     """Both tails of the normal distribution, by the usual five-term polynomial."""
     z = F.abs(z)
@@ -299,7 +326,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row per row of docs: counts of the base kinds, the digest of their places, all spans.
 
     A null text counts as empty; repeated rows come out alike; an empty table gives an empty
-    result; extra columns are not read.
+    result; extra columns are not read. A text is worked through in one row, in time and
+    memory about in proportion to its length and its matches.
     """
     narrow = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
     marked = with_spans(narrow, "text", "base", "spans").select("id", "base", "spans")
@@ -314,21 +342,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def _cut(text: Column, pieces: Column) -> Column:
+    """The texts of pieces, an array of (start, end) in code points.
+
+    A place is found by counting from the text's start, so the text is cut into chunks
+    first and each piece is counted from the chunk it begins in.
+    """
+
+    def one(chunks, p):
+        low = F.floor(p["start"] / CHUNK_CHARS).cast("int")
+        high = F.floor(p["end"] / CHUNK_CHARS).cast("int")
+        joined = F.array_join(F.slice(chunks, low + 1, high - low + 1), "")
+        return F.substr(joined, p["start"] - low * CHUNK_CHARS + 1, p["end"] - p["start"])
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))
+    return _let(chunks, lambda c: F.transform(pieces, lambda p: one(c, p)))
+
+
 def redacted(text: Column, spans: Column, mask: str = MASK) -> Column:
-    """text with every span replaced; spans that touch or overlap become one mask."""
+    """text with every span replaced; spans that overlap become one mask.
 
-    def add(acc, s):
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        apart = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        )
+    spans come by start. The pieces between masks are put together at once, so that time
+    stays in proportion to the text.
+    """
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    built = F.aggregate(
-        spans, begin, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
+    def gap(at, s):
+        return F.when(s["start"] >= at, F.struct(at.alias("start"), s["start"].alias("end")))
+
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    # One more span behind the text's end brings its last piece.
+    end = F.length(text)
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    closed = F.concat(plain, F.array(F.struct(end.alias("start"), end.alias("end"))))
+    pieces = F.filter(
+        _let(closed, lambda c: _running(c, lambda at, s: F.greatest(at, s["end"]), gap, none)),
+        lambda p: p.isNotNull(),
     )
+    built = F.array_join(_cut(text, pieces), mask)
     return F.when(F.size(spans) > 0, built).otherwise(text)
 
 
