@@ -31,7 +31,11 @@ PROBES = 3
 # Hashes per table are chosen so that about so many unlike vectors meet in a bucket.
 BUCKET_VECTORS = 32
 MAX_HASHES = 4
-TILE_VECTORS = 1024
+# A bucket is split into tiles of so many bytes of vectors and keys. Each tile meets each other
+# one, so a bucket's rows are sent once a tile: few large tiles send less, small ones spread more.
+TILE_BYTES = 4 << 20
+# Products are worked out for so many rows against as many.
+PRODUCT_ROWS = 1024
 SMALL_CELL = 48
 SEED = 42
 # Pairs whose buckets are compared at once.
@@ -178,14 +182,17 @@ def _compare(threshold: float):
             links.add(key[i[near]], cls, many, keys, i[near], j[near])
         for s, n in zip(starts[sizes > SMALL_CELL], sizes[sizes > SMALL_CELL]):
             own = np.arange(s, s + n)
-            if cell[s, 1] == cell[s, 2]:
-                i, j = np.nonzero(np.triu(x[own] @ x[own].T >= threshold, 1))
-                i, j = own[i], own[j]
-            else:
-                a, b = own[side[own] == cell[s, 1]], own[side[own] == cell[s, 2]]
-                i, j = np.nonzero(x[a] @ x[b].T >= threshold)
-                i, j = a[i], b[j]
-            links.add(key[i], cls, many, keys, i, j)
+            same = cell[s, 1] == cell[s, 2]
+            left, right = (own, own) if same else (own[side[own] == t] for t in cell[s, 1:])
+            for at in range(0, len(left), PRODUCT_ROWS):
+                a = left[at : at + PRODUCT_ROWS]
+                for to in range(at if same else 0, len(right), PRODUCT_ROWS):
+                    b = right[to : to + PRODUCT_ROWS]
+                    near = x[a] @ x[b].T >= threshold
+                    if same and to == at:
+                        near = np.triu(near, 1)
+                    i, j = np.nonzero(near)
+                    links.add(key[a[i]], cls, many, keys, a[i], b[j])
 
     def _open(cell, side, i, j):
         """Pairs of a cell: across its two tiles, or any in a cell of one tile."""
@@ -266,7 +273,8 @@ def class_links(classes: DataFrame, threshold: float = THRESHOLD, hashes: int |
     entries = hashed.select("cls", F.explode(F.array_distinct("keys")).alias("key"))
     # Buckets with one vector have nothing to compare and are not moved.
     met = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = F.ceil(F.col("n") / TILE_VECTORS)
+    tile_rows = max(1, TILE_BYTES // (8 * (dim + TABLES * PROBES)))
+    tiles = F.ceil(F.col("n") / tile_rows)
     side = F.pmod(F.xxhash64("cls", F.lit(SEED)), F.col("tiles"))
     cells = (
         entries.join(met, "key")

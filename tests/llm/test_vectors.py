@@ -119,9 +119,10 @@ def plain_links(rows, threshold=0.98):
     return sorted(((i, int(n), low.get(r), i == low.get(r)) for (i, _, _), n, r in zip(rows, links, root)), key=repr)
 
 
-@pytest.mark.parametrize("tile, small", [(1024, 48), (8, 2)])
-def test_near_vectors_on_odd_rows(spark, monkeypatch, tile, small):
-    monkeypatch.setattr(crosspolytope, "TILE_VECTORS", tile)
+@pytest.mark.parametrize("tile, small, product", [(4 << 20, 48, 1024), (8 * 33 * 8, 2, 3), (4 << 20, 2, 7)])
+def test_near_vectors_on_odd_rows(spark, monkeypatch, tile, small, product):
+    monkeypatch.setattr(crosspolytope, "TILE_BYTES", tile)
+    monkeypatch.setattr(crosspolytope, "PRODUCT_ROWS", product)
     monkeypatch.setattr(crosspolytope, "SMALL_CELL", small)
     frame, rows = odd_vectors(spark)
     got = crosspolytope.near_duplicates(frame)
@@ -129,10 +130,10 @@ def test_near_vectors_on_odd_rows(spark, monkeypatch, tile, small):
     assert crosspolytope.near_duplicates(helpers.empty(frame)).count() == 0
 
 
-@pytest.mark.parametrize("hashes", [1, 2, 3, 4])
-def test_recall_at_the_threshold(hashes):
+@pytest.mark.parametrize("width, hashes", [*((64, h) for h in (1, 2, 3, 4)), (16, 2), (16, 4), (256, 1), (256, 4), (1024, 2)])
+def test_recall_at_the_threshold(width, hashes):
     rng = np.random.default_rng(hashes)
-    x = crosspolytope.unit(rng.normal(size=(3000, 64)))
+    x = crosspolytope.unit(rng.normal(size=(3000 if width <= 64 else 400, width)))
     e = rng.normal(size=x.shape)
     e = crosspolytope.unit(e - (e * x).sum(axis=1, keepdims=True) * x)
     y = 0.98 * x + math.sqrt(1 - 0.98**2) * e
