@@ -1,16 +1,26 @@
 """Personal data, and the terms around it that give its owner away.
 
 Four kinds of personal data are searched in every text: they are the protected entities.
-Terms near an entity may reveal it even when the entity itself is masked. How strongly
+The terms of a document may reveal its entities even when these are masked. How strongly
 is estimated from the corpus, over all documents: a term t reveals of an entity e
 
     log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e))
 
 the share of e's information content that their pointwise mutual information makes up;
-n counts documents, n(e, t) those where t stands within CONTEXT_TERMS terms of e. From
-GENERALISE_FROM on, t is replaced by a general word wherever it occurs in the documents of
-e; from REMOVE_FROM on it is removed. A term that is nowhere so near to e is not estimated.
-Documents without an entity are left alone.
+n counts documents. A term is two or more letters and digits, so that numbers of houses,
+rooms and accounts are terms too. There are two estimates, and the larger one counts:
+
+- near: n(e, t) counts the documents where t stands within CONTEXT_TERMS terms of e. That t
+  stands beside e is evidence of its own, so one document is enough to generalise t.
+- whole: n(e, t) counts the documents that hold both, at any distance. Here each count is one
+  less (N, n(e), n(t) and n(e, t)): a document is not evidence for what is masked in it. So a
+  term that meets e in one document only, like most rare words, is not masked for it.
+
+From GENERALISE_FROM on, t is replaced by a general word wherever it occurs in the documents
+of e; from REMOVE_FROM on, with more than one document as evidence, it is removed.
+Documents without an entity are left alone. Texts may be of any length: the time they take
+is in proportion, but for a document's entities that other documents hold too, each of which
+meets the document's terms that are rare enough to reveal it.
 """
 
 from __future__ import annotations
@@ -42,7 +52,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{3,}")
+TERM = re.compile(r"[^\W_]{2,}")
 HAS_ENTITY = re.compile(r"@|[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -105,10 +115,10 @@ def _entity(text: str, span: tuple[int, int, int]) -> int:
     return _hash(f"{kind}:{value}")
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[dict[int, list], set]:
-    """All terms of a text that holds an entity with their places, and (entity, term) pairs of near ones."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[dict[int, list], set, set]:
+    """Of a text with entities: its terms with their places, (entity, term) pairs of near ones, its entities."""
     if not spans:
-        return {}, set()
+        return {}, set(), set()
     terms, places, at = [], {}, 0
     ends, reach = [], 0
     for start, _, end in spans:
@@ -123,25 +133,27 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> tuple[dict[int, li
         term = _hash(m[0].lower())
         terms.append((m.start(), term))
         places.setdefault(term, []).append((m.start(), m.end()))
-    pairs, k = set(), 0
+    pairs, entities, k = set(), set(), 0
     for span in spans:
         while k < len(terms) and terms[k][0] < span[0]:
             k += 1
         entity = _entity(text, span)
+        entities.add(entity)
         pairs.update((entity, t) for _, t in terms[max(0, k - CONTEXT_TERMS) : k + CONTEXT_TERMS])
-    return places, pairs
+    return places, pairs, entities
 
 
 SCANNED = (
     "base array<struct<start:int,kind:int,end:int>>, "
     "terms array<struct<term:long,places:array<struct<start:int,end:int>>>>, "
-    "pairs array<struct<entity:long,term:long>>"
+    "pairs array<struct<entity:long,term:long>>, entities array<long>"
 )
 _PLACE = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _TYPES = {
     "base": pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])),
     "terms": pa.list_(pa.struct([("term", pa.int64()), ("places", pa.list_(_PLACE))])),
     "pairs": pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())])),
+    "entities": pa.list_(pa.int64()),
 }
 
 
@@ -149,14 +161,15 @@ def _scan(batches):
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
-            out = {"base": [], "terms": [], "pairs": []}
+            out = {c: [] for c in _TYPES}
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                terms, pairs = contexts(text, spans)
+                terms, pairs, entities = contexts(text, spans)
                 out["base"].append([(a, k, b) for a, k, b in spans])
                 out["terms"].append(sorted(terms.items()))
                 out["pairs"].append(sorted(pairs))
+                out["entities"].append(sorted(entities))
             arrays = [pa.array(out[c], kind) for c, kind in _TYPES.items()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", *_TYPES])
 
@@ -191,26 +204,43 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(found.withColumn("row", F.monotonically_increasing_id()), "personal")
 
 
-def _shares(docs: DataFrame, text_col: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, entity, term) of near terms, and (entity, term, share, elsewhere) from GENERALISE_FROM on.
+def _held(found: DataFrame) -> DataFrame:
+    """(row, entity), each once."""
+    return found.select("row", F.explode("entities").alias("entity"))
 
-    elsewhere says that other documents than those where the term is near hold it.
+
+def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n_t) of all documents, written once."""
+    texts = docs.select(column(docs, text_col).cast("string").alias("text"))
+    counts = texts.mapInArrow(_document_counts, "term long, n long")
+    return stage(counts.groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
+
+
+def _share(n, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    """The share of an entity's information content that a term reveals; 0 where it has none."""
+    content = F.log(F.lit(float(max(n, 1))) / n_e)
+    mutual = F.log(F.lit(float(n)) * n_et / (n_e * n_t))
+    return F.when(content > 0, mutual / content).otherwise(0.0)
+
+
+def _shares(found: DataFrame, by_term: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(row, entity, term) of near terms, and (entity, term, share, sure, elsewhere) from GENERALISE_FROM on.
+
+    sure says that more than one document is the evidence, elsewhere that other documents
+    than those where the term is near hold it.
     """
-    n = found.count()
     pairs = found.select("row", F.explode("pairs").alias("p")).select("row", "p.entity", "p.term")
     pairs = stage(pairs, "pairs")
-    by_entity = pairs.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    by_entity = _held(found).groupBy("entity").agg(F.count("*").alias("n_e"))
     together = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    texts = docs.select(column(docs, text_col).cast("string").alias("text"))
-    by_term = (
-        texts.mapInArrow(_document_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    )
     joined = together.join(by_entity, "entity").join(by_term, "term")
-    content = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    mutual = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    share = F.when(content > 0, mutual / content).otherwise(0.0)
-    elsewhere = F.least("n_e", "n_t") > F.col("n_et")
-    strong = joined.select("entity", "term", share.alias("share"), elsewhere.alias("elsewhere"))
+    strong = joined.select(
+        "entity",
+        "term",
+        _share(n, F.col("n_e"), F.col("n_t"), F.col("n_et")).alias("share"),
+        (F.col("n_et") > 1).alias("sure"),
+        (F.least("n_e", "n_t") > F.col("n_et")).alias("elsewhere"),
+    )
     return pairs, strong.where(F.col("share") >= GENERALISE_FROM)
 
 
@@ -219,25 +249,59 @@ def disclosing(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
 
     Only terms from GENERALISE_FROM on are given.
     """
-    pairs, strong = _shares(docs, text_col, found)
+    pairs, strong = _shares(found, _term_counts(docs, text_col), found.count())
     return _near(pairs, strong).groupBy("row", "term").agg(F.max("share").alias("share"))
 
 
 def _near(pairs: DataFrame, strong: DataFrame) -> DataFrame:
-    return pairs.join(strong, ["entity", "term"]).select("row", "term", "share")
+    return pairs.join(strong, ["entity", "term"]).select("row", "term", "share", "sure")
+
+
+def _whole(found: DataFrame, by_term: DataFrame, n: int) -> DataFrame:
+    """(row, term, share, sure) of terms that reveal an entity of that row by the documents that hold both.
+
+    Entities that the same documents hold (many, where a long text is copied) count as one:
+    they share all counts. A pair reaches GENERALISE_FROM only where
+    n(t) <= n(e, t) * (N / n(e)) ** (1 - GENERALISE_FROM), and n(e, t) <= n(e), all less one,
+    so common terms go before they meet the entities.
+    """
+    held = _held(found)
+    known = held.groupBy("entity").agg(
+        F.count("*").alias("n_e"),
+        F.bit_xor(F.xxhash64("row")).alias("a"),
+        F.bit_xor(F.xxhash64(F.lit("b"), "row")).alias("b"),
+    )
+    known = known.where((F.col("n_e") > 1) & (F.col("n_e") < n))
+    groups = stage(held.join(known, "entity").select("row", "a", "b", "n_e").distinct(), "groups")
+    others = F.col("n_e") - 1
+    reach = others * F.pow(F.lit(float(max(n - 1, 1))) / others, 1 - GENERALISE_FROM)
+    rows = groups.groupBy("row").agg(F.max(reach).alias("widest"))
+    terms = found.join(rows, "row").select("row", "widest", F.explode("terms.term").alias("term"))
+    # The margin keeps rounding from deciding; the shares themselves do.
+    slack = 1 + 1e-9
+    rare = by_term.where("n_t > 1")
+    rare = terms.join(rare, "term").where((F.col("n_t") - 1) <= F.col("widest") * slack)
+    pairs = rare.join(groups, "row").where((F.col("n_t") - 1) <= reach * slack)
+    pairs = stage(pairs.select("row", "a", "b", "n_e", "term", "n_t"), "whole")
+    together = pairs.groupBy("a", "b", "n_e", "term", "n_t").agg(F.count("*").alias("n_et"))
+    share = _share(n - 1, others, F.col("n_t") - 1, F.col("n_et") - 1)
+    strong = together.where("n_et > 1").select("a", "b", "term", share.alias("share"))
+    strong = strong.where(F.col("share") >= GENERALISE_FROM)
+    return pairs.join(strong, ["a", "b", "term"]).select("row", "term", "share", F.lit(True).alias("sure"))
 
 
 def disclosing_anywhere(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
-    """As disclosing, with terms that stand further from the entity in that row."""
-    pairs, strong = _shares(docs, text_col, found)
+    """(row, term, remove): all terms to be masked in that row, near its entities or not."""
+    n, by_term = found.count(), _term_counts(docs, text_col)
+    pairs, strong = _shares(found, by_term, n)
     strong = stage(strong, "strong")
     held = found.select("row", F.explode("terms.term").alias("term"))
     # Through the term first: an entity's rows times its terms could be far more.
-    further = held.join(strong.where("elsewhere"), "term").join(
-        pairs.select("row", "entity").distinct(), ["row", "entity"]
-    )
-    both = _near(pairs, strong).unionByName(further.select("row", "term", "share"))
-    return stage(both.groupBy("row", "term").agg(F.max("share").alias("share")), "disclosing")
+    further = held.join(strong.where("elsewhere"), "term").join(_held(found), ["row", "entity"])
+    every = _near(pairs, strong).unionByName(further.select("row", "term", "share", "sure"))
+    every = every.unionByName(_whole(found, by_term, n))
+    remove = F.max(F.col("sure") & (F.col("share") >= REMOVE_FROM))
+    return stage(every.groupBy("row", "term").agg(remove.alias("remove")), "disclosing")
 
 
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,9 +309,7 @@ def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = scanned(docs, id_col, text_col)
     strong = disclosing_anywhere(docs, text_col, found)
     places = found.select("row", F.explode("terms").alias("t")).select("row", "t.term", "t.places")
-    kind = F.when(F.col("share") >= REMOVE_FROM, SPAN_KINDS.index(REMOVED)).otherwise(
-        SPAN_KINDS.index(GENERALISED)
-    )
+    kind = F.when(F.col("remove"), SPAN_KINDS.index(REMOVED)).otherwise(SPAN_KINDS.index(GENERALISED))
     more = (
         places.join(strong, ["row", "term"])
         .withColumn("kind", kind)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -247,6 +248,103 @@ def test_terms_counts_cover_all_documents(docs):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def plain_disclosing(texts):
+    """All spans of each text, from the formulas of the module's docstring, pair by pair."""
+    docs = []
+    for t in texts:
+        base = plain_personal(t)
+        tokens = [] if not base else [
+            (m.start(), m.end(), m[0].lower())
+            for m in re.finditer(r"[^\W_]{2,}", t)
+            if not any(a < m.end() and m.start() < b for a, _, b in base)
+        ]
+        near, held = set(), set()
+        for a, k, b in base:
+            value = t[a:b].lower() if k < 2 else re.sub("[^0-9]", "", t[a:b])
+            held.add((k, value))
+            before = [w for i, _, w in tokens if i < a][-6:]
+            near |= {((k, value), w) for w in before + [w for i, _, w in tokens if i > a][:6]}
+        docs.append((base, tokens, near, held, {m.lower() for m in re.findall(r"[^\W_]{2,}", t)}))
+    n, n_e, n_t, n_near, n_both = len(docs), Counter(), Counter(), Counter(), Counter()
+    for _, tokens, near, held, words in docs:
+        n_e.update(held), n_t.update(words), n_near.update(near)
+        n_both.update((e, w) for e in held for w in {w for _, _, w in tokens})
+
+    def share(n, e, t, et):
+        return np.log(n * et / (e * t)) / np.log(n / e) if n > e else 0.0
+
+    strong = {}
+    for (e, t), et in n_both.items():
+        marks = []
+        if n_near[e, t]:
+            marks.append((share(n, n_e[e], n_t[t], n_near[e, t]), n_near[e, t] > 1))
+        if et > 1:
+            marks.append((share(n - 1, n_e[e] - 1, n_t[t] - 1, et - 1), True))
+        marks = [(s, sure) for s, sure in marks if s >= 0.75]
+        if marks:
+            strong[e, t] = any(s >= 0.9 and sure for s, sure in marks)
+    out = []
+    for base, tokens, _, held, _ in docs:
+        more = []
+        for a, b, w in tokens:
+            found = [strong[e, w] for e in held if (e, w) in strong]
+            if found:
+                more.append((a, 4 + any(found), b))
+        out.append(sorted(base + more))
+    return out
+
+
+def people(seed):
+    """Texts with people, their mail and phone, a room and a street at any distance, in copies and alone."""
+    rng = random.Random(seed)
+    common = [f"word{i}" for i in range(40)] + ["12", "of", "2b"]
+    rare = [f"rare{i}" for i in range(400)]
+    rows = []
+    for p in range(25):
+        own = [f"Name{p}", f"room {4700 + p}b", f"p{p}@mail.example.com", f"+49 30 {1000000 + p}"]
+        for _ in range(rng.randrange(1, 6)):
+            text = rng.choices(common, k=rng.randrange(60)) + rng.choices(rare, k=rng.randrange(4))
+            text += rng.sample(own, k=rng.randrange(2, 5))
+            rng.shuffle(text)
+            rows += [" ".join(text)] * rng.choice([1, 1, 1, 3])
+    return rows + [" ".join(rng.choices(common, k=30)) for _ in range(200)]
+
+
+def test_all_spans_as_plain_formulas(spark, docs):
+    given = [r["text"] or "" for r in docs.collect()]
+    kinds = Counter()
+    for texts in (people(1), people(2), given):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["spans"] for r in disclosure.scan(frame).collect()}
+        for i, spans in enumerate(plain_disclosing(texts)):
+            assert got[i] == ",".join(f"{disclosure.SPAN_KINDS[k]}:{a}:{b}" for a, k, b in spans)
+            kinds.update(k for _, k, _ in spans)
+    assert min(kinds[k] for k in (0, 3, 4, 5)) > 20
+
+
+def test_terms_out_of_reach_and_with_digits_reveal_and_rare_words_stay(spark):
+    common = "we met the other day and talked about many things"
+    rows = [(i, f"{common} number {'abcdefghij'[i % 10]}") for i in range(300)]
+    far = f"Zebulon {common} zeb@mail.example.com"
+    rows += [(900 + i, f"{far} room 4711b {common} seen{'abc'[i]} {common}") for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in disclosure.sanitise(frame).collect()}
+    assert all(clean[i] == t for i, t in rows if i < 900)
+    for i in range(3):
+        assert "Zebulon" not in clean[900 + i] and "4711b" not in clean[900 + i]
+        assert f"seen{'abc'[i]}" in clean[900 + i] and "talked" in clean[900 + i]
+
+
+def test_entities_in_all_documents_or_none_of_their_own(spark):
+    mail = "a@mail.example.com"
+    cases = [[mail] * 3, [f"x {mail}", "y", ""], [f"Ada {mail}"] * 2, [""], [f"{mail} {mail} ada ada"] * 2 + ["z"]]
+    for texts in cases:
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["spans"] for r in disclosure.scan(frame).collect()}
+        for i, spans in enumerate(plain_disclosing(texts)):
+            assert got[i] == ",".join(f"{disclosure.SPAN_KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
 # --- secrets ------------------------------------------------------------------
 
 
