@@ -46,6 +46,8 @@ REMOVE_FROM = 0.9
 GENERAL_WORD = "[TERM]"
 # Distinct terms a task counts before it hands its counts on.
 HELD_TERMS = 500_000
+# Most terms that are broadcast as too common to reveal anyone.
+COMMON_TERMS = 1 << 16
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # The look-behinds leave the matches as they are and keep long digit runs linear.
@@ -263,7 +265,8 @@ def _whole(found: DataFrame, by_term: DataFrame, n: int) -> DataFrame:
     Entities that the same documents hold (many, where a long text is copied) count as one:
     they share all counts. A pair reaches GENERALISE_FROM only where
     n(t) <= n(e, t) * (N / n(e)) ** (1 - GENERALISE_FROM), and n(e, t) <= n(e), all less one,
-    so common terms go before they meet the entities.
+    so common terms go before they meet the entities. Those that hold 1 / COMMON_TERMS of all
+    places in documents, no more than COMMON_TERMS in number, go before any shuffle.
     """
     held = _held(found)
     known = held.groupBy("entity").agg(
@@ -279,7 +282,12 @@ def _whole(found: DataFrame, by_term: DataFrame, n: int) -> DataFrame:
     terms = found.join(rows, "row").select("row", "widest", F.explode("terms.term").alias("term"))
     # The margin keeps rounding from deciding; the shares themselves do.
     slack = 1 + 1e-9
-    rare = by_term.where("n_t > 1")
+    places = by_term.agg(F.sum("n_t")).first()[0] or 0
+    widest = rows.agg(F.max("widest")).first()[0] or 0.0
+    too_common = (F.col("n_t") * COMMON_TERMS >= places) & (F.col("n_t") - 1 > widest * slack)
+    common = F.broadcast(by_term.where(too_common).select("term"))
+    terms = terms.join(common, "term", "left_anti")
+    rare = by_term.where("n_t > 1").join(common, "term", "left_anti")
     rare = terms.join(rare, "term").where((F.col("n_t") - 1) <= F.col("widest") * slack)
     pairs = rare.join(groups, "row").where((F.col("n_t") - 1) <= reach * slack)
     pairs = stage(pairs.select("row", "a", "b", "n_e", "term", "n_t"), "whole")
