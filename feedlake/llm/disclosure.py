@@ -46,7 +46,7 @@ REMOVE_FROM = 0.9
 GENERAL_WORD = "[TERM]"
 # Distinct terms a task counts before it hands its counts on.
 HELD_TERMS = 500_000
-# Most terms that are broadcast as too common to reveal anyone.
+# Most terms that are broadcast as common ones that reveal no one.
 COMMON_TERMS = 1 << 16
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -218,6 +218,12 @@ def _term_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return stage(counts.groupBy("term").agg(F.sum("n").alias("n_t")), "terms")
 
 
+def _common(by_term: DataFrame) -> DataFrame:
+    """(term, n_t) of the terms with 1 / COMMON_TERMS of all places in documents: COMMON_TERMS at most."""
+    places = by_term.agg(F.sum("n_t")).first()[0] or 0
+    return by_term.where(F.col("n_t") * COMMON_TERMS >= places)
+
+
 def _share(n, n_e: Column, n_t: Column, n_et: Column) -> Column:
     """The share of an entity's information content that a term reveals; 0 where it has none."""
     content = F.log(F.lit(float(max(n, 1))) / n_e)
@@ -282,10 +288,8 @@ def _whole(found: DataFrame, by_term: DataFrame, n: int) -> DataFrame:
     terms = found.join(rows, "row").select("row", "widest", F.explode("terms.term").alias("term"))
     # The margin keeps rounding from deciding; the shares themselves do.
     slack = 1 + 1e-9
-    places = by_term.agg(F.sum("n_t")).first()[0] or 0
     widest = rows.agg(F.max("widest")).first()[0] or 0.0
-    too_common = (F.col("n_t") * COMMON_TERMS >= places) & (F.col("n_t") - 1 > widest * slack)
-    common = F.broadcast(by_term.where(too_common).select("term"))
+    common = F.broadcast(_common(by_term).where(F.col("n_t") - 1 > widest * slack).select("term"))
     terms = terms.join(common, "term", "left_anti")
     rare = by_term.where("n_t > 1").join(common, "term", "left_anti")
     rare = terms.join(rare, "term").where((F.col("n_t") - 1) <= F.col("widest") * slack)
@@ -305,7 +309,10 @@ def disclosing_anywhere(docs: DataFrame, text_col: str, found: DataFrame) -> Dat
     strong = stage(strong, "strong")
     held = found.select("row", F.explode("terms.term").alias("term"))
     # Through the term first: an entity's rows times its terms could be far more.
-    further = held.join(strong.where("elsewhere"), "term").join(_held(found), ["row", "entity"])
+    other = strong.where("elsewhere")
+    # Most places hold common terms that reveal no one; they go before the shuffle.
+    held = held.join(F.broadcast(_common(by_term).join(other, "term", "left_anti").select("term")), "term", "left_anti")
+    further = held.join(other, "term").join(_held(found), ["row", "entity"])
     every = _near(pairs, strong).unionByName(further.select("row", "term", "share", "sure"))
     every = every.unionByName(_whole(found, by_term, n))
     remove = F.max(F.col("sure") & (F.col("share") >= REMOVE_FROM))
