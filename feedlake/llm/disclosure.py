@@ -302,9 +302,9 @@ def _whole(found: DataFrame, by_term: DataFrame, n: int) -> DataFrame:
     return pairs.join(strong, ["a", "b", "term"]).select("row", "term", "share", F.lit(True).alias("sure"))
 
 
-def disclosing_anywhere(docs: DataFrame, text_col: str, found: DataFrame) -> DataFrame:
+def disclosing_anywhere(found: DataFrame, by_term: DataFrame) -> DataFrame:
     """(row, term, remove): all terms to be masked in that row, near its entities or not."""
-    n, by_term = found.count(), _term_counts(docs, text_col)
+    n = found.count()
     pairs, strong = _shares(found, by_term, n)
     strong = stage(strong, "strong")
     held = found.select("row", F.explode("terms.term").alias("term"))
@@ -322,8 +322,11 @@ def disclosing_anywhere(docs: DataFrame, text_col: str, found: DataFrame) -> Dat
 def with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per row of docs: row, id, base and spans, arrays of (start, kind number, end)."""
     found = scanned(docs, id_col, text_col)
-    strong = disclosing_anywhere(docs, text_col, found)
+    by_term = _term_counts(docs, text_col)
+    strong = disclosing_anywhere(found, by_term)
     places = found.select("row", F.explode("terms").alias("t")).select("row", "t.term", "t.places")
+    harmless = _common(by_term).join(strong, "term", "left_anti").select("term")
+    places = places.join(F.broadcast(harmless), "term", "left_anti")
     kind = F.when(F.col("remove"), SPAN_KINDS.index(REMOVED)).otherwise(SPAN_KINDS.index(GENERALISED))
     more = (
         places.join(strong, ["row", "term"])
